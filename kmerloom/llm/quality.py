@@ -7,7 +7,6 @@ stochastic gradient descent in one task, on a bounded sample of labelled rows; s
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,42 +34,82 @@ CACHE_WORDS = 200_000
 _SAME, _OTHER = 0, 1
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word: its whole form, its shape and its character n-grams of 2 to 4 with the ends marked."""
-    raw = f"<{word}>"
-    grams = {raw[i : i + n] for n in (2, 3, 4) for i in range(len(raw) - n + 1)} if len(raw) <= 40 else {raw[i : i + 4] for i in range(0, len(raw) - 3)}
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:24])
-    packed = "".join(c for i, c in enumerate(shape) if not i or shape[i - 1] != c)
-    return [2 + zlib.crc32(x.encode("utf-8", "replace")) % (BUCKETS - 2) for x in (f"w:{word}", f"s:{packed}", *grams)]
+#: Character classes by code point: 1 upper, 2 other letters, 3 digits, else the code point itself; beyond the table, letters.
+_CLASS = np.array([1 if chr(i).isupper() else 2 if chr(i).isalpha() else 3 if chr(i).isdigit() else i + 4 for i in range(0x2400)], np.uint64)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
+
+
+def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h + np.uint64(kind)) * _PRIME
+    h ^= h >> np.uint64(31)
+    return (2 + (h * _PRIME >> np.uint64(33)) % np.uint64(BUCKETS - 2)).astype(np.int32)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features and which word each belongs to: a word's whole form, its shape (runs of a class of characters as one) and its
+    character n-grams of 2 to 4, with the ends marked. Words are not empty."""
+    chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(words)), sizes)
+    place = np.minimum(np.arange(len(chars)) - starts[of], len(_POWERS) - 1)
+    whole = np.add.reduceat(chars * _POWERS[place], starts)
+    cls = np.where(chars < len(_CLASS), _CLASS[np.minimum(chars, len(_CLASS) - 1).astype(np.int64)], 2)
+    turn = np.ones(len(chars), bool)
+    turn[1:] = (cls[1:] != cls[:-1]) | (of[1:] != of[:-1])
+    rank = np.cumsum(turn)
+    rank = np.minimum(rank - rank[starts][of], len(_POWERS) - 1)
+    shape = np.add.reduceat(np.where(turn, cls * _POWERS[rank], 0), starts)
+    ids, owner = [_bucket(whole, 1), _bucket(shape, 2)], [np.arange(len(words))] * 2
+    gram = chars
+    for n in (2, 3, 4):
+        gram = gram[:-1] * np.uint64(0x100000001B3) + chars[n - 1 :]
+        inside = of[: len(gram)] == of[n - 1 :]
+        ids.append(_bucket(gram[inside], n))
+        owner.append(of[: len(gram)][inside])
+    ids, owner = np.concatenate(ids), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return ids[order], owner[order]
 
 
 class Words:
-    """Feature buckets or vectors of words met so far; a full cache keeps what it has."""
+    """Vectors of words met so far; a full cache keeps what it has."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors, self.at = vectors, {}
         self.rows = np.zeros((1024, vectors.shape[1]), np.float32)
 
-    def mean(self, words: list[str]) -> np.ndarray:
-        """Mean vector of a document's words and pseudo-words."""
-        if not words:
-            return np.zeros(self.vectors.shape[1], np.float32)
-        at, n = self.at, len(self.at)
-        new = set(words).difference(at)
-        for i, w in enumerate(new):
-            at[w] = n + i
-        if len(at) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(at) - len(self.rows)), self.rows.shape[1]), np.float32)])
-        for i, w in enumerate(new):
-            self.rows[n + i] = self.vectors[features(w)].mean(0)
-        codes = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        total = self.rows[codes].sum(0, dtype=np.float64)
-        same = int((codes[1:] == codes[:-1]).sum())
-        total += same * self.vectors[_SAME] + (len(words) - same) * self.vectors[_OTHER]
+    def learn(self, new: list[str]) -> None:
+        n = len(self.at)
+        self.at.update(zip(new, range(n, n + len(new)), strict=True))
+        if len(self.at) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(self.at) - len(self.rows)), self.rows.shape[1]), np.float32)])
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            ids, owner = features(part)
+            ends = np.searchsorted(owner, np.arange(1, len(part) + 1))
+            sums = np.concatenate([np.zeros((1, self.vectors.shape[1])), np.cumsum(self.vectors[ids], 0, dtype=np.float64)])[ends]
+            sums[1:] -= sums[:-1].copy()
+            self.rows[n + i : n + i + len(part)] = sums / np.diff(ends, prepend=0)[:, None]
+
+    def means(self, docs: list[list[str]]) -> np.ndarray:
+        """Mean vector of each document's words and pseudo-words."""
+        at = self.at
+        new = list(set().union(*docs).difference(at))
+        if new:
+            self.learn(new)
+        out = np.zeros((len(docs), self.vectors.shape[1]))
+        for i, words in enumerate(docs):
+            if words:
+                codes = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+                same = int((codes[1:] == codes[:-1]).sum())
+                total = self.rows[codes].sum(0, dtype=np.float64)
+                out[i] = (total + same * self.vectors[_SAME] + (len(words) - same) * self.vectors[_OTHER]) / (2 * len(words))
         if len(at) > CACHE_WORDS:
             for w in new:
                 del at[w]
-        return (total / (2 * len(words))).astype(np.float32)
+        return out
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +118,6 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> tuple
     vectors = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     out = np.zeros((DIM + 1, 2), np.float32)
     out[:DIM] = rng.normal(0, 0.1, (DIM, 2))
-    cache: dict[str, np.ndarray] = {}
     bags = []
     for t in texts:
         words = (t or "").split()
@@ -88,13 +126,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> tuple
             continue
         same = sum(map(str.__eq__, words, words[1:])) / len(words)
         counts = Counter(words)
-        own = [cache[w] if w in cache else cache.setdefault(w, np.array(features(w), np.int32)) for w in counts]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        weights = np.repeat(np.fromiter(counts.values(), np.float64, len(own)) / sizes, sizes) / (2 * len(words))
-        bag, at = np.unique(np.concatenate([*own, [_SAME, _OTHER]]), return_inverse=True)
+        ids, owner = features(list(counts))
+        weights = (np.fromiter(counts.values(), np.float64, len(counts)) / np.bincount(owner))[owner] / (2 * len(words))
+        bag, at = np.unique(np.concatenate([ids, [_SAME, _OTHER]]), return_inverse=True)
         bags.append((bag.astype(np.int32), np.bincount(at, np.append(weights, [same / 2, (1 - same) / 2])).astype(np.float32)))
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
     y = np.array(labels, np.int64)
     # step sizes adapt to each weight by its sum of squared gradients, as rare n-grams get few
     vectors_sq, out_sq = np.full(vectors.shape, 1e-10, np.float32), np.full(out.shape, 1e-6, np.float32)
@@ -154,7 +189,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         vectors, out = held.value
         words = Words(vectors)
         for b in batches:
-            hidden = np.array([words.mean((t.as_py() or "").split()) for t in b.column(b.schema.names.index("text"))], np.float64).reshape(b.num_rows, DIM)
+            texts = [t or "" for t in b.column(b.schema.names.index("text")).to_pylist()]
+            hidden = np.concatenate([np.zeros((0, DIM))] + [words.means([t.split() for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)])
             logits = hidden @ out[:DIM] + out[DIM]
             p = 1 / (1 + np.exp(logits[:, 0] - logits[:, 1]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "__score"])
