@@ -80,6 +80,7 @@ def detect_format(rows: DataFrame, sample: int | None = 5) -> DataFrame:
     same = F.array(*[F.struct(F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(0).alias("n"), F.lit(-i).alias("i")) for i in range(4)])
     best = F.array_max(F.filter(same, lambda x: x["n"] > 1))
     out = cut.select(best.alias("best"))
-    delimiter = F.element_at(F.array(*map(F.lit, names)), F.lit(1) - F.col("best.i"))
+    some = F.col("best").isNotNull()
+    delimiter = F.when(some, F.element_at(F.array(*map(F.lit, names)), F.lit(1) - F.col("best.i")))
     listed = F.array_join(F.transform(F.sequence(F.lit(1), F.col("best.n")), lambda i: F.concat(F.lit("field"), i.cast("string"))), "|")
-    return out.select(delimiter.alias("delimiter"), F.coalesce("best.n", F.lit(0)).alias("field_count"), F.when(F.col("best").isNotNull(), F.replace(listed, F.lit("|"), delimiter)).alias("format"))
+    return out.select(delimiter.alias("delimiter"), F.when(some, F.col("best.n")).otherwise(0).alias("field_count"), F.when(some, F.replace(listed, F.lit("|"), delimiter)).alias("format"))

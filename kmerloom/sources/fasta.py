@@ -23,13 +23,13 @@ def read_fasta(spark: SparkSession, path: str | list[str], line_breaks: str = "j
     body = F.when(F.instr("r", "\n") > 0, F.expr("substring(r, instr(r, '\n') + 1)")).otherwise("")
     body = F.regexp_replace(body, r"(?m)^;[^\n]*\n?", "")
     sequence = F.regexp_replace(body, r"[\r\n]", "") if line_breaks == "join" else F.regexp_replace(body, r"[\r\n]+$", "")
-    return own.select("seq_id", header.alias("header"), sequence.alias("sequence")).where("trim(header) <> ''")
+    return own.select("seq_id", header.alias("header"), sequence.alias("sequence")).where(F.btrim("header", F.lit(" \t")) != "")
 
 
 def skipped_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row: records without a header, which ``read_fasta`` leaves out."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^[\x{FEFF}]?(?:;[^\n]*\n)*>?", "").alias("r"))
-    return raw.agg(F.count_if((F.col("r") != "") & (F.trim(F.substring_index("r", "\n", 1)) == "")).alias("skipped_records"))
+    return raw.agg(F.count_if((F.col("r") != "") & (F.btrim(F.substring_index("r", "\n", 1), F.lit(" \t\r")) == "")).alias("skipped_records"))
 
 
 def from_table(rows: DataFrame, header: str = "header", sequence: str = "sequence", seq_id: str | None = None) -> DataFrame:
