@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import fresh_path, ship, table
+from kmerloom.llm.common import fresh_path, ship, table, written
 
 CHUNK = 256 << 10
 #: Payloads of fewer bytes are never revisits.
@@ -98,6 +98,8 @@ def write_archives(pages: DataFrame, at: str, chunk: int = CHUNK, least: int = L
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     own = own.withColumn("digest", F.sha1("html"))
     best = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("best")).where("n > 1").select(F.col("digest").alias("__digest"), "best")
+    # as a table its size is known before the join is planned: pages are only shuffled if repeats are many
+    best = written(best, "repeats")
     refers = F.when(~F.col("best").eqNullSafe(F.col("page_id")), F.col("best"))
     rows = own.join(best, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     archive = rows.mapInArrow(_records(chunk, date), "record binary").select(F.concat(F.lit("WARC/1.1\r\n").cast("binary"), F.col("record")).cast("string").alias("value"))
