@@ -89,8 +89,13 @@ def nested(stats: DataFrame, found: DataFrame) -> DataFrame:
     One position's variants become one row: for the sinks that want the nested form. The flat tables have no such bound.
     """
     fields = [c for c in ("sequence", "count", "incidence", "motif_short", "motif_long", "metadata") if c in found.columns]
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("__n"), F.col("sequence").alias("__s"), F.struct(*fields).alias("v"))))
-    arrays = found.groupBy("position").agg(F.transform(listed, lambda x: x["v"]).alias("diversity_motifs"))
+
+    def order(a: Column, b: Column) -> Column:
+        """By falling count, then sequence; maps inside the structs have no order of their own."""
+        first = (a["count"] > b["count"]) | ((a["count"] == b["count"]) & (a["sequence"] < b["sequence"]))
+        return F.when(first, -1).when((a["count"] == b["count"]) & (a["sequence"] == b["sequence"]), 0).otherwise(1)
+
+    arrays = found.groupBy("position").agg(F.array_sort(F.collect_list(F.struct(*fields)), order).alias("diversity_motifs"))
     return stats.join(arrays, "position", "left")
 
 

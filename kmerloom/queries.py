@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from kmerloom.functions import headers, kmers
 from kmerloom.functions.alphabet import PROTEIN, classify, invalid_characters, unique_invalid_characters
 from kmerloom.operators import conserved, diversity, entropy, explore, features, metadata, validate
+from kmerloom.plans.analyze import analyze
+from kmerloom.sources import fasta, results
+from kmerloom.sources.shared import fresh_path
+from kmerloom.streaming import counts as streaming
 
 K, T = 3, 100
 KB = 2
@@ -580,3 +584,67 @@ def detected_alphabet(spark, d):
 @query(A + "SELECT true AS is_valid, count(*) AS sequence_count, 10 AS sequence_length, 0 AS empty_sequences, 0 AS length_mismatches FROM aligned")
 def validation_report(spark, d):
     return validate.report(orders(spark, d)).select("is_valid", "sequence_count", "sequence_length", "empty_sequences", "length_mismatches")
+
+
+# sources, sinks and streams: files are written to the shared folder and read again -------------------------------------------
+
+
+@query(A + "SELECT header, sequence, count(*) AS records FROM aligned GROUP BY ALL")
+def fasta_round_trip(spark, d):
+    at = fresh_path(spark, "fasta")
+    orders(spark, d).select(F.concat(F.lit(">"), "header", F.lit("\r\n"), F.substring("sequence", 1, 6), F.lit("\r\n"), F.expr("substring(sequence, 7)")).alias("value")).write.option("lineSep", "\r\n").text(at)
+    return fasta.read_fasta(spark, at).groupBy("header", "sequence").agg(F.count(F.lit(1)).alias("records"))
+
+
+def _analysis(spark, d):
+    return analyze(orders(spark, d), K, 1_000_000, check=False, header_format=FIELDS, metadata_fields=["status"])
+
+
+@query(A + "SELECT position, sequence, count, round(incidence, 6) AS incidence, motif_short FROM v")
+def stored_results(spark, d):
+    at = fresh_path(spark, "results")
+    results.save(_analysis(spark, d), at)
+    return results.load(spark, at).variants.select("position", "sequence", "count", r6("incidence"), "motif_short")
+
+
+@query(
+    _ctes(ORDERS, K, 1_000_000, 10)
+    + """SELECT cast(p.position AS varchar) AS position, cast(support AS varchar) AS support, coalesce(low_support, '.') AS low_support, cast(distinct_variants_count AS varchar) AS distinct_variants_count,
+ coalesce(string_agg(sequence, ',' ORDER BY sequence) FILTER (motif_short = 'I'), '.') AS index_sequence, coalesce(string_agg(cast(count AS varchar), ',' ORDER BY sequence) FILTER (motif_short = 'I'), '.') AS index_count,
+ coalesce(string_agg(sequence, ',' ORDER BY sequence) FILTER (motif_short = 'Ma'), '.') AS major_sequence, coalesce(cast(sum(count) FILTER (motif_short = 'Mi') AS varchar), '.') AS minor_count,
+ coalesce(cast(sum(count) FILTER (motif_short = 'U') AS varchar), '.') AS unique_count FROM p LEFT JOIN v USING (position) GROUP BY ALL"""
+)
+def tsv_rows(spark, d):
+    return results.tsv(_analysis(spark, d)).select("position", "support", "low_support", "distinct_variants_count", "index_sequence", "index_count", "major_sequence", "minor_count", "unique_count")
+
+
+@query(A + ", x AS (SELECT position, count(*) AS variants FROM v GROUP BY position) SELECT position, coalesce(variants, 0) AS variants FROM sp LEFT JOIN x USING (position)")
+def json_lines(spark, d):
+    at = fresh_path(spark, "jsonl")
+    results.write(_analysis(spark, d), at, "jsonl")
+    return spark.read.schema("position int, diversity_motifs array<struct<sequence string>>").json(at).select("position", F.coalesce(F.size("diversity_motifs"), F.lit(0)).cast("long").alias("variants"))
+
+
+@query(_META + """, x AS (SELECT i AS position, substr(sequence, i, 3) AS sequence, status FROM m, range(1, 9) r(i) WHERE regexp_full_match(substr(sequence, i, 3), '[ACDEFGHIKLMNPQRSTVWY]+'))
+SELECT position, sequence, count(*) FILTER (status = 'F') AS f, count(*) FILTER (status = 'O') AS o, count(*) FILTER (status = 'P') AS p FROM x GROUP BY ALL""")
+def variant_maps(spark, d):
+    """The nested metadata of variants, read out again."""
+    of = lambda v: F.coalesce(F.col("metadata")["status"][v], F.lit(0)).alias(v.lower())
+    return _analysis(spark, d).variants.select("position", "sequence", of("F"), of("O"), of("P"))
+
+
+@query("WITH f AS (SELECT length(p_name) AS n FROM part ORDER BY p_partkey LIMIT 1) SELECT p_partkey AS seq_id FROM part, f WHERE length(p_name) <> n")
+def uneven_lengths(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("sequence"))
+    return kmers.uneven(rows).select("seq_id")
+
+
+@query(A + "SELECT position, kmer, count FROM c")
+def streamed_counts(spark, d):
+    """The same counts kept by a stream over the files of orders."""
+    source = f"{d}/orders.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).format("parquet").load(source + "*")
+    own = spark.sql(ORDERS.format(s="string").replace("FROM orders", "FROM {t}"), t=rows)
+    at, checkpoint = fresh_path(spark, "deltas"), fresh_path(spark, "stream")
+    streaming.keep_counts(own, K, at, checkpoint).awaitTermination()
+    return streaming.current(spark.read.schema("position int, kmer string, count long").parquet(at))

@@ -77,8 +77,8 @@ def envelope(result) -> DataFrame:
 
     It is one document by definition, as long as the alignment; for more use JSON Lines or the tables.
     """
-    rows = documents(result).agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*[c for c in (*POSITION, "diversity_motifs")]).alias("p")))).alias("x"))
-    whole = F.struct(*[F.col(c) for c in result.summary.columns], F.transform("x", lambda x: x["p"]).alias("results"))
+    rows = documents(result).agg(F.array_sort(F.collect_list(F.struct(*POSITION, "diversity_motifs")), lambda a, b: a["position"] - b["position"]).alias("results"))
+    whole = F.struct(*result.summary.columns, "results")
     return result.summary.crossJoin(F.broadcast(rows)).select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
 
 
