@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from kmerloom.llm.common import fresh_path, ship, table, written
 
 END = 2
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 #: Rows of a row group of the index, bytes of a stripe.
 INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
 SCHEMA = "doc_id long, part int, place long, ids array<int>"
+#: A digit, which the tokenizer's split keeps by itself.
+_MARK = "0"
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 _CODERS: dict[str, Coder] = {}
@@ -38,6 +40,30 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        only = self._ids(_MARK)
+        self.mark = only[0] if len(only) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, new: list[str]) -> None:
+        """Put the ids of new chunks into the cache. Many go as one text with marks between, a word that none of them holds and that has an id
+        to itself, as a call for each costs more than its ids."""
+        plain = [c for c in new if _MARK not in c] if self.mark is not None else []
+        for at in range(0, len(plain), 5000):
+            part = plain[at : at + 5000]
+            ids = np.array(self._ids(f" {_MARK} ".join(part)), "<i4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) != len(part):
+                plain = plain[:at]
+                break
+            raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
+            self.cache.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        rest = [c for c in new if c not in self.cache]
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.cache.update((c, np.array(e.ids, "<i4").tobytes()) for c, e in zip(part, done, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without special tokens."""
@@ -45,10 +71,7 @@ class Coder:
         split = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
         cache = self.cache
         new = list(set().union(*split).difference(cache))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            cache.update((c, np.array(e.ids, "<i4").tobytes()) for c, e in zip(part, done, strict=True))
+        self.learn(new)
         out = [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
         # what comes early comes often: a full cache keeps what it has
         for c in new if len(cache) > CACHE_CHUNKS else [c for c in new if len(c) > 1000]:
