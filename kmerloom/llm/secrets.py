@@ -149,4 +149,25 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_secret_scans": op4_secret_scans}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """DuckDB: every rule over every text, places from the pieces between matches."""
+    each = []
+    for rank, r in enumerate(RULES):
+        regex = r.regex.replace("'", "''")
+        each.append(f"SELECT r, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, regexp_split_to_array(t, '{regex}') AS gaps, regexp_extract_all(t, '{regex}') AS al, regexp_extract_all(t, '{regex}', {r.group}) AS part FROM d WHERE regexp_matches(t, '{regex}')")
+    sizes = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    start = f"cast({sizes.format('gaps[1:i]')} + {sizes.format('al[1:i-1]')} AS bigint)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    base = ", ".join(f"'{k}'" for k in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(each)}),
+s AS (SELECT r, kind, rank, {start} AS a, length(al[i]) AS n FROM m, LATERAL (SELECT unnest(range(1, len(al) + 1)) AS i) WHERE length(part[i]) >= least),
+l AS (SELECT *, concat(kind, ':', a, ':', a + n) AS said FROM s)
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg(said, ',' ORDER BY a, rank) FILTER (kind IN ({base})), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY a, rank), '') AS spans
+FROM d LEFT JOIN l USING (r) GROUP BY d.r"""
+
+
+ORACLES: dict[str, str] = {"op4_secret_scans": _oracle()}
