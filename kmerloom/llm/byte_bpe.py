@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import ship, table
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 _LONG = 256
 #: A pattern of which no match crosses a single space before other text, nor a single line end.
@@ -277,12 +277,20 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
     return coded.select("doc_id", "ids").mapInArrow(_decoder(p, q), "doc_id long, ids binary, text binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids, text): encoded and decoded again, both in one pass of the same worker."""
+    ship(docs.sparkSession)
+    p, q = path or _files()[0], pattern or _files()[1]
+    encoder, decoder = _coder(p, q), _decoder(p, q)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: decoder(encoder(batches)), "doc_id long, ids binary, text binary")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs))
+    both = round_trip(docs)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

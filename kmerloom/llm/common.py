@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch between the JVM and Python where the session has Spark's default: ten thousand texts would be too much at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session, as ``spark-submit --py-files`` would."""
+    """Give the executors this package, once a session, as ``spark-submit --py-files`` would, and keep batches of texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_kmerloom_shipped", False):
         return

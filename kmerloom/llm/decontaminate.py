@@ -141,7 +141,9 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 FOUND = "__words long, __spans array<struct<start:int,end:int>>, __items array<string>"
 
 
-def _matcher(held, first: bool):
+def _matcher(held, first: bool, cut: tuple[int, int] | None = None):
+    """Adds what the held automaton finds to the columns of FOUND. cut: the least words of a span, and of a document with only shorter
+    spans the most words, for spans to leave the text."""
     spans_type, items_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +160,13 @@ def _matcher(held, first: bool):
                 n_words.append(len(seq))
                 spans.append([{"start": x, "end": y} for x, y in s])
                 items.append(sorted(found))
-            own = [b.column(k) for k in b.schema.names if k not in ("__words", "__spans", "__items")]
             names = [k for k in b.schema.names if k not in ("__words", "__spans", "__items")]
+            own = [b.column(k) for k in names]
+            if cut and any(spans):
+                least, short = cut
+                at = names.index("text")
+                texts = [_cut(t.as_py(), [x for x in s if x["end"] - x["start"] >= least or n <= short]) if s else t.as_py() for t, s, n in zip(own[at], spans, n_words, strict=True)]
+                own[at] = pa.array(texts, b.schema.field("text").type)
             yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, items_type)], names=[*names, "__words", "__spans", "__items"])
 
     return match
@@ -180,20 +187,24 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: tuple[int, int] | None = None) -> DataFrame:
     """docs with ``__words`` (count), ``__spans`` (word spans inside windows, merged) and ``__items`` (ids of items found).
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one. Null and blank texts have no words; items
     without words have no windows; a null item_id is written "null"; repeated items count once; an empty benchmark finds
-    nothing; other columns of docs pass through.
+    nothing; other columns of docs pass through. With ``cut`` the spans also leave the text, see ``decontaminate``.
     """
     spark = docs.sparkSession
     ship(spark)
     out = docs.withColumn("__bytes", F.col("text").cast("binary"))
     plain = out.schema
     schema = T.StructType([*plain.fields, *T._parse_datatype_string(FOUND).fields])
-    for i, block in enumerate(_blocks(benchmark, block_words)):
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(Automaton(block, window)), not i), schema)
+    blocks, i = _blocks(benchmark, block_words), 0
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(Automaton(block, window)), not i, cut if after is None else None), schema)
+        block, i = after, i + 1
     return out.drop("__bytes")
 
 
@@ -216,22 +227,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Spans of ``max_span`` or more words, and all spans of an item that is shorter, are cut from the text; a document of which
     spans cover more than ``max_coverage`` goes. Documents that hold no passage stay as they are, null texts too.
     """
-    found = match(docs, benchmark, window, block_words)
+    found = match(docs, benchmark, window, block_words, (min(max_span, window), max_span))
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    least, names = min(max_span, window), docs.columns
-    found = found.where(hit <= F.col("__words") * F.lit(max_coverage))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.names.index("text")
-            spans = b.column("__spans").to_pylist()
-            texts = b.column(at)
-            if any(spans):
-                whole = [_cut(t.as_py(), [x for x in s if x["end"] - x["start"] >= least or n <= max_span]) if s else t.as_py() for t, s, n in zip(texts, spans, b.column("__words").to_pylist(), strict=True)]
-                texts = pa.array(whole, b.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([texts if k == "text" else b.column(k) for k in names], names=names)
-
-    return found.mapInArrow(cut, docs.schema)
+    return found.where(hit <= F.col("__words") * F.lit(max_coverage)).select(*docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,4 +267,17 @@ def digest(items: list[str]) -> str:
 
 
 QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination}
-ORACLES: dict[str, str] = {}
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT cast(item_id AS varchar) AS item, {_SQL_WORDS} AS w FROM benchmark),
+s AS (SELECT *, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS gram FROM s, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i)),
+x AS (SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS gram FROM d, (SELECT DISTINCT size FROM s), LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i)),
+h AS (SELECT r, size, i, item FROM x JOIN g USING (size, gram)),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM h, LATERAL (SELECT unnest(range(i, i + size)) AS p) GROUP BY r),
+k AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)"""
+}
