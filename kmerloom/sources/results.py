@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kmerloom.operators.diversity import nested
 
 # Formats by extension, columns of the TSV form.
-EXTENSIONS = {".dima": "compact", ".tsv": "tsv", ".tab": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl"}
+EXTENSIONS = {".parquet": "compact", ".tsv": "tsv", ".tab": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl"}
 FORMATS = ("json", "jsonl", "tsv", "compact")
 CODECS = {"none": "none", "lz4": "lz4", "zstd": "zstd"}
 TSV_COLUMNS = (
