@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from kmerloom.llm.common import fresh_path, ship, table, written
 
 END = 2
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 #: Rows of a row group of the index, bytes of a stripe.
 INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
 SCHEMA = "doc_id long, part int, place long, ids array<int>"
 #: A digit, which the tokenizer's split keeps by itself.
 _MARK = "0"
+#: Punctuation that may follow a word; special tokens end in none of it.
+_TAIL = ".,;:!?*&%$#"
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 _CODERS: dict[str, Coder] = {}
@@ -40,6 +42,7 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         only = self._ids(_MARK)
         self.mark = only[0] if len(only) == 1 else None
 
@@ -47,7 +50,21 @@ class Coder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, new: list[str]) -> None:
-        """Put the ids of new chunks into the cache. Many go as one text with marks between, a word that none of them holds and that has an id
+        """Put the ids of new chunks into the cache. A chunk that ends in ASCII punctuation after an ASCII letter is cut there, as the
+        tokenizer cuts it; plain ASCII words go in lower case, as it makes them; so fewer are new to it."""
+        bodies = [c.rstrip(_TAIL) for c in new]
+        bodies = [b if b and b[-1].isalpha() and b[-1].isascii() else c for b, c in zip(bodies, new, strict=True)]
+        tails = [c[len(b) :] for b, c in zip(bodies, new, strict=True)]
+        bodies = [b.lower() if b.isascii() and b.isalpha() else b for b in bodies]
+        pieces = self.pieces
+        fresh = list(set(bodies).union(tails).difference(pieces))
+        self.ask(fresh)
+        self.cache.update(zip(new, [pieces[b] + pieces[t] for b, t in zip(bodies, tails, strict=True)], strict=True))
+        for c in fresh if len(pieces) > CACHE_CHUNKS else [c for c in fresh if len(c) > 1000]:
+            del pieces[c]
+
+    def ask(self, new: list[str]) -> None:
+        """Put the tokenizer's ids of new pieces among the pieces. Many go as one text with marks between, a word that none of them holds and that has an id
         to itself, as a call for each costs more than its ids."""
         plain = [c for c in new if _MARK not in c] if self.mark is not None else []
         for at in range(0, len(plain), 5000):
@@ -58,12 +75,12 @@ class Coder:
                 plain = plain[:at]
                 break
             raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
-            self.cache.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
-        rest = [c for c in new if c not in self.cache]
+            self.pieces.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        rest = [c for c in new if c not in self.pieces]
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
             done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update((c, np.array(e.ids, "<i4").tobytes()) for c, e in zip(part, done, strict=True))
+            self.pieces.update((c, np.array(e.ids, "<i4").tobytes()) for c, e in zip(part, done, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without special tokens."""
@@ -113,6 +130,22 @@ def _encoder(path: str, end: int):
     return encode
 
 
+def _ranged(docs: DataFrame) -> DataFrame:
+    """docs dealt by ranges of doc_id of about equal number. The bounds come from the ids alone: a sort by range would read all texts to
+    sample them. A row's range is found by halving, so many ranges cost little."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    bounds = sorted(set(cuts or []))
+    steps = len(bounds).bit_length()
+    padded = F.lit(bounds + [(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))).cast("array<bigint>") if bounds else None
+    if padded is None:
+        return docs.repartition(1)
+    halves = F.array(*[F.lit(1 << i) for i in range(steps - 1, -1, -1)])
+    part = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.element_at(padded, at + h) < F.col("doc_id"), at + h).otherwise(at))
+    return docs.repartitionById(len(bounds) + 1, part)
+
+
 def write_tokens(docs: DataFrame, at: str, path: str | None = None, end: int = END) -> None:
     """Write the ids of ``docs(doc_id, text)`` with ``end`` after each document to ORC files under ``at``.
 
@@ -121,14 +154,14 @@ def write_tokens(docs: DataFrame, at: str, path: str | None = None, end: int = E
     """
     ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_encoder(path or _file(), end), SCHEMA)
+    coded = _ranged(own).sortWithinPartitions("doc_id", "text").mapInArrow(_encoder(path or _file(), end), SCHEMA)
     (
         coded.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(INDEX_ROWS))
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.encoding.strategy", "SPEED")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .orc(at)
     )
 
