@@ -3,9 +3,11 @@
 Counts. The words of all training texts are counted. The ``HEAD`` commonest, a fixed number, go to every task; what rarer words
 of a text count is found by a join on the word.
 
-Model. The ``MODEL`` commonest words are put into classes of about equal root frequency; all other words fall into further
+Model. The commonest words that together make up ``SHARE`` of the counted tokens, ``MODEL`` at least, have an embedding and an output row
+of their own, so their number grows with the corpus, up to the ``HEAD`` words that every task holds. They are put into classes of about
+equal root frequency, as many as make the two softmaxes of about equal cost, ``CLASSES`` at least; all other words fall into further
 classes by their last two bytes. A token's probability is that of its class given the state, times that of the word within the class: a
-second softmax for the commonest words, the add-one frequency within the class for others, so unseen words have one too.
+second softmax for the modelled words, the add-one frequency within the class for others, so unseen words have one too.
 
 Training. Every training text is read once a pass. Texts are dealt to rounds by a hash; in a round each task trains on its own rows
 from the same parameters, with the state carried from window to window of a text, and the tasks' parameters are averaged, weighted by
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 from kmerloom.llm.common import ship, table, written
 
 HEAD = 200_000
-MODEL, CLASSES, REST = 512, 16, 32
-DIM = HIDDEN = 12
-WINDOW, LANES, SCORE_LANES = 24, 512, 512
-ROUNDS = 3
+#: The share of tokens whose words are modelled, and the least numbers of modelled words and of their classes.
+SHARE = 0.7
+MODEL, CLASSES, REST = 2048, 32, 64
+DIM = HIDDEN = 16
+WINDOW, LANES, SCORE_LANES = 32, 512, 512
+ROUNDS = 4
 #: Small corpora are passed over until so many tokens are seen, at most MOST_PASSES times.
 LEAST_TOKENS, MOST_PASSES = 3_000_000, 6
 RATE = 0.08
@@ -53,6 +57,11 @@ def rest_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % REST
 
 
+def modelled(counts: np.ndarray, total: int) -> int:
+    """How many of the commonest words, given by falling count, the network knows: all up to SHARE of the tokens, MODEL at least."""
+    return min(len(counts), max(MODEL, int(np.searchsorted(np.cumsum(counts), SHARE * total)) + 1))
+
+
 class Vocabulary:
     """The commonest words with counts, ordered by falling count, and the totals that scores need."""
 
@@ -60,12 +69,15 @@ class Vocabulary:
         self.rank = {w: i for i, w in enumerate(words)}
         self.count = np.array(counts, np.int64)
         self.total, self.distinct = total, distinct
-        self.model = min(MODEL, len(words))
+        self.model = modelled(self.count, total)
+        self.rows = max(MODEL, self.model)
         self.rest = np.array(rest, np.float64).reshape(REST, 2)
         mass = np.sqrt(self.count[: self.model].astype(np.float64))
-        at = np.minimum((np.cumsum(mass) - mass) / max(mass.sum(), 1e-9) * CLASSES, CLASSES - 1).astype(np.int64)
-        self.class_of = np.concatenate([at, np.array([CLASSES + rest_class(w) for w in words[self.model :]], np.int64)])
-        self.start = np.searchsorted(at, np.arange(CLASSES + 1))
+        # with k classes a token costs about k columns of the first softmax and (sum of root frequencies)^2 / k of the second
+        self.classes = max(CLASSES, round(float(mass.sum()) / math.sqrt(max(total, 1))))
+        at = np.minimum((np.cumsum(mass) - mass) / max(mass.sum(), 1e-9) * self.classes, self.classes - 1).astype(np.int64)
+        self.class_of = np.concatenate([at, np.array([self.classes + rest_class(w) for w in words[self.model :]], np.int64)])
+        self.start = np.searchsorted(at, np.arange(self.classes + 1))
         self.end = self.rank.get(END, -1)
 
     def code(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
@@ -82,19 +94,24 @@ class Vocabulary:
 
     def inputs(self, ranks: np.ndarray) -> np.ndarray:
         """Input rows: a word's own if it is in the model, else its class's."""
-        cls = np.concatenate([self.class_of, CLASSES + np.arange(REST)[::-1]])[ranks]
-        return np.where((ranks >= 0) & (ranks < self.model), ranks, MODEL + cls - CLASSES).astype(np.int16), cls.astype(np.int16)
+        cls = np.concatenate([self.class_of, self.classes + np.arange(REST)[::-1]])[ranks]
+        return np.where((ranks >= 0) & (ranks < self.model), ranks, self.rows + cls - self.classes).astype(np.int32), cls.astype(np.int32)
 
 
 class Network:
-    """Parameters as one flat vector, with views."""
+    """Parameters as one flat vector, with views; SIZE is that of the smallest network."""
+
+    @staticmethod
+    def shapes(model: int = MODEL, classes: int = CLASSES) -> dict[str, tuple[int, ...]]:
+        return {"emb": (model + REST + 1, DIM), "wx": (DIM, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "cw": (HIDDEN, classes + REST), "cb": (classes + REST,), "ow": (model, HIDDEN), "ob": (model,)}
 
-    SHAPES = {"emb": (MODEL + REST + 1, DIM), "wx": (DIM, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "cw": (HIDDEN, CLASSES + REST), "cb": (CLASSES + REST,), "ow": (MODEL, HIDDEN), "ob": (MODEL,)}
-    SIZE = sum(math.prod(s) for s in SHAPES.values())
+    @classmethod
+    def size(cls, model: int = MODEL, classes: int = CLASSES) -> int:
+        return sum(math.prod(s) for s in cls.shapes(model, classes).values())
 
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, model: int = MODEL, classes: int = CLASSES):
         self.flat, at = flat, 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in self.shapes(model, classes).items():
             n = math.prod(shape)
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
@@ -102,18 +119,21 @@ class Network:
     @classmethod
     def fresh(cls, v: Vocabulary, seed: int = 5) -> np.ndarray:
         rng = np.random.default_rng(seed)
-        net = cls(np.zeros(cls.SIZE, np.float32))
+        net = cls(np.zeros(cls.size(v.rows, v.classes), np.float32), v.rows, v.classes)
         net.emb[:] = rng.normal(0, 0.3, net.emb.shape)
         net.wx[:] = rng.normal(0, DIM**-0.5, net.wx.shape)
         net.wh[:] = rng.normal(0, 0.7 * HIDDEN**-0.5, net.wh.shape)
         own = v.count[: v.model].astype(np.float64)
         net.ob[: v.model] = np.log(np.maximum(own, 1))
-        mass = np.concatenate([np.bincount(v.class_of[: v.model], own, CLASSES), v.rest[:, 0] + 0.5])
+        mass = np.concatenate([np.bincount(v.class_of[: v.model], own, v.classes), v.rest[:, 0] + 0.5])
         mass = np.maximum(mass, 1e-12 * mass.sum())  # a class without words takes nothing
         net.cb[:] = np.log(mass / mass.sum())
         return net.flat
 
 
+Network.SIZE = Network.size()
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(-x)) as a tanh, which needs no bounds, in place."""
     x *= np.float32(0.5)
@@ -164,9 +184,9 @@ class Runner:
     the sums in it."""
 
     def __init__(self, v: Vocabulary, flat: np.ndarray, squares: np.ndarray | None = None):
-        self.v, self.net = v, Network(flat)
-        self.squares = Network(squares) if squares is not None else None
-        self.first = MODEL + REST
+        self.v, self.net = v, Network(flat, v.rows, v.classes)
+        self.squares = Network(squares, v.rows, v.classes) if squares is not None else None
+        self.first = v.rows + REST
         self.held: dict[str, np.ndarray] = {}
 
     def buffer(self, name: str, *shape: int) -> np.ndarray:
@@ -187,7 +207,7 @@ class Runner:
         place += np.where(live, starts[number], 0)
         place[~live] = 0
         ins, cls = self.v.inputs(flat)
-        x = np.where(keep, ins[place - keep], np.int16(self.first))
+        x = np.where(keep, ins[place - keep], np.int32(self.first))
         y, c = flat[place], cls[place]
         del place, ins, cls, flat
         h = np.zeros((HIDDEN, number.shape[1]), np.float32)
@@ -228,7 +248,7 @@ class Runner:
         top = top.reshape(-1, HIDDEN)
         live, y, c = live.ravel(), y.ravel(), c.ravel()
         rows = np.arange(total_rows)
-        logits = np.matmul(top, net.cw, out=buffer("logits", total_rows, CLASSES + REST))
+        logits = np.matmul(top, net.cw, out=buffer("logits", total_rows, self.v.classes + REST))
         logits += net.cb
         logp, total = _softmax(logits, rows, c)
         if rate:
@@ -238,11 +258,12 @@ class Runner:
             self._step("cw", top.T @ logits, rate)
             self._step("cb", np.ones(total_rows, np.float32) @ logits, rate)
         # words within their class, class by class
-        known = np.flatnonzero(live & (c < CLASSES))
+        classes = self.v.classes
+        known = np.flatnonzero(live & (c < classes))
         known = known[np.argsort(c[known], kind="stable")]
-        edges = np.searchsorted(c[known], np.arange(CLASSES + 1)).tolist()
+        edges = np.searchsorted(c[known], np.arange(classes + 1)).tolist()
         start = self.v.start.tolist()
-        for k in range(CLASSES):
+        for k in range(classes):
             a, b = edges[k], edges[k + 1]
             lo, hi = start[k], start[k + 1]
             if a == b or hi - lo == 1:
@@ -347,7 +368,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     last2 = F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")
     for k, c, d in counts.groupBy((F.crc32(last2) % REST).cast("int").alias("k")).agg(F.sum("c"), F.count(F.lit(1))).collect():
         rest[k] = c, d
-    for c, w in top[:MODEL]:
+    for c, w in top[: modelled(np.array([c for c, _ in top], np.int64), n)]:
         rest[rest_class(w)] -= c, 1
     return Vocabulary([w for _, w in top], [c for c, _ in top], n, distinct, rest.tolist())
 
@@ -425,7 +446,8 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters learnt from all ``rows(ranks)``."""
     spark = rows.sparkSession
     flat = Network.fresh(v)
-    state = np.concatenate([flat, np.full(Network.SIZE, 1.0, np.float32)])
+    size = len(flat)
+    state = np.concatenate([flat, np.full(size, 1.0, np.float32)])
     passes = min(MOST_PASSES, max(1, -(-LEAST_TOKENS // max(1, v.total))))
     held = spark.sparkContext.broadcast(v)
     schema = "block int, weight double, values binary"
@@ -435,7 +457,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             own = now.value.copy()
-            runner = Runner(held.value, own[: Network.SIZE], own[Network.SIZE :])
+            runner = Runner(held.value, own[:size], own[size:])
             seen = 0
             for _, texts in _batched(batches):
                 seen += sum(map(len, texts))
@@ -453,7 +475,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
             values = np.frombuffer(bytes(r["values"]), "<f4")
             state[r["block"] * BLOCK : r["block"] * BLOCK + len(values)] = values
         now.unpersist()
-    return state[: Network.SIZE].copy()
+    return state[:size].copy()
 
 
 #: What scoring says of a row before rare words are looked up.
@@ -467,7 +489,7 @@ def _scorer(held, params):
         # for each rank, then each rest class from the end: what base and model add within a class
         seen = np.concatenate([np.log(v.count + 1.0), np.zeros(REST)])
         rest = np.log(v.rest.sum(1) + 1)
-        within = np.concatenate([np.zeros(v.model), seen[v.model : len(v.count)] - rest[v.class_of[v.model :] - CLASSES], -rest[::-1]])
+        within = np.concatenate([np.zeros(v.model), seen[v.model : len(v.count)] - rest[v.class_of[v.model :] - v.classes], -rest[::-1]])
         for rows, texts in _batched(batches):
             logs = runner.run(texts, SCORE_LANES)
             sizes = np.array([len(t) for t in texts], np.int64)

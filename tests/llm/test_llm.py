@@ -382,6 +382,24 @@ def test_lm_is_a_distribution():
     assert np.allclose(np.exp(per).sum(1), np.exp(ones), rtol=1e-4)
 
 
+def test_lm_vocabulary_grows(spark):
+    """The words in the network make up the stated share of the tokens however many there are, and have rows of their own."""
+    sizes = []
+    for n in (3000, 40_000):
+        counts = spark.range(n).select(F.concat(F.lit("w"), F.col("id")).cast("binary").alias("word"), F.floor(200_000 / (F.col("id") + 100)).alias("c"))
+        v = lm.vocabulary(counts)
+        assert v.count[: v.model].sum() >= 0.7 * v.total and v.model >= min(n, 2048) and v.classes >= 32
+        assert abs(v.rest[:, 0].sum() + v.count[: v.model].sum() - v.total) < 1 and v.rest[:, 1].sum() + v.model == v.distinct
+        ranks = np.arange(v.model)
+        own, cls = v.inputs(ranks)
+        assert (own == ranks).all() and cls.max() < v.classes and (v.inputs(np.arange(v.model, len(v.count)))[0] >= v.rows).all()
+        net = lm.Runner(v, lm.Network.fresh(v))
+        text = [np.array([v.model - 1, 5, v.model - 2])]
+        assert net.run(text, 1)[0] < 0 and net.net.emb.shape[0] > v.model and net.net.ow.shape[0] >= v.model
+        sizes.append(v.model)
+    assert sizes[1] > 2 * sizes[0] and sizes[1] > 2048
+
+
 def test_lm_gradients():
     """Backpropagation against finite differences."""
     v = lm.Vocabulary([bytes([65 + i]) for i in range(50)], list(range(90, 40, -1)), 4000, 50, [(1, 1)] * lm.REST)
