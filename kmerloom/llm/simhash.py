@@ -198,9 +198,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, halves: bool = True,
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each near-duplicate class: that with the smallest doc_id (of repeated ids, one row)."""
-    best = near_duplicates(docs, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("__best")).distinct()
-    return docs.join(best, F.col("doc_id").eqNullSafe(F.col("__best")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with exactly one row of each near-duplicate class: that with the smallest doc_id, nulls last, and of several such rows that
+    with the smallest text. Rows are told apart by a number of their own, so repeated and null ids join no classes."""
+    own = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(own.select(F.col("__row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"))
+    each = written(found.join(own.select("__row", F.col("doc_id").cast("long").alias("__id")), "__row"), "classes")
+    low = each.groupBy("__class").agg(F.min("__id").alias("__low"))
+    first = each.join(low, "__class").where("__id <=> __low").select("__class", "__row")
+    ends = first.groupBy("__class").agg(F.min("__row").alias("__row"), F.count(F.lit(1)).alias("__n"))
+    # only where ids tie are texts compared
+    ties = first.join(ends.where("__n > 1").select("__class"), "__class", "left_semi").join(own.select("__row", "text"), "__row")
+    least = ties.groupBy("__class").agg(F.min(F.struct("text", "__row")).alias("x")).select("x.__row")
+    best = ends.where("__n = 1").select("__row").unionByName(least)
+    return own.join(best, "__row", "left_semi").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

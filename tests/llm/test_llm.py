@@ -101,6 +101,15 @@ def test_simhash_edges(spark):
     assert len(simhash.masks(64, 2)) == 2081 and len(simhash.masks(32, 1)) == 33
 
 
+def test_simhash_keeps_a_text_of_each_class(spark):
+    """Rows that share an id, or have none, but not a class are all kept; of a class the smallest id, nulls last, then the smallest text."""
+    one, two = text(3, 60), text(4, 60)
+    lonely = [(None, text(i, 60)) for i in range(20, 26)] + [(7, text(i, 60)) for i in range(30, 34)]
+    rows = spark.createDataFrame([*lonely, (None, one), (3, one), (3, one), (2, two.upper()), (2, two), (None, two)], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(rows).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [*lonely, (3, one), (2, two.upper())]))
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------------------
 
 
