@@ -22,7 +22,6 @@ from kmerloom.llm.common import ship, table
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
-MAX_SPAN = 10
 MAX_COVERAGE = 0.5
 #: A-Z to a-z; 0-9, a-z and all bytes from 0x80 on are word bytes, the rest separate words.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -141,9 +140,9 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 FOUND = "__words long, __spans array<struct<start:int,end:int>>, __items array<string>"
 
 
-def _matcher(held, first: bool, cut: tuple[int, int] | None = None):
-    """Adds what the held automaton finds to the columns of FOUND. cut: the least words of a span, and of a document with only shorter
-    spans the most words, for spans to leave the text."""
+def _matcher(held, first: bool, cut: bool = False):
+    """Adds what the held automaton finds to the columns of FOUND. cut: the spans leave the text; each covers a whole window of an item,
+    so a short one is a whole short item."""
     spans_type, items_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +162,8 @@ def _matcher(held, first: bool, cut: tuple[int, int] | None = None):
             names = [k for k in b.schema.names if k not in ("__words", "__spans", "__items")]
             own = [b.column(k) for k in names]
             if cut and any(spans):
-                least, short = cut
                 at = names.index("text")
-                texts = [_cut(t.as_py(), [x for x in s if x["end"] - x["start"] >= least or n <= short]) if s else t.as_py() for t, s, n in zip(own[at], spans, n_words, strict=True)]
+                texts = [_cut(t.as_py(), s) for t, s in zip(own[at], spans, strict=True)]
                 own[at] = pa.array(texts, b.schema.field("text").type)
             yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, items_type)], names=[*names, "__words", "__spans", "__items"])
 
@@ -187,7 +185,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: tuple[int, int] | None = None) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
     """docs with ``__words`` (count), ``__spans`` (word spans inside windows, merged) and ``__items`` (ids of items found).
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one. Null and blank texts have no words; items
@@ -203,7 +201,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(Automaton(block, window)), not i, cut if after is None else None), schema)
+        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(Automaton(block, window)), not i, cut and after is None), schema)
         block, i = after, i + 1
     return out.drop("__bytes")
 
@@ -221,13 +219,13 @@ def _cut(text: str | None, spans: list) -> str | None:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without benchmark passages.
 
-    Spans of ``max_span`` or more words, and all spans of an item that is shorter, are cut from the text; a document of which
-    spans cover more than ``max_coverage`` goes. Documents that hold no passage stay as they are, null texts too.
+    All spans are cut from the text, those of items shorter than a window too; a document of which spans cover more than
+    ``max_coverage`` goes. Documents that hold no passage stay as they are, null texts too.
     """
-    found = match(docs, benchmark, window, block_words, (min(max_span, window), max_span))
+    found = match(docs, benchmark, window, block_words, True)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.where(hit <= F.col("__words") * F.lit(max_coverage)).select(*docs.columns)
 

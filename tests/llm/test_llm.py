@@ -147,6 +147,16 @@ def test_decontamination(spark, tmp_path):
     assert decontaminate.match(own.limit(0), bench).count() == 0
 
 
+def test_short_item_leaves_a_long_document(spark):
+    item = "seven words that no text else holds"
+    before, after = text(70, 50), text(71, 43)
+    own = docs_of(spark, [f"{before} <{item.upper()}> {after}", before, f"{before} {item[:-6]} {after}"])
+    bench = spark.createDataFrame([(1, item), (2, text(72, 30))], "item_id long, text string")
+    for blocks in ({}, {"block_words": 8}):
+        clean = {r.doc_id: r.text for r in decontaminate.decontaminate(own, bench, **blocks).collect()}
+        assert clean == {0: f"{before} <> {after}", 1: before, 2: f"{before} {item[:-6]} {after}"}
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------------
 
 
