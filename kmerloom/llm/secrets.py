@@ -1,6 +1,7 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
-Each rule's regex gives a Boolean trigram query: of what every match must contain, the alternatives and their trigrams. The index
+Each rule has a Boolean trigram query: of what every match must contain, the alternatives and their trigrams. The literals are written by
+hand beside the regex, not derived from it; whoever changes a regex must keep them sound, and a test holds every rule to a full scan. The index
 holds, for each trigram that some query names and each segment of the documents, the list of documents with that trigram.
 A query intersects the lists of a segment; what is left is joined to the texts and verified by the regex. Rules without a
 mandatory trigram (plain character classes) scan all texts.

@@ -193,6 +193,21 @@ def test_secrets(spark, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_every_rule_finds_what_a_full_scan_finds(spark, tmp_path):
+    """The literal lists are written by hand: no alternative of a regex may be missing from them."""
+    keys = ["password", "passwd", "secret", "token", "apikey", "api_key", "ApiKey", "PASSWD"]
+    texts = [f"{k}=abcdefgh1" for k in keys] + ["AKIA" + "A1" * 8, "0f" * 14, "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN A B PRIVATE KEY-----"]
+    texts += ["eyJ" + "aB3" * 4 + ".eyJ" + "x_-" * 4 + "." + "Zz9" * 4] + [f"gh{c}_" + "aZ9" * 12 for c in "pousr"] + ["gh_", "eyJ", "nothing here"]
+    texts = [f"{a} x {t} y" for t in texts for a in ("", "é")]
+    rows = {x.doc_id: x.spans or "" for x in secrets.op4_secret_scans(spark, tables(spark, tmp_path, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        want = {f"{r.kind}:{m.start()}:{m.end()}" for r in secrets.RULES for m in re.finditer(r.regex, t) if len(m[r.group]) >= r.least}
+        assert want == set(filter(None, rows[i].split(","))), t
+        seen |= {w.split(":")[0] for w in want}
+    assert seen == {r.kind for r in secrets.RULES}
+
+
 def test_trigram_queries(spark):
     assert secrets.trigrams(secrets.RULES[2]) == ()
     assert secrets.trigrams(secrets.RULES[1]) == ((("AKI", "KIA"),),)
