@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.ship import ship  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a batch between the JVM and Python where the session has Spark's default: ten thousand texts would be too much at once.
+#: Rows that Python handles at once: batches of the session's size, ten thousand texts by default, are taken in slices of it.
 BATCH_ROWS = 1000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session, as ``spark-submit --py-files`` would, and keep batches of texts small."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if getattr(sc, "_kmerloom_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    out = os.path.join(tempfile.mkdtemp(prefix="kmerloom-"), "kmerloom.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, f"kmerloom/{p.relative_to(package)}")
-    sc.addPyFile(out)
-    sc._kmerloom_shipped = True
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, none of them empty."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a local master, whose one machine runs
+    everything, may go without; it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark.sparkContext, "_kmerloom_shared", None)
         if not at:
             at = tempfile.mkdtemp(prefix="kmerloom-shared-")
@@ -48,7 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _SCRATCH:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,15 +58,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what ``written`` and ``fresh_path`` made inside; whoever needs a result later writes it before."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (any orderable type) as ``(node, root)``, root the smallest node reached.
 
     Alternating large-star and small-star rounds, each an aggregate and a join over the edges, written to the shared
-    folder; the number of rounds grows with the logarithm of the longest path. Nothing is collected but one checksum
-    a round. Self-loops and repeated edges do no harm; null ends are ignored.
+    folder; the number of rounds grows with the logarithm of the longest path. A round deletes what the one before it wrote. Joins are on
+    nodes: a centre with very many neighbours is one row of the smaller side, so that a skewed join splits its edges.
+    Nothing is collected but one checksum a round. Self-loops and repeated edges do no harm; null ends are ignored.
     """
-    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "edges")
+    spark = edges.sparkSession
+
+    def kept(e: DataFrame) -> tuple[DataFrame, str]:
+        path = fresh_path(spark, "edges")
+        e.write.parquet(path)
+        return spark.read.schema(e.schema).parquet(path), path
+
+    e, path = kept(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
         # large star: each larger neighbour points to the smallest node around u
@@ -78,7 +106,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         pairs = e.join(low, "u")
         e = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = written(e, "edges")
+        was = path
+        e, path = kept(e)
+        remove(spark, was)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

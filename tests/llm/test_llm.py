@@ -358,6 +358,51 @@ def test_neighbours(spark):
     assert [i for i, _ in got[100]][:3] == [i for i, _ in nearest(v, ids, 100, 3)]
 
 
+def test_neighbours_visit_less_of_more(spark):
+    """Recall holds at both sizes with measured probes, and the share of vectors that a query is compared with falls."""
+    rng, visited = np.random.default_rng(3), []
+    for n in (1000, 16000):
+        v = rng.normal(size=(n, 24))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        asked = list(range(0, n, n // 50))
+        got = {}
+        for r in neighbours.search(df, df.where(F.col("vec_id").isin(asked)), 10).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[q] & {i for i, _ in nearest(v, np.arange(n), q, 10)}) / 10 for q in asked]) >= 0.9
+        rows = df.select("vec_id", F.col("embedding").alias("v"))
+        scale = float(np.sqrt((v * v).sum(1).max()))
+        h, probes = neighbours.calibrate(rows, rows.where(F.col("vec_id").isin(asked)).withColumnRenamed("vec_id", "query_id"), n, 24, scale, 10, neighbours.TABLES, neighbours.hashes_for(n), neighbours.WIDTH, neighbours.TARGET, neighbours.SEED)
+        cells = h.codes(np.floor(h.project(v, False)).astype(np.int64), np.arange(h.tables))
+        place = h.project(v[asked], True)
+        hit = np.zeros((len(asked), n), bool)
+        for t in range(h.tables):
+            for i, own in enumerate(h.codes(h.probes(place[:, t], probes)[0], t)):
+                hit[i] |= np.isin(cells[:, t], own)
+        visited.append(hit.mean())
+    assert visited[1] < 0.7 * visited[0]
+
+
+def test_neighbours_bounded_groups(spark, monkeypatch):
+    """A hot vector, and parts cut into many pieces and slices: the same neighbours as without cuts."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 8))
+    v[200:400] = v[7]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, neighbours.search(df, df, 5).collect()))
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)
+    monkeypatch.setattr(neighbours, "PART_QUERIES", 50)
+    assert sorted(map(tuple, neighbours.search(df, df, 5).collect())) == want
+
+
+def test_perturbations_come_in_order():
+    h = neighbours.Hashes(3, 1.0, 4, 1)
+    place = np.array([[0.3, 1.6, -0.2, 5.01]])
+    cells, scores = h.probes(place, 30)
+    every = sorted(sum((x - np.floor(x)) ** 2 if d < 0 else (1 - (x - np.floor(x))) ** 2 if d else 0 for x, d in zip(place[0], ds)) for ds in np.ndindex(3, 3, 3, 3) for ds in [np.array(ds) - 1])
+    assert np.allclose(scores[0], every[:30]) and (cells[0, 0] == np.floor(place[0])).all()
+
+
 def test_neighbours_small(spark):
     v = np.eye(4)[[0, 0, 1, 2, 3]]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
