@@ -1,89 +1,226 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
-Each rule has a Boolean trigram query: of what every match must contain, the alternatives and their trigrams. The literals are written by
-hand beside the regex, not derived from it; whoever changes a regex must keep them sound, and a test holds every rule to a full scan. The index
-holds, for each trigram that some query names and each segment of the documents, the list of documents with that trigram.
-A query intersects the lists of a segment; what is left is joined to the texts and verified by the regex. Rules without a
-mandatory trigram (plain character classes) scan all texts.
+Each rule's regex gives a Boolean trigram query: what trigrams every match must hold, derived from the parse tree of the regex by way of
+its mandatory literal runs, alternations, small character classes and repeats. The index holds, for each trigram that some query
+names and each segment of the documents, the list of documents with that trigram. A query intersects and unites the lists of
+a segment; what is left is joined to the texts and verified by the regex. Rules without a mandatory trigram scan all texts.
 """
 
 from __future__ import annotations
 
+import re
+import re._constants as ops
+import re._parser as parser
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import table
+from kmerloom.llm.common import table, written
 
 #: Rows of a list of the index, about.
 SEGMENT_ROWS = 4096
+#: Strings that a part of a regex may stand for and still be spelt out, and the size up to which a character class is.
+SPELT, CLASS = 64, 8
+#: Matches of a text whose places are summed together.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; regex (leftmost, non-overlapping matches); least length of ``group`` for a match to count; the literal parts of which
-    every match holds one of each tuple, lower-case where ``fold`` says that letters match in either case."""
+    """kind; regex (leftmost, non-overlapping matches; read by Java, and by Python for its trigrams); least length of ``group`` for a
+    match to count."""
 
     kind: str
     regex: str
     group: int = 0
     least: int = 1
-    literals: tuple[tuple[str, ...], ...] = ()
-    fold: bool = False
     #: The same matches with the least length in the pattern, if there is such a form.
     tight: str = field(default="")
 
 
 # The base kinds in the order in which ties are listed, then what this library adds.
 RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, (("password", "passwd", "secret", "token", "apikey", "api_key"),), True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, (("AKIA",),), False, r"AKIA[A-Z0-9]{16,}"),
-    Rule("hex", r"[0-9a-f]+", 0, 24, (), False, r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, (("-----BEGIN ",), ("PRIVATE KEY-----",))),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, (("eyJ",),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24,}"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 BASE = ("assign", "access", "hex")
 
+#: A trigram query: a trigram, or ("all" | "any", parts). ("all", ()) asks for nothing.
+Query = str | tuple[str, tuple]
+NOTHING: Query = ("all", ())
 
-def trigrams(rule: Rule) -> tuple[tuple[tuple[str, ...], ...], ...]:
-    """The query of a rule: for all of these, any of these, all of these trigrams. Empty: no mandatory trigram."""
-    fold = (lambda x: x.lower()) if rule.fold else (lambda x: x)
-    each = [tuple(tuple(sorted({fold(x)[i : i + 3] for i in range(len(x) - 2)})) for x in any_of) for any_of in rule.literals]
-    return tuple(x for x in each if all(x))
+
+def _all(parts: list[Query]) -> Query:
+    flat = dict.fromkeys(p for q in parts for p in (q[1] if isinstance(q, tuple) and q[0] == "all" else (q,)))
+    return next(iter(flat)) if len(flat) == 1 else ("all", tuple(flat))
+
+
+def _any(parts: list[Query]) -> Query:
+    if not parts or NOTHING in parts:
+        return NOTHING
+    flat = dict.fromkeys(parts)
+    return next(iter(flat)) if len(flat) == 1 else ("any", tuple(flat))
+
+
+def _spelt(strings: set[str]) -> Query:
+    """What a text holds that has one of the strings. A string with more trigrams than another asks for nothing new beside it."""
+    grams = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings}
+    return _any([_all(sorted(g)) for g in sorted(grams, key=sorted) if not any(other < g for other in grams)])
+
+
+def _members(items: list, fold: bool) -> set[str] | None:
+    """The characters of a class if they are few, else None."""
+    out: set[str] = set()
+    for op, value in items:
+        if op is ops.LITERAL:
+            out.add(chr(value))
+        elif op is ops.RANGE and value[1] - value[0] < CLASS:
+            out.update(map(chr, range(value[0], value[1] + 1)))
+        else:
+            return None
+    out = {_lower(c) if fold else c for c in out}
+    return out if len(out) <= CLASS else None
+
+
+def _lower(c: str) -> str:
+    return chr(ord(c) + 32) if "A" <= c <= "Z" else c
+
+
+def _sequence(items: list, fold: bool) -> tuple[set[str] | None, Query]:
+    """(all strings it can match, if few; what a text with a match must hold) of nodes one after the other.
+
+    Runs of parts that can be spelt out are multiplied, so that trigrams reach over them; a part that cannot ends the run.
+    """
+    run, asks, whole = {""}, [], True
+    for node in items:
+        strings, query = _node(node, fold)
+        if strings is not None and len(run) * len(strings) <= SPELT:
+            run = {a + b for a in run for b in strings}
+            continue
+        whole = False
+        asks += [_spelt(run), query if strings is None else NOTHING]
+        run = strings if strings is not None else {""}
+    return (run if whole else None), _all([*asks, _spelt(run)])
+
+
+def _node(node: tuple, fold: bool) -> tuple[set[str] | None, Query]:
+    op, value = node
+    if op is ops.LITERAL:
+        c = chr(value)
+        return {_lower(c) if fold else c}, NOTHING
+    if op is ops.IN:
+        return _members(value, fold), NOTHING
+    if op is ops.SUBPATTERN:
+        group, on, off, inner = value
+        # flags inside a pattern are not followed: nothing is asked for then
+        return (None, NOTHING) if on or off else _sequence(list(inner), fold)
+    if op is ops.BRANCH:
+        each = [_sequence(list(b), fold) for b in value[1]]
+        if all(s is not None for s, _ in each) and len(found := set().union(*[s for s, _ in each])) <= SPELT:
+            return found, _spelt(found)
+        return None, _any([q if s is None else _spelt(s) for s, q in each])
+    if op is ops.AT:
+        return {""}, NOTHING
+    if op in (ops.MAX_REPEAT, ops.MIN_REPEAT):
+        least, most, inner = value
+        inner = list(inner)
+        if most <= 3:
+            each = [_sequence(inner * n, fold)[0] for n in range(least, most + 1)]
+            if all(s is not None for s in each) and len(found := set().union(*each)) <= SPELT:
+                return found, _spelt(found)
+        # at least so many of it, side by side; three give every trigram that more would
+        return None, _sequence(inner * min(least, 3), fold)[1] if least else NOTHING
+    return None, NOTHING
+
+
+@lru_cache(maxsize=None)
+def trigrams(regex: str) -> tuple[bool, Query]:
+    """(fold, query) of a regex: with fold, trigrams are those of the lower-cased text. NOTHING: no mandatory trigram.
+
+    Sound for what Java and Python read alike. Nodes that this does not know (references, look-around, classes by name) ask for nothing.
+    """
+    tree = parser.parse(regex)
+    fold = bool(tree.state.flags & re.IGNORECASE)
+    strings, query = _sequence(list(tree), fold)
+    return fold, _spelt(strings) if strings is not None else query
+
+
+def terms(query: Query) -> set[str]:
+    return {query} if isinstance(query, str) else set().union(*map(terms, query[1]))
+
+
+def holds(query: Query, text: str) -> bool:
+    """Whether a text satisfies a query, in plain Python."""
+    if isinstance(query, str):
+        return query in text
+    return (all if query[0] == "all" else any)(holds(q, text) for q in query[1])
+
+
+def _asks(rule: Rule) -> bool:
+    return trigrams(rule.regex)[1] != NOTHING
 
 
 def _terms(rules: tuple[Rule, ...]) -> list[tuple[bool, str]]:
-    return sorted({(r.fold, t) for r in rules for any_of in trigrams(r) for all_of in any_of for t in all_of})
+    return sorted({(fold, t) for fold, query in (trigrams(r.regex) for r in rules) for t in terms(query)})
 
 
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment_rows: int = SEGMENT_ROWS, segments: int | None = None) -> DataFrame:
     """(segment, fold, trigram, postings) of ``docs(doc_id, text)``: the distinct doc_ids with the trigram, ascending.
 
-    Trigrams under fold are those of the lower-cased text. Rows without text or doc_id are not in it.
+    Trigrams under fold are those of the lower-cased text. Rows without text or doc_id are not in it; repeated ids share a place.
     """
     n = segments or max(1, -(-docs.count() // segment_rows))
-    terms = _terms(rules)
-    held = F.array(*[F.when((F.col("low") if fold else F.col("text")).contains(t), F.lit(i)) for i, (fold, t) in enumerate(terms)])
-    names = F.array(*[F.struct(F.lit(fold).alias("fold"), F.lit(t).alias("trigram")) for fold, t in terms])
-    rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.lower("text").alias("low")).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("segment"), F.explode(F.array_compact(held)).alias("term"))
-    return rows.groupBy("segment", "term").agg(F.array_sort(F.collect_set("doc_id")).alias("postings")).select("segment", F.element_at(names, F.col("term") + 1).alias("t"), "postings").select("segment", "t.fold", "t.trigram", "postings")
+    named = _terms(rules)
+    names = F.array(*[F.struct(F.lit(fold).alias("fold"), F.lit(t).alias("trigram")) for fold, t in named]) if named else F.array().cast("array<struct<fold:boolean,trigram:string>>")
+    own = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*[F.when((F.col("low") if fold else F.col("t")).contains(t), F.lit(i)) for i, (fold, t) in enumerate(named)])) if named else F.array().cast("array<int>")
+    rows = own.select("id", F.pmod(F.xxhash64("id"), F.lit(n)).alias("segment"), F.explode(held).alias("term"))
+    lists = rows.groupBy("segment", "term").agg(F.array_sort(F.collect_set("id")).alias("postings"))
+    return lists.select("segment", F.element_at(names, F.col("term") + 1).alias("t"), "postings").select("segment", "t.fold", "t.trigram", "postings")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, kinds) that the index leaves for the rules that have a query: lists of a segment intersected and united."""
-    rules = tuple(r for r in rules if trigrams(r))
+    """(id, kinds) that the index leaves for the rules that have a query: lists of a segment intersected and united."""
+    rules = tuple(r for r in rules if _asks(r))
     lists = index.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("fold", "trigram"), "postings"))).alias("lists"))
+    none = F.slice(F.element_at(F.map_values("lists"), 1), 1, 0)
+
+    def of(query: Query, fold: bool) -> Column:
+        if isinstance(query, str):
+            return F.coalesce(F.element_at("lists", F.struct(F.lit(fold).alias("fold"), F.lit(query).alias("trigram"))), none)
+        return reduce(F.array_intersect if query[0] == "all" else F.array_union, [of(q, fold) for q in query[1]])
+
+    found = [F.struct(F.lit(r.kind).alias("kind"), of(query, fold).alias("ids")) for r in rules for fold, query in [trigrams(r.regex)]]
+    if not found:
+        return lists.select(F.explode(none).alias("id"), F.array().cast("array<string>").alias("kinds"))
+    each = lists.select(F.explode(F.array(*found)).alias("x")).select("x.kind", F.explode("x.ids").alias("id"))
+    return each.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+
+
+def _before(items: Column, value, join, start) -> Column:
+    """items as structs (x, at): at is ``start`` joined with the values of all items before x.
+
+    Spark copies an array to append to it; so sums run within blocks, and over blocks, which keeps a text of many matches far from the
+    square of their number.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(start), lambda s, x: join(s, value(x))))
+    heads = F.aggregate(totals, F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, t: F.struct(join(s["at"], t).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"])
+
+    def within(z: Column) -> Column:
+        ats = F.aggregate(z["b"], F.struct(z["h"].alias("at"), F.array().cast("array<int>").alias("all")), lambda s, x: F.struct(join(s["at"], value(x)).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"])
+        return F.arrays_zip(z["b"].alias("x"), ats.alias("at"))
+
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), heads.alias("h")), within))
 
-    def of(rule: Rule) -> Column:
-        get = lambda t: F.coalesce(F.element_at("lists", F.struct(F.lit(rule.fold).alias("fold"), F.lit(t).alias("trigram"))), F.array().cast("array<long>"))
-        all_of = lambda ts: reduce(F.array_intersect, map(get, ts))
-        return reduce(F.array_intersect, [reduce(F.array_union, map(all_of, any_of)) for any_of in trigrams(rule)])
 
-    each = lists.select(F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), of(r).alias("ids")) for r in rules])).alias("x")).select("x.kind", F.explode("x.ids").alias("doc_id"))
-    return each.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -92,18 +229,12 @@ def spans_of(text: Column, rule: Rule) -> Column:
     least, group = (1, 0) if rule.tight else (rule.least, rule.group)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     measured = F.regexp_extract_all(text, regex, F.lit(group)) if group else whole
-    pieces = F.arrays_zip(F.split(text, regex, -1).alias("gap"), whole.alias("all"), measured.alias("part"))
-    kind = F.lit(rule.kind)
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["all"]), F.lit(0))
-        here = F.struct(start.alias("start"), end.alias("end"), kind.alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.array_append(state["found"], here)).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda s: s["found"])
-    return F.when(text.rlike(rule.tight or rule.regex), found).otherwise(empty)
+    sizes = lambda c: F.transform(c, lambda x: F.length(x))
+    pieces = F.arrays_zip(sizes(F.split(text, regex, -1)).alias("gap"), sizes(whole).alias("all"), sizes(measured).alias("part"))
+    placed = _before(F.filter(pieces, lambda p: p["all"].isNotNull()), lambda p: p["gap"] + p["all"], lambda a, b: a + b, 0)
+    good = F.filter(placed, lambda p: p["x"]["part"] >= least)
+    found = F.transform(good, lambda p: F.struct((p["at"] + p["x"]["gap"]).alias("start"), (p["at"] + p["x"]["gap"] + p["x"]["all"]).alias("end"), F.lit(rule.kind).alias("kind")))
+    return F.when(text.rlike(rule.tight or rule.regex), found).otherwise(F.array().cast(SPANS))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -111,33 +242,41 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment_rows:
 
     Rules are verified on the candidates of the index and, where they have no query, on all texts. Null and empty texts have no spans;
     rows with a null doc_id are not in the index and are scanned by all rules; repeated ids are candidates together; an
-    empty table gives an empty result; other columns pass through.
+    empty table gives an empty result; other columns pass through whatever their names, but for ``__spans``, which is replaced.
     """
-    found = candidates(build_index(docs.select("doc_id", "text"), rules, segment_rows), rules).withColumnRenamed("doc_id", "__id")
-    text = F.coalesce("text", F.lit(""))
-    order = {r.kind: i for i, r in enumerate(rules)}
-    scanned = [spans_of(text, r) for r in rules if not trigrams(r)]
-    first = docs.withColumn("__full", F.concat(*scanned) if scanned else F.array().cast("array<struct<start:int,end:int,kind:string>>"))
-    joined = first.join(found, F.col("doc_id") == F.col("__id"), "left")
-    verified = [F.when(F.array_contains("kinds", r.kind) | F.col("doc_id").isNull(), spans_of(text, r)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>")) for r in rules if trigrams(r)]
-    rank = F.create_map(*[F.lit(x) for k, i in order.items() for x in (k, i)])
-    each = F.concat("__full", *verified)
-    ranked = F.array_sort(F.transform(each, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    # the candidates as a table: its size is known when the join is planned, so texts are only shuffled if it is too large to send
+    found = written(candidates(build_index(docs.select("doc_id", "text"), rules, segment_rows), rules), "candidates")
+    empty = F.array().cast(SPANS)
+    text = F.coalesce("row.text", F.lit(""))
+    # the caller's columns live in a struct of their own, so no name of theirs meets one of ours
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "__spans"]).alias("row"))
+    joined = own.join(found, F.col("row.doc_id") == F.col("id"), "left")
+    each = [F.when(F.array_contains("kinds", r.kind) | F.col("row.doc_id").isNull(), spans_of(text, r)).otherwise(empty) if _asks(r) else spans_of(text, r) for r in rules]
+    rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
+    ranked = F.array_sort(F.transform(F.flatten(F.array(*each)), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     listed = F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return joined.select(*docs.columns, F.when(F.size(each) > 0, listed).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("__spans"))
+    return joined.select("row", listed.alias("__spans")).select("row.*", "__spans")
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every span (overlapping ones together) replaced by ``mask``; texts without secrets stay as they are."""
-    found = find_secrets(docs, rules)
+    """docs with every span (overlapping ones together) replaced by ``mask``; texts without secrets stay as they are.
+
+    Null texts stay null; columns and their names pass through as they are, but for ``__spans``, which is dropped.
+    """
+    columns = [c for c in docs.columns if c != "__spans"]
+    found = find_secrets(docs, rules).withColumn("__spans", _before(F.col("__spans"), lambda s: s["end"], F.greatest, 0))
     text = F.col("text")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__spans") / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice("__spans", b * BLOCK + 1, BLOCK))
+    # each block's stretch of the text is cut out once, its pieces from that
+    ends = lambda b: F.array_max(F.transform(b, lambda s: F.greatest(s["x"]["end"], s["at"])))
+    parts = F.transform(blocks, lambda b: F.struct(b.alias("spans"), b[0]["at"].alias("low"), F.substring(text, b[0]["at"] + 1, ends(b) - b[0]["at"]).alias("part")))
 
-    def add(state: Column, s: Column) -> Column:
-        put = F.when(s["start"] >= state["at"], F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), put.alias("out"))
+    def masked(p: Column) -> Column:
+        piece = lambda s: F.when(s["x"]["start"] >= s["at"], F.concat(F.substring(p["part"], s["at"] - p["low"] + 1, s["x"]["start"] - s["at"]), F.lit(mask))).otherwise("")
+        return F.array_join(F.transform(p["spans"], piece), "")
 
-    masked = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.select(*[F.when(F.size("__spans") > 0, masked).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    whole = F.concat(F.array_join(F.transform(parts, masked), ""), F.substring(text, ends(F.col("__spans")) + 1, F.length(text)))
+    return found.select(*[F.when(F.size("__spans") > 0, whole).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

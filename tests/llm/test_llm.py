@@ -194,7 +194,7 @@ def test_secrets(spark, tmp_path):
 
 
 def test_every_rule_finds_what_a_full_scan_finds(spark, tmp_path):
-    """The literal lists are written by hand: no alternative of a regex may be missing from them."""
+    """The index path of each rule against a scan of everything."""
     keys = ["password", "passwd", "secret", "token", "apikey", "api_key", "ApiKey", "PASSWD"]
     texts = [f"{k}=abcdefgh1" for k in keys] + ["AKIA" + "A1" * 8, "0f" * 14, "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN A B PRIVATE KEY-----"]
     texts += ["eyJ" + "aB3" * 4 + ".eyJ" + "x_-" * 4 + "." + "Zz9" * 4] + [f"gh{c}_" + "aZ9" * 12 for c in "pousr"] + ["gh_", "eyJ", "nothing here"]
@@ -209,10 +209,67 @@ def test_every_rule_finds_what_a_full_scan_finds(spark, tmp_path):
 
 
 def test_trigram_queries(spark):
-    assert secrets.trigrams(secrets.RULES[2]) == ()
-    assert secrets.trigrams(secrets.RULES[1]) == ((("AKI", "KIA"),),)
+    want = {
+        "assign": (True, {"pas", "ass", "ssw", "swo", "wor", "ord", "swd", "sec", "ecr", "cre", "ret", "tok", "oke", "ken", "api", "pik", "ike", "key", "pi_", "i_k", "_ke"}),
+        "access": (False, {"AKI", "KIA"}),
+        "hex": (False, set()),
+        "jwt": (False, {"eyJ", ".ey"}),
+        "github": (False, {f"gh{c}" for c in "pousr"} | {f"h{c}_" for c in "pousr"}),
+    }
+    for r in secrets.RULES:
+        fold, query = secrets.trigrams(r.regex)
+        if r.kind in want:
+            assert (fold, secrets.terms(query)) == want[r.kind], r.kind
+    assert secrets.trigrams("AKIA[A-Z]+")[1] == ("all", ("AKI", "KIA"))
+    assert secrets.trigrams("(?i)ABC|xyz")[1] == ("any", ("abc", "xyz"))
+    assert secrets.trigrams("(?:abc)?x+y*z{2}")[1] == secrets.NOTHING and secrets.trigrams("x{2,}y")[1] == secrets.NOTHING
+    assert secrets.trigrams("(?:ab){2,}")[1] == ("all", ("aba", "bab")) and secrets.trigrams("(?=abc)a.c")[1] == secrets.NOTHING
     index = secrets.build_index(spark.createDataFrame([(1, "a PaSsWoRd here"), (2, "pass word"), (3, None)], "doc_id long, text string"), segments=2)
-    assert [r.doc_id for r in secrets.candidates(index).collect()] == [1]
+    assert [r.id for r in secrets.candidates(index).collect()] == [1]
+
+
+def test_no_match_is_outside_its_trigram_query():
+    """Random regexes: every text with a match satisfies the query that was derived."""
+    r = random.Random(11)
+
+    def regex(depth):
+        kind = r.randrange(7) if depth else 0
+        if kind <= 1:
+            return "".join(r.choice("abAB_") for _ in range(r.randrange(1, 4)))
+        if kind == 2:
+            return r.choice(["[ab]", "[a-c]", "[^a]", ".", "[A-Za-z_]", "\\w", "\\b"])
+        if kind == 3:
+            return f"(?:{regex(depth - 1)}|{regex(depth - 1)}|{regex(depth - 1)})"
+        if kind == 4:
+            return f"(?:{regex(depth - 1)}){r.choice(['?', '*', '+', '{2}', '{1,2}', '{2,}', '{0,3}', '+?'])}"
+        return regex(depth - 1) + regex(depth - 1)
+
+    tried = asked = 0
+    while tried < 3000:
+        own = r.choice(["", "(?i)"]) + regex(4)
+        fold, query = secrets.trigrams(own)
+        asked += query != secrets.NOTHING
+        for _ in range(8):
+            t = "".join(r.choice("abABc_") for _ in range(r.randrange(3, 14)))
+            if re.search(own, t, re.A):
+                tried += 1
+                assert secrets.holds(query, t.lower() if fold else t), (own, t, query)
+    assert asked > 100
+
+
+def test_secrets_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "x password=hunter22 y", 1, 2, 3, 4, 5), (2, None, 1, 2, 3, 4, 5)], "doc_id long, text string, kinds int, id int, row int, `__full` int, `a.b` int")
+    assert [len(x["__spans"]) for x in secrets.find_secrets(rows).orderBy("doc_id").collect()] == [1, 0]
+    got = secrets.redact(rows).orderBy("doc_id").collect()
+    assert secrets.redact(rows).columns == rows.columns and [tuple(x) for x in got] == [(1, "x [SECRET] y", 1, 2, 3, 4, 5), (2, None, 1, 2, 3, 4, 5)]
+
+
+def test_secrets_in_a_text_of_very_many(spark):
+    t = " ".join(f"é{i} " + "0123456789abcdef" * 2 for i in range(3000)) + " token=abcdefgh"
+    d = docs_of(spark, [t])
+    found = secrets.find_secrets(d).first()["__spans"]
+    assert [(s.start, s.end) for s in found] == [m.span() for m in re.finditer("[0-9a-f]{24,}|token=[a-z]+", t)]
+    assert secrets.redact(d).first().text == re.sub("[0-9a-f]{24,}|token=[a-z]+", "[SECRET]", t)
 
 
 # 7 ----------------------------------------------------------------------------------------------------------------------------
