@@ -333,6 +333,32 @@ def test_sharding(spark, tmp_path):
     assert sharding.shard_rows(docs_of(spark, []))[0].count() == 0
 
 
+def test_slots_depend_on_rows_alone(spark):
+    texts = [*ODD, *[text(i, 20) for i in range(500)], *["same"] * 200]
+    own = docs_of(spark, texts).unionByName(docs_of(spark, ["again"] * 3, 5))
+    slots = []
+    for docs in (own.repartition(1), own.repartition(7, "text"), own.orderBy(F.col("doc_id").desc())):
+        rows, _ = sharding.shard_rows(docs, 4, 2000)
+        slots.append({(r.shard, r.slot): (r.doc_id, r.text) for r in sharding.with_slots(rows).collect()})
+    assert slots[0] == slots[1] == slots[2] and len(slots[0]) == len(texts) + 3
+    # a shuffle, not an order: neighbours in a shard are not neighbours by hash
+    other = {(r.shard, r.slot): (r.doc_id, r.text) for r in sharding.with_slots(sharding.shard_rows(own, 4, 2000, seed=5)[0]).collect()}
+    assert sum(other.get(k) == v for k, v in slots[0].items()) < 100
+
+
+def test_sharding_edges(spark):
+    clash = spark.createDataFrame([(1, "a", 7, "b", 1.5, {"k": 1}), (None, None, 8, "c", None, None), (None, "x", 8, "c", None, None)], "doc_id long, text string, shard int, bucket string, bucket_ double, place map<string,int>")
+    rows, _ = sharding.shard_rows(clash, 4)
+    assert set(rows.columns) == {"shard", "bucket", "place", "doc_id", "text", "shard_", "bucket__", "bucket_", "place_"}
+    assert sorted((r.text or "", r.shard_, r["bucket__"], r["place_"]) for r in rows.collect()) == [("", 8, "c", None), ("a", 7, "b", {"k": 1}), ("x", 8, "c", None)]
+    assert rows.where("doc_id IS NULL").select("shard").distinct().count() == 1
+    hot = docs_of(spark, [text(i, 50) for i in range(200)]).unionByName(spark.createDataFrame([(3, "hot hot hot", "clash", "clash", 1)] * 3000, DOCS))
+    rows, _ = sharding.shard_rows(hot, 2, 2000, repeats=200)
+    held = rows.where("text = 'hot hot hot'").groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in held) == 3000 and len(held) > 3 and max(r["count"] for r in held) < 1500
+    assert rows.count() == 3200 and sharding.with_slots(rows).select("shard", "slot").distinct().count() == 3200
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------------------
 
 
