@@ -1,13 +1,15 @@
 """WARC archives by way of a chunked record table.
 
-A page becomes rows (record, chunk number) of at most ``chunk`` payload bytes, each a WARC record of its own: the first is the response,
-further ones continue it as numbered segments. No step holds more of a payload than a row's chunk once pages are cut, and
-digests are carried from chunk to chunk. Chunks end inside any "WARC/1.1" of a payload, so that this line only ever starts
-a record and archives can be split and read in parallel at it.
+A page becomes rows (record, chunk number) of at most ``chunk`` payload bytes right behind the scan, in SQL; Python never sees a whole payload.
+Each chunk is a WARC record of its own: the first is the response, further ones continue it as numbered segments. Digests are carried
+from chunk to chunk, when payloads are compared, when they are written (the last segment has the digest of the payload) and when they
+are read. A chunk that holds the line that starts records is written in base64, so that this line only ever starts a record
+and archives can be split and read in parallel at it.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -15,75 +17,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import fresh_path, ship, table, written
+from kmerloom.llm.common import fresh_path, ship, sliced, table, written
 
-CHUNK = 256 << 10
+CHUNK = 32 << 10
 #: Payloads of fewer bytes are never revisits.
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
-_MARK = b"WARC/1.1"
+_MARK = b"WARC/1.1\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Chunk rows that Python holds at once.
+_ROWS = 64
 
 
-def chunks(payload: bytes, size: int = CHUNK) -> Iterator[memoryview]:
-    """Pieces of at most ``size`` bytes, none of which holds the mark. An empty payload is one empty piece."""
-    view, at = memoryview(payload), 0
-    while True:
-        end = min(at + size, len(payload))
-        mark = payload.find(_MARK, at, end)
-        if mark >= 0:
-            end = mark + 4
-        yield view[at:end]
-        at = end
-        if at >= len(payload):
-            return
+def chunked(pages: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The chunked record table of ``pages(html binary, ...)``: its other columns with ``size`` (bytes of the payload), ``chunk``, ``last`` and
+    ``data``. Chunks of a page follow one another in its partition. An empty payload has one empty chunk."""
+    others = [c for c in pages.columns if c != "html"]
+    rows = pages.withColumn("size", F.octet_length("html").cast("long")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / size).cast("int") - 1, F.lit(0)))))
+    return rows.select(*others, "size", "chunk", ((F.col("chunk") + 1).cast("long") * size >= F.col("size")).alias("last"), F.substring("html", F.col("chunk") * size + 1, F.lit(size)).alias("data"))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows (page_id, key, size, chunk, last, data), chunk after chunk, to (page_id, key, size, digest)."""
+    sha = hashlib.sha1()
+    for b in sliced(batches, _ROWS):
+        rows: list[tuple] = []
+        for page, key, size, chunk, last, data in zip(*b.columns, strict=True):
+            if not chunk.as_py():
+                sha = hashlib.sha1()
+            sha.update(memoryview(data.as_buffer()))
+            if last.as_py():
+                rows.append((page.as_py(), key.as_py(), size.as_py(), sha.hexdigest()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["page_id", "key", "size", "digest"])
 
 
 def _line(name: str, value: object) -> bytes:
     return f"{name}: {value}\r\n".encode() if value is not None else b""
 
 
-def _records(size: int, date: str):
-    """Batches of pages (page_id, url, html, digest, refers_to) to batches of WARC records without the leading mark line."""
+def _records(date: str):
+    """Chunk rows (page_id, url, refers_to, digest, size, chunk, last, data) to WARC records without the leading mark line."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, row = TaskContext.get().partitionId(), 0
-        for b in batches:
+        task, row, sha = TaskContext.get().partitionId(), 0, hashlib.sha1()
+        for b in sliced(batches, _ROWS):
             out: list[bytes] = []
-            held = 0
-            for page, url, html, digest, refers in zip(*b.columns, strict=True):
-                row += 1
-                page, url, refers = page.as_py(), url.as_py(), refers.as_py()
+            for page, url, refers, digest, size, chunk, last, data in zip(*b.columns, strict=True):
+                page, url, refers, number, last = page.as_py(), url.as_py(), refers.as_py(), chunk.as_py() + 1, last.as_py()
+                if number == 1:
+                    row, sha = row + 1, hashlib.sha1()
                 target = url.replace("\r", "%0D").replace("\n", "%0A").replace("WARC/", "WARC%2F") if url is not None else None
                 own = f"urn:x-page:{page}:{task}-{row}"
                 same = _line("X-Page-ID", page) + _line("WARC-Target-URI", target) + _line("WARC-Date", date)
                 if refers is not None:
-                    head = _line("WARC-Type", "revisit") + _line("WARC-Record-ID", f"<{own}>") + same + _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest") + _line("WARC-Refers-To", f"<urn:x-page:{refers}>") + _line("WARC-Payload-Digest", f"sha1:{digest}") + _line("Content-Length", 0)
-                    out.append(head + b"\r\n\r\n")
+                    head = _line("WARC-Type", "revisit") + _line("WARC-Record-ID", f"<{own}>") + same + _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+                    out.append(head + _line("WARC-Refers-To", f"<urn:x-page:{refers}>") + _line("WARC-Payload-Digest", f"sha1:{digest.as_py()}") + _line("Content-Length", 0) + b"\r\n\r\n")
                     continue
-                payload = html.as_py() or b""
-                pieces = chunks(payload, size)
-                piece = next(pieces)
-                number = 1
-                while piece is not None:
-                    after = next(pieces, None)
-                    block = (_HTTP if number == 1 else b"") + bytes(piece)
-                    if number == 1:
-                        head = _line("WARC-Type", "response") + _line("WARC-Record-ID", f"<{own}>") + same + _line("WARC-Payload-Digest", f"sha1:{digest}") + _line("Content-Type", "application/http;msgtype=response")
-                        head += _line("WARC-Segment-Number", 1) if after is not None else b""
-                    else:
-                        head = _line("WARC-Type", "continuation") + _line("WARC-Record-ID", f"<{own}:{number}>") + same + _line("WARC-Segment-Origin-ID", f"<{own}>") + _line("WARC-Segment-Number", number)
-                        head += _line("WARC-Segment-Total-Length", len(_HTTP) + len(payload)) if after is None else b""
-                    out.append(head + _line("Content-Length", len(block)) + b"\r\n" + block + b"\r\n")
-                    held += len(block)
-                    piece, number = after, number + 1
-                    if held >= 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                        out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                piece = data.as_py()
+                sha.update(piece)
+                coded = _MARK in piece + b"\r\n"
+                block = (_HTTP if number == 1 else b"") + (base64.b64encode(piece) if coded else piece)
+                if number == 1:
+                    head = _line("WARC-Type", "response") + _line("WARC-Record-ID", f"<{own}>") + same + _line("Content-Type", "application/http;msgtype=response")
+                    head += b"" if last else _line("WARC-Segment-Number", 1)
+                else:
+                    head = _line("WARC-Type", "continuation") + _line("WARC-Record-ID", f"<{own}:{number}>") + same + _line("WARC-Segment-Origin-ID", f"<{own}>") + _line("WARC-Segment-Number", number)
+                    head += _line("WARC-Segment-Total-Length", len(_HTTP) + size.as_py()) if last else b""
+                head += _line("X-Block-Encoding", "base64") if coded else b""
+                head += _line("WARC-Payload-Digest", f"sha1:{sha.hexdigest()}") if last else b""
+                out.append(head + _line("Content-Length", len(block)) + b"\r\n" + block + b"\r\n")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     return records
 
@@ -96,13 +102,16 @@ def write_archives(pages: DataFrame, at: str, chunk: int = CHUNK, least: int = L
     """
     ship(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    own = own.withColumn("digest", F.sha1("html"))
-    best = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("best")).where("n > 1").select(F.col("digest").alias("__digest"), "best")
-    # as a table its size is known before the join is planned: pages are only shuffled if repeats are many
-    best = written(best, "repeats")
-    refers = F.when(~F.col("best").eqNullSafe(F.col("page_id")), F.col("best"))
-    rows = own.join(best, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    archive = rows.mapInArrow(_records(chunk, date), "record binary").select(F.concat(F.lit("WARC/1.1\r\n").cast("binary"), F.col("record")).cast("string").alias("value"))
+    # the key tells rows of one page_id with different payloads apart; what payloads are equal is decided by their digests alone
+    own = own.withColumn("key", F.xxhash64("html"))
+    digests = written(chunked(own.where(F.octet_length("html") >= least).select("page_id", "key", "html"), chunk).mapInArrow(_digests, "page_id long, key long, size long, digest string"), "digests")
+    best = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("digest", "refers_to")
+    repeats = digests.join(best, "digest").where(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("__page"), F.col("key").alias("__key"), "digest", "refers_to").distinct()
+    # as a table its size is known before the join is planned: pages are only shuffled if revisits are many
+    repeats = written(repeats, "repeats")
+    rows = own.join(repeats, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("key") == F.col("__key")), "left")
+    rows = chunked(rows.select("page_id", "url", "refers_to", "digest", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit(b"")).alias("html")), chunk)
+    archive = rows.mapInArrow(_records(date), "record binary").select(F.concat(F.lit("WARC/1.1\r\n").cast("binary"), F.col("record")).cast("string").alias("value"))
     archive.write.option("lineSep", "\r\n").text(at)
 
 
@@ -110,10 +119,16 @@ def write_archives(pages: DataFrame, at: str, chunk: int = CHUNK, least: int = L
 CHUNKS = "page_id long, record string, chunk int, last boolean, type string, refers_to long, said string, size long, digest string, data binary"
 
 
+def _checked(sha, said: str, record: str) -> str:
+    if sha.hexdigest() != said:
+        raise ValueError(f"the payload of {record} does not have the digest that it was written with")
+    return said
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "record", "chunk", "last", "type", "refers_to", "said", "size", "digest", "data"]
     types = [pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    for b in batches:
+    for b in sliced(batches, _ROWS):
         rows: list[tuple] = []
         for x in b.column(0):
             raw = x.as_py()
@@ -133,10 +148,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if kind == "response":
                 block = block[len(_HTTP) :]
+            if head.get("X-Block-Encoding") == "base64":
+                block = base64.b64decode(block)
             if number:
                 rows.append((page, record, number, "WARC-Segment-Total-Length" in head, kind, None, said, len(block), None, bytes(block)))
             else:
-                rows.append((page, record, 0, True, kind, None, said, len(block), hashlib.sha1(block).hexdigest(), None))
+                rows.append((page, record, 0, True, kind, None, said, len(block), _checked(hashlib.sha1(block), said, record), None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -151,8 +168,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunk rows sorted by (record, chunk) to a row for each record; the digest is carried from chunk to chunk."""
     names = ["page_id", "type", "refers_to", "said", "size", "digest"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-    sha, size, said, expected = hashlib.sha1(), 0, "", 1
-    for b in batches:
+    sha, size, expected = hashlib.sha1(), 0, 1
+    for b in sliced(batches, _ROWS):
         rows: list[tuple] = []
         for page, record, chunk, last, kind, refers, own, n, digest, data in zip(*b.columns, strict=True):
             number = chunk.as_py()
@@ -160,14 +177,14 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((page.as_py(), kind.as_py(), refers.as_py(), own.as_py(), n.as_py(), digest.as_py()))
                 continue
             if number == 1:
-                sha, size, said, expected = hashlib.sha1(), 0, own.as_py(), 1
+                sha, size, expected = hashlib.sha1(), 0, 1
             if number != expected:
                 raise ValueError(f"segment {expected} of {record.as_py()} is missing")
             expected += 1
             sha.update(memoryview(data.as_buffer()))
             size += n.as_py()
             if last.as_py():
-                rows.append((page.as_py(), "response", None, said, size, sha.hexdigest()))
+                rows.append((page.as_py(), "response", None, own.as_py(), size, _checked(sha, own.as_py(), record.as_py())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
