@@ -84,8 +84,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (any orderable type) as ``(node, root)``, root the smallest node reached.
 
     Alternating large-star and small-star rounds, each an aggregate and a join over the edges, written to the shared
-    folder; the number of rounds grows with the logarithm of the longest path. A round deletes what the one before it wrote. Joins are on
-    nodes: a centre with very many neighbours is one row of the smaller side, so that a skewed join splits its edges.
+    folder; the number of rounds grows with the logarithm of the longest path. A round deletes what the one before it wrote. The smallest
+    neighbours are a table too: a join with a table can be split where a centre has very many neighbours, one with an aggregate cannot.
     Nothing is collected but one checksum a round. Self-loops and repeated edges do no harm; null ends are ignored.
     """
     spark = edges.sparkSession
@@ -100,15 +100,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: each larger neighbour points to the smallest node around u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low, first = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e, large = kept(e)
         # small star: u and its smaller neighbours point to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low, second = kept(e.groupBy("u").agg(F.min("v").alias("m")))
         pairs = e.join(low, "u")
         e = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        was = path
+        used = (path, first, large, second)
         e, path = kept(e)
-        remove(spark, was)
+        for was in used:
+            remove(spark, was)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

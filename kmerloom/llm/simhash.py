@@ -192,25 +192,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, halves: bool = True,
     own = written(fingerprints(docs), "fingerprints")
     each = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(own, radius, halves, dense)).select(F.col("node").alias("fp"), "root")
-    each = each.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = each.groupBy("root").agg(F.min("low").alias("component_id"))
-    return own.join(each.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # both sides of each join are tables of known size: the small side is sent if it is small, and else a hot key can be split
+    each = written(each.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
+    low = written(each.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    named = written(each.join(low, "root").select("fp", "component_id"), "named")
+    return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with exactly one row of each near-duplicate class: that with the smallest doc_id, nulls last, and of several such rows that
-    with the smallest text. Rows are told apart by a number of their own, so repeated and null ids join no classes."""
-    own = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(own.select(F.col("__row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"))
-    each = written(found.join(own.select("__row", F.col("doc_id").cast("long").alias("__id")), "__row"), "classes")
-    low = each.groupBy("__class").agg(F.min("__id").alias("__low"))
-    first = each.join(low, "__class").where("__id <=> __low").select("__class", "__row")
-    ends = first.groupBy("__class").agg(F.min("__row").alias("__row"), F.count(F.lit(1)).alias("__n"))
+    with the smallest text. Rows are told apart by a number of their own, so repeated and null ids join no classes; null and blank texts
+    are one class. Columns pass through whatever their names; an empty table gives an empty one."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = written(numbered, "rows")
+    found = near_duplicates(own.select(F.col("number").alias("doc_id"), "row.text"), **how).select(F.col("doc_id").alias("number"), F.col("component_id").alias("class"))
+    each = written(found.join(own.select("number", F.col("row.doc_id").cast("long").alias("id")), "number"), "classes")
+    # two steps of aggregation instead of a join of each class with its smallest id: a large class is combined before it is shuffled
+    ids = each.groupBy("class", "id").agg(F.min("number").alias("number"), F.count(F.lit(1)).alias("n"))
+    ends = written(ids.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number", "n")).alias("x")).select("class", "x.*"), "ends")
     # only where ids tie are texts compared
-    ties = first.join(ends.where("__n > 1").select("__class"), "__class", "left_semi").join(own.select("__row", "text"), "__row")
-    least = ties.groupBy("__class").agg(F.min(F.struct("text", "__row")).alias("x")).select("x.__row")
-    best = ends.where("__n = 1").select("__row").unionByName(least)
-    return own.join(best, "__row", "left_semi").select(*docs.columns)
+    tied = written(ends.where("n > 1").select("class", F.col("id").alias("least")), "ties")
+    ties = each.join(tied, "class").where("id <=> least").select("class", "number").join(own.select("number", "row.text"), "number")
+    least = ties.groupBy("class").agg(F.min(F.struct("text", "number")).alias("x")).select("x.number")
+    best = written(ends.where("n = 1").select("number").unionByName(least), "kept")
+    return own.join(best, "number", "left_semi").select("row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,19 @@ def test_simhash_keeps_a_text_of_each_class(spark):
 # 2 ----------------------------------------------------------------------------------------------------------------------------
 
 
+def test_simhash_keeps_one_of_a_large_class(spark):
+    """A third of all rows in one class, with repeated and null ids: one row stays, and all others too."""
+    rows = [(None if i % 3 else i % 7, f"hot words that many rows share {'x' if i % 2 else ''}") for i in range(600)] + [(1000 + i, text(i, 40)) for i in range(60)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len([r for r in got if (r.doc_id or 0) >= 1000]) == 60
+    rest = [(r.doc_id, r.text) for r in got if (r.doc_id or 0) < 1000]
+    prints = {plain_fingerprint(t) for _, t in rows[:600]}
+    near = len(prints) == 1 or bin(np.bitwise_xor.reduce(np.array(list(prints), np.uint64))).count("1") <= 4
+    assert len(rest) == (1 if near else 2) and all(i == 0 for i, _ in rest)
+    empty = simhash.keep_one(spark.createDataFrame([], "doc_id long, text string, __class int, __row string"))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "text", "__class", "__row"]
+
+
 def test_automaton_is_brute_force():
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(6)]
@@ -384,7 +397,23 @@ def test_warc(spark, tmp_path):
     at = common.fresh_path(spark, "warc-test")
     warc.write_archives(df.limit(0), at)
     assert warc.read_records(spark, at).count() == 0
-    assert b"".join(warc.chunks(big.encode(), 100)) == big.encode() and not any(b"WARC/1.1" in bytes(c) for c in warc.chunks(big.encode(), 10_000))
+
+
+def test_warc_oversized_payloads(spark):
+    """A payload far beyond a chunk, and one of nothing but the line that starts records, which must not multiply its size."""
+    large, marks = "0123456789abcdé" * 500_000, "WARC/1.1\r\n" * 20_000
+    pages = spark.createDataFrame([(1, "u", large), (2, "u", marks), (3, "u", large), (1, "u", "other payload of the same page" * 50)], "page_id long, url string, html string")
+    chunk = 8192
+    rows = warc.chunked(pages.select("page_id", F.col("html").cast("binary").alias("html")), chunk).select("page_id", "chunk", "last", F.octet_length("data").alias("n"), "size").collect()
+    assert max(r.n for r in rows) == chunk and sum(r.n for r in rows) == sum(len(t.encode()) for t in (large, large, marks)) + 1500 and sum(r.last for r in rows) == 4
+    at = common.fresh_path(spark, "warc-test")
+    warc.write_archives(pages, at, chunk=chunk)
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(spark, at).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert got == sorted([(1, 8_000_000, sha(large), "revisit", 3), (1, 1500, sha("other payload of the same page" * 50), "response", None), (2, 200_000, sha(marks), "response", None), (3, 8_000_000, sha(large), "response", None)], key=lambda x: x[:2])
+    stored = spark.read.format("binaryFile").load(at).agg(F.sum("length")).first()[0]
+    assert stored < 1.2 * (8_000_000 + 1.4 * 200_000)
+    assert max(len(r.data) for r in warc.read_chunks(spark, at).where("data IS NOT NULL").collect()) <= chunk
 
 
 # 9 ----------------------------------------------------------------------------------------------------------------------------
