@@ -12,21 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.llm.common import ship, table
+from kmerloom.llm.common import ship, sliced, table
 
-#: At most so many labelled rows train the model: those with the smallest hash of their id. The bound of the one training task.
-MAX_TRAIN_ROWS = 8_000
+#: At most so many labelled rows, and so many bytes of their texts, train the model: those with the smallest hash of their id and text.
+#: The bounds of the one training task.
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 8_000, 128 << 20
 BUCKETS = 1 << 15
 DIM = 8
-#: Passes over the sample: as many as give UPDATES examples, within these limits.
-EPOCHS = (4, 60)
-UPDATES = 40_000
-RATE = 0.08
-BATCH = 16
+#: Passes over the sample, whatever its size.
+EPOCHS = 5
+RATE = 0.2
+BATCH = 8
 SEED = 17
 THRESHOLD = 0.3
 CACHE_WORDS = 200_000
@@ -133,10 +133,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> tuple
     y = np.array(labels, np.int64)
     # step sizes adapt to each weight by its sum of squared gradients, as rare n-grams get few
     vectors_sq, out_sq = np.full(vectors.shape, 1e-10, np.float32), np.full(out.shape, 1e-6, np.float32)
-    epochs = min(max(EPOCHS[0], UPDATES // max(1, len(bags))), EPOCHS[1])
-    for epoch in range(epochs):
+    for epoch in range(EPOCHS):
         order = rng.permutation(len(bags))
-        rate = RATE * (1 - epoch / epochs)
+        rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             hidden = np.stack([bags[i][1] @ vectors[bags[i][0]] if len(bags[i][0]) else np.zeros(DIM, np.float32) for i in own])
@@ -157,16 +156,22 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> tuple
     return vectors, out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """The model of ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``, trained by one task on at most ``max_rows`` rows.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """The model of ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``, trained by one task on at most ``max_rows`` rows and ``max_bytes``
+    bytes of text.
 
-    Rows without a label of 0 or 1 and null texts do not train. What comes back to the driver is the model, of fixed size.
+    Rows without a label of 0 or 1, ids that have both labels, and null texts do not train; rows that repeat an id and a text train once;
+    with no labelled rows at all, every score is 0.5. What comes back to the driver is the model, of fixed size.
     """
     ship(docs.sparkSession)
-    own = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)").distinct()
-    # the bound is applied to ids, so that only the chosen texts are shuffled
-    chosen = own.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "y").limit(max_rows)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
+    own = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text", F.lit(SEED)).alias("h"), "text")
+    keys = own.select("id", "h", F.octet_length("text").alias("n")).join(marks, "id").groupBy("id", "h").agg(F.max("n").alias("n"), F.max("y").alias("y"))
+    # the bounds are applied to keys of rows, of which there are max_rows at most from here on; only the chosen texts are shuffled
+    order = [F.xxhash64("id", "h"), F.col("id"), F.col("h")]
+    some = keys.orderBy(*order).limit(max_rows)
+    chosen = some.withColumn("sum", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= max_bytes).select("id", "h", "y")
+    rows = own.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"), F.first("y").alias("y")).select("id", "text", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)), key=lambda r: (r[0], r[1]))
@@ -175,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, labe
 
     model = rows.repartition(1).mapInArrow(learn, "vectors binary, out binary").first()
     if model is None:
-        return train([], [])
+        return np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM + 1, 2), np.float32)
     return np.frombuffer(bytes(model["vectors"]), np.float32).reshape(BUCKETS, DIM), np.frombuffer(bytes(model["out"]), np.float32).reshape(DIM + 1, 2)
 
 
@@ -188,7 +193,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, out = held.value
         words = Words(vectors)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(b.schema.names.index("text")).to_pylist()]
             hidden = np.concatenate([np.zeros((0, DIM))] + [words.means([t.split() for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)])
             logits = hidden @ out[:DIM] + out[DIM]
