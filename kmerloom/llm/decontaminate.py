@@ -1,7 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton over the normalised test items.
 
-The items are read into automatons of at most ``block_words`` words each, so what is broadcast has a fixed bound; the documents
-pass through the automatons one after the other in the same tasks, without a shuffle. A document's words are streamed
+Items are dealt to blocks of about ``block_words`` words by a hash; each block's automaton is built in a task and written to the shared
+folder. Documents pass ``AT_ONCE`` automatons at a time in the same tasks, without a shuffle, so what is broadcast at once has a fixed
+bound; where there are more, each pass writes what it found, which is then merged by document. A document's words are streamed
 through the transitions while the length of the longest match is tracked; runs of words that no item holds, or too
 short for any window, reset the match and are skipped.
 """
@@ -9,8 +10,10 @@ short for any window, reset the match and are skipped.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.llm.common import ship, table
+from kmerloom.llm.common import ship, sliced, table, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: Automatons that a task holds at once.
+AT_ONCE = 2
 MAX_COVERAGE = 0.5
 #: A-Z to a-z; 0-9, a-z and all bytes from 0x80 on are word bytes, the rest separate words.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -138,72 +143,117 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 
 #: What the matcher adds to a row.
 FOUND = "__words long, __spans array<struct<start:int,end:int>>, __items array<string>"
+_OURS = ("__words", "__spans", "__items", "__bytes")
+_SPANS, _ITEMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
 
 
-def _matcher(held, first: bool, cut: bool = False):
-    """Adds what the held automaton finds to the columns of FOUND. cut: the spans leave the text; each covers a whole window of an item,
+def _matcher(held: list, cut: bool):
+    """Adds what the held automatons find to the columns of FOUND. cut: the spans leave the text; each covers a whole window of an item,
     so a short one is a whole short item."""
-    spans_type, items_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: Automaton = held.value
-        for b in batches:
+        autos: list[Automaton] = [pickle.loads(h.value) for h in held]
+        for b in sliced(batches):
             n_words, spans, items = [], [], []
-            was = None if first else (b.column("__spans").to_pylist(), b.column("__items").to_pylist())
-            for i, text in enumerate(b.column("__bytes")):
+            for text in b.column(b.schema.names.index("__bytes")):
                 seq = words(text.as_py())
-                s, found = auto.scan(seq)
-                if was:
-                    s = _merged([(x["start"], x["end"]) for x in was[0][i]], s)
-                    found = found | set(was[1][i])
+                own: list[tuple[int, int]] = []
+                found: set[str] = set()
+                for auto in autos:
+                    s, names = auto.scan(seq)
+                    own, found = _merged(own, s) if own else s, found | names
                 n_words.append(len(seq))
-                spans.append([{"start": x, "end": y} for x, y in s])
+                spans.append([{"start": x, "end": y} for x, y in own])
                 items.append(sorted(found))
-            names = [k for k in b.schema.names if k not in ("__words", "__spans", "__items")]
-            own = [b.column(k) for k in names]
-            if cut and any(spans):
-                at = names.index("text")
-                texts = [_cut(t.as_py(), s) for t, s in zip(own[at], spans, strict=True)]
-                own[at] = pa.array(texts, b.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, items_type)], names=[*names, "__words", "__spans", "__items"])
+            yield _with(b, cut, n_words, spans, items)
 
     return match
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of bounded size; only one is held by the driver at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").distinct()
-    block: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for r in rows.toLocalIterator():
-        seq = words(bytes(r["text"]))
-        if size and size + len(seq) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["item"], seq))
-        size += len(seq)
-    yield block
+def _with(b: pa.RecordBatch, cut: bool, n_words: list, spans: list, items: list) -> pa.RecordBatch:
+    names = [k for k in b.schema.names if k not in ("__words", "__spans", "__items")]
+    own = [b.column(k) for k in names]
+    if cut and any(spans):
+        at = names.index("text")
+        own[at] = pa.array([_cut(t.as_py(), s) for t, s in zip(own[at], spans, strict=True)], b.schema.field("text").type)
+    return pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=[*names, "__words", "__spans", "__items"])
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
+def _finisher(cut: bool):
+    """Makes one of spans, found by several passes, that meet; and cuts."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            spans = [[{"start": x, "end": y} for x, y in _merged([(s["start"], s["end"]) for s in own or ()], [])] for own in b.column("__spans").to_pylist()]
+            yield _with(b, cut, b.column("__words").to_pylist(), spans, [x or [] for x in b.column("__items").to_pylist()])
+
+    return finish
+
+
+def automatons(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(block, automaton) of ``benchmark(item_id, text)``: a pickled Automaton for each block, built by tasks; a written table."""
+    ship(benchmark.sparkSession)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+
+    def build(rows: pa.Table) -> pa.Table:
+        own = sorted(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True))
+        auto = Automaton([(item, words(text.encode("utf-8", "surrogatepass"))) for item, text in own], window)
+        return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "automaton": pa.array([pickle.dumps(auto, 5)], pa.binary())})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int"))
+    return written(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"), "automatons")
+
+
+def _one_by_one(built: DataFrame) -> Iterator[bytes]:
+    """The automatons, of which the driver holds one at a time."""
+    for (block,) in sorted(built.select("block").collect()):
+        yield bytes(built.where(F.col("block") == block).first()["automaton"])
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False, at_once: int = AT_ONCE) -> DataFrame:
     """docs with ``__words`` (count), ``__spans`` (word spans inside windows, merged) and ``__items`` (ids of items found).
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one. Null and blank texts have no words; items
     without words have no windows; a null item_id is written "null"; repeated items count once; an empty benchmark finds
-    nothing; other columns of docs pass through. With ``cut`` the spans also leave the text, see ``decontaminate``.
+    nothing; other columns of docs pass through, but for those three names and ``__bytes``, which are replaced. With ``cut`` the
+    spans also leave the text, see ``decontaminate``.
     """
     spark = docs.sparkSession
     ship(spark)
-    out = docs.withColumn("__bytes", F.col("text").cast("binary"))
-    plain = out.schema
-    schema = T.StructType([*plain.fields, *T._parse_datatype_string(FOUND).fields])
-    blocks, i = _blocks(benchmark, block_words), 0
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(Automaton(block, window)), not i, cut and after is None), schema)
-        block, i = after, i + 1
-    return out.drop("__bytes")
+    docs = docs.drop(*_OURS)
+    built = automatons(benchmark, window, block_words)
+    n = built.count()
+    found = T._parse_datatype_string(FOUND).fields
+    text = F.col("text").cast("binary").alias("__bytes")
+    send = spark.sparkContext.broadcast
+    if n <= at_once:
+        held = [send(a) for a in _one_by_one(built)] or [send(pickle.dumps(Automaton([], window)))]
+        own = docs.select("*", text)
+        return own.mapInArrow(_matcher(held, cut), T.StructType([*own.schema.fields, *found])).drop("__bytes")
+    # more than a task can hold: every pass writes what it found, by number of row, and lets its automatons go
+    own = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__own"), text), "documents")
+    held, passes = [], []
+
+    def run() -> None:
+        key = own.select("__row", "__bytes")
+        hits = key.mapInArrow(_matcher(held, False), T.StructType([*key.schema.fields, *found])).drop("__bytes")
+        passes.append(written(hits, "pass"))
+        for h in held:
+            h.destroy()
+        held.clear()
+
+    for auto in _one_by_one(built):
+        held.append(send(auto))
+        if len(held) == at_once:
+            run()
+    if held:
+        run()
+    each = reduce(DataFrame.unionByName, [p.where(F.size("__items") > 0) for p in passes])
+    merged = each.groupBy("__row").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    both = own.join(passes[0].select("__row", "__words"), "__row").join(merged, "__row", "left").select("__own.*", "__words", "__spans", "__items")
+    return both.mapInArrow(_finisher(cut), both.schema)
 
 
 def _cut(text: str | None, spans: list) -> str | None:
@@ -223,11 +273,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """docs without benchmark passages.
 
     All spans are cut from the text, those of items shorter than a window too; a document of which spans cover more than
-    ``max_coverage`` goes. Documents that hold no passage stay as they are, null texts too.
+    ``max_coverage`` goes. Documents that hold no passage stay as they are, null texts too; columns named as ``match`` names its own are
+    dropped, see there for other cases.
     """
     found = match(docs, benchmark, window, block_words, True)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.where(hit <= F.col("__words") * F.lit(max_coverage)).select(*docs.columns)
+    return found.where(hit <= F.col("__words") * F.lit(max_coverage)).select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OURS])
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

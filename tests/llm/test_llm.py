@@ -154,6 +154,9 @@ def test_decontamination(spark, tmp_path):
     many = decontaminate.match(own, bench, block_words=20)
     one = decontaminate.match(own, bench)
     assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert decontaminate.automatons(bench, block_words=20).count() > 2
+    clash = own.withColumn("__spans", F.lit(1)).withColumn("automaton", F.lit(2)).withColumn("block", F.lit(3))
+    assert {c for c in decontaminate.decontaminate(clash, bench).columns} == {*own.columns, "__spans", "automaton", "block"} - {"__spans"}
     clean = {r.doc_id: r.text for r in decontaminate.decontaminate(own, bench).collect()}
     assert clean[0] is None and clean[6] == texts[6] and len(ODD) + 1 not in clean and "QQ" in clean[len(ODD)] and " ".join(leak[3:15]).upper() not in clean[len(ODD)]
     assert decontaminate.match(own, bench.limit(0)).where("size(__items) > 0").count() == 0
@@ -325,6 +328,62 @@ def test_quality(spark, tmp_path):
     assert quality.score(docs_of(spark, ["x", None]), empty).count() == 2 and quality.keep_good(docs_of(spark, []), empty).count() == 0
 
 
+def plain_score(words, model):
+    """The score of a text by the definition: features of each word one by one, in Python integers."""
+    vectors, out = model
+    m = (1 << 64) - 1
+
+    def bucket(h, kind):
+        h = (h + kind) * 0x9E3779B97F4A7C15 & m
+        h ^= h >> 31
+        return 2 + ((h * 0x9E3779B97F4A7C15 & m) >> 33) % (quality.BUCKETS - 2)
+
+    def of(word):
+        chars = [ord(c) for c in f"<{word}>"]
+        power = [pow(0x100000001B3, i + 1, 1 << 64) for i in range(len(chars) + 1)]
+        kind = lambda c: c + 4 if c < 0x2400 and not chr(c).isalnum() and not chr(c).isalpha() else 1 if c < 0x2400 and chr(c).isupper() else 2 if c >= 0x2400 or chr(c).isalpha() else 3 if chr(c).isdigit() else c + 4
+        shape = [kind(c) for c in chars]
+        shape = [c for i, c in enumerate(shape) if not i or c != shape[i - 1]]
+        ids = [bucket(sum(c * p for c, p in zip(chars, power)) & m, 1), bucket(sum(c * p for c, p in zip(shape, power)) & m, 2)]
+        for n in (2, 3, 4):
+            for i in range(len(chars) - n + 1):
+                h = 0
+                for c in chars[i : i + n]:
+                    h = (h * 0x100000001B3 + c) & m
+                ids.append(bucket(h, n))
+        return np.mean(vectors[ids].astype(np.float64), axis=0)
+
+    hidden = np.zeros(quality.DIM)
+    for i, w in enumerate(words):
+        hidden += (of(w) + vectors[0 if i and words[i - 1] == w else 1]) / (2 * len(words))
+    a, b = hidden @ out[: quality.DIM] + out[quality.DIM]
+    return 1 / (1 + math.exp(a - b))
+
+
+def test_quality_score_is_its_definition(spark):
+    model = quality.train([text(i, 30) if i % 2 else "SPAM! spam 99 " * 8 for i in range(40)], [i % 2 for i in range(40)])
+    texts = ["", "one", "one one Two 3x é日 don't", text(1, 60), "spam! spam! SPAM!", "\u2500\u2500 ½ ² _a-b"]
+    got = {r.doc_id: r["__score"] for r in quality.score(docs_of(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_score(t.split(), model)) < 1e-6, t
+
+
+def test_quality_labels(spark):
+    """Bounds hold for rows, not ids; contradictory labels do not train; tables may be empty."""
+    docs = docs_of(spark, [text(i, 20) for i in range(20)] + ["spam " * 9] * 20)
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] + [(3, 0), (5, None), (6, 7)], "doc_id long, quality int")
+    many = docs.unionByName(docs.where("doc_id = 4").crossJoin(spark.range(50)).drop("id"))
+    a, b = quality.fit(docs, labels), quality.fit(many, labels)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    flipped = quality.fit(docs, labels.where("doc_id <> 3"))
+    assert (a[1] == flipped[1]).all()
+    none = quality.fit(docs, labels.limit(0))
+    assert {r["__score"] for r in quality.score(docs, none).collect()} == {0.5}
+    assert quality.fit(docs.limit(0), labels)[0].shape == (quality.BUCKETS, quality.DIM)
+    few = quality.fit(docs, labels, max_bytes=100)
+    assert not (few[1] == a[1]).all()
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------------------
 
 
