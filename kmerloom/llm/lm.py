@@ -9,9 +9,11 @@ equal root frequency, as many as make the two softmaxes of about equal cost, ``C
 classes by their last two bytes. A token's probability is that of its class given the state, times that of the word within the class: a
 second softmax for the modelled words, the add-one frequency within the class for others, so unseen words have one too.
 
-Training. Every training text is read once a pass. Texts are dealt to rounds by a hash; in a round each task trains on its own rows
-from the same parameters, with the state carried from window to window of a text, and the tasks' parameters are averaged, weighted by
-tokens, in two steps of bounded size. Output biases start at the counted frequencies.
+Training. Every training text is read once. A hash of its id and words deals it to a round and to a learner, a sub-corpus of about
+``LEARN_TOKENS`` tokens, in an order by that hash: what is learnt does not depend on how the input is cut into partitions, and there are
+more learners, not longer ones, the more texts there are. In a round each learner starts from the same parameters, with the state
+carried from window to window of a text, and their parameters are averaged, weighted by tokens, in two steps of bounded size. Output
+biases start at the counted frequencies.
 
 Scoring carries the state through each whole text, however long.
 """
@@ -36,10 +38,10 @@ HEAD = 200_000
 SHARE = 0.7
 MODEL, CLASSES, REST = 2048, 32, 64
 DIM = HIDDEN = 16
-WINDOW, LANES, SCORE_LANES = 32, 512, 512
+WINDOW, LANES, SCORE_LANES = 32, 256, 256
 ROUNDS = 4
-#: Small corpora are passed over until so many tokens are seen, at most MOST_PASSES times.
-LEAST_TOKENS, MOST_PASSES = 3_000_000, 6
+#: Tokens that a learner sees in a round, about.
+LEARN_TOKENS = 500_000
 RATE = 0.08
 BLOCK = 4096
 CHUNK_TOKENS = 1 << 22
@@ -103,7 +105,7 @@ class Network:
 
     @staticmethod
     def shapes(model: int = MODEL, classes: int = CLASSES) -> dict[str, tuple[int, ...]]:
-        return {"emb": (model + REST + 1, DIM), "wx": (DIM, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "cw": (HIDDEN, classes + REST), "cb": (classes + REST,), "ow": (model, HIDDEN), "ob": (model,)}
+        return {"emb": (model + REST + 1, DIM), "wx": (DIM, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "cw": (HIDDEN + 1, classes + REST), "ow": (model, HIDDEN + 1)}
 
     @classmethod
     def size(cls, model: int = MODEL, classes: int = CLASSES) -> int:
@@ -115,6 +117,12 @@ class Network:
             n = math.prod(shape)
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        # the last row and the last column of the output weights belong to a state that is always 1
+        self.cb, self.ob = self.cw[HIDDEN], self.ow[:, HIDDEN]
+
+    def bound(self) -> float:
+        """What no logit exceeds, as states are within -1 and 1."""
+        return float(max(np.abs(self.cw).sum(0).max(), np.abs(self.ow).sum(1).max()))
 
     @classmethod
     def fresh(cls, v: Vocabulary, seed: int = 5) -> np.ndarray:
@@ -143,10 +151,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _softmax(x: np.ndarray, rows: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log softmax of each row at ``to``; x becomes exp(x), of which the row sums are given. Only where exp would leave the range of
-    floats are rows first moved to a maximum of 0."""
-    if x.max() > 60 or x.min() < -60:
+def _softmax(x: np.ndarray, rows: np.ndarray, to: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
+    """log softmax of each row at ``to``; x becomes exp(x), of which the row sums are given. With ``shift``, where exp might leave the range
+    of floats, rows are first moved to a maximum of 0."""
+    if shift:
         x -= x.max(1, keepdims=True)
     own = x[rows, to]
     np.exp(x, out=x)
@@ -243,45 +251,47 @@ class Runner:
             np.subtract(p, n, out=out)
             out *= g[:HIDDEN]
             out += n
-        top = buffer("top", steps, lanes, HIDDEN)
-        top[:] = hs[1:].transpose(0, 2, 1)
-        top = top.reshape(-1, HIDDEN)
+        top = buffer("top", steps, lanes, HIDDEN + 1)
+        top[:, :, :HIDDEN] = hs[1:].transpose(0, 2, 1)
+        top[:, :, HIDDEN] = 1
+        top = top.reshape(-1, HIDDEN + 1)
         live, y, c = live.ravel(), y.ravel(), c.ravel()
         rows = np.arange(total_rows)
+        shift = net.bound() > 60
         logits = np.matmul(top, net.cw, out=buffer("logits", total_rows, self.v.classes + REST))
-        logits += net.cb
-        logp, total = _softmax(logits, rows, c)
-        if rate:
-            logits *= (live / total)[:, None]
-            logits[rows, c] -= live
-            back = np.matmul(logits, net.cw.T, out=buffer("back", total_rows, HIDDEN))
-            self._step("cw", top.T @ logits, rate)
-            self._step("cb", np.ones(total_rows, np.float32) @ logits, rate)
+        logp, total = _softmax(logits, rows, c, shift)
         # words within their class, class by class
-        classes = self.v.classes
+        classes, ow = self.v.classes, net.ow
         known = np.flatnonzero(live & (c < classes))
         known = known[np.argsort(c[known], kind="stable")]
         edges = np.searchsorted(c[known], np.arange(classes + 1)).tolist()
         start = self.v.start.tolist()
+        states = np.take(top, known, 0, out=buffer("states", len(known), HIDDEN + 1), mode="clip")
+        words, within, inner_back = y[known], np.zeros(len(known), np.float32), buffer("inner_back", len(known), HIDDEN)
+        if rate:
+            inner_back[:], grad = 0, buffer("grad", *ow.shape)
+            grad[:] = 0
         for k in range(classes):
             a, b = edges[k], edges[k + 1]
             lo, hi = start[k], start[k + 1]
             if a == b or hi - lo == 1:
                 continue
-            own = known[a:b]
-            states = top[own]
-            q = np.matmul(states, net.ow[lo:hi].T, out=buffer("q", b - a, hi - lo))
-            q += net.ob[lo:hi]
-            to, i = y[own] - lo, rows[: b - a]
-            logs, total = _softmax(q, i, to)
-            logp[own] += logs
+            q = np.matmul(states[a:b], ow[lo:hi].T, out=buffer("q", b - a, hi - lo))
+            to, i = words[a:b] - lo, rows[: b - a]
+            within[a:b], total_k = _softmax(q, i, to, shift)
             if rate:
-                q /= total[:, None]
+                q /= total_k[:, None]
                 q[i, to] -= 1
-                back[own] += q @ net.ow[lo:hi]
-                self._step("ow", q.T @ states, rate, slice(lo, hi))
-                self._step("ob", np.ones(b - a, np.float32) @ q, rate, slice(lo, hi))
+                np.matmul(q, ow[lo:hi, :HIDDEN], out=inner_back[a:b])
+                np.matmul(q.T, states[a:b], out=grad[lo:hi])
+        logp[known] += within
         if rate:
+            logits *= (live / total)[:, None]
+            logits[rows, c] -= live
+            back = np.matmul(logits, net.cw[:HIDDEN].T, out=buffer("back", total_rows, HIDDEN))
+            back[known] += inner_back
+            self._step("cw", top.T @ logits, rate)
+            self._step("ow", grad, rate)
             self._back(x, keep, back.reshape(steps, lanes, HIDDEN), emb, kept, gates, inner, rate)
         return hs[-1].copy(), logp
 
@@ -424,57 +434,62 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Record
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, weight, values) sorted by block to the weighted mean of each block."""
-    block, weight, total = None, 0.0, None
+    """Runs of rows (block, learner, weight, values) of one block and one learner % 16, or of one block, to their weighted mean, under the
+    first learner's number."""
+    at, weight, total = None, 0.0, None
 
     def row():
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([weight]), pa.array([(total / max(weight, 1e-9)).astype("<f4").tobytes()], pa.binary())], names=["block", "weight", "values"])
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([weight]), pa.array([(total / max(weight, 1e-9)).astype("<f4").tobytes()], pa.binary())], names=["block", "learner", "weight", "values"])
 
     for b in batches:
-        for k, w, v in zip(b.column("block").to_pylist(), b.column("weight").to_pylist(), b.column("values").to_pylist(), strict=True):
-            if k != block:
-                if block is not None:
+        for k, who, w, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if at is None or k != at[0]:
+                if at is not None:
                     yield row()
-                block, weight, total = k, 0.0, np.zeros(len(v) // 4)
+                at, weight, total = (k, who), 0.0, np.zeros(len(v) // 4)
             total += w * np.frombuffer(v, "<f4")
             weight += w
-    if block is not None:
+    if at is not None:
         yield row()
 
 
 def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters learnt from all ``rows(ranks)``."""
+    """Parameters learnt from all ``rows(doc_id, ranks)``. Rows that repeat both id and words go to one learner."""
     spark = rows.sparkSession
     flat = Network.fresh(v)
-    size = len(flat)
+    size, lanes = len(flat), LANES
     state = np.concatenate([flat, np.full(size, 1.0, np.float32)])
-    passes = min(MOST_PASSES, max(1, -(-LEAST_TOKENS // max(1, v.total))))
+    learners = max(1, -(-v.total // (rounds * LEARN_TOKENS)))
     held = spark.sparkContext.broadcast(v)
-    schema = "block int, weight double, values binary"
-    for turn in range(passes * rounds):
+    schema = "block int, learner int, weight double, values binary"
+    h = F.xxhash64("doc_id", "ranks", F.lit(7))
+    dealt = rows.select("ranks", h.alias("h")).select("ranks", "h", F.pmod("h", F.lit(rounds)).alias("turn"), F.pmod(F.shiftright("h", 20), F.lit(learners)).cast("int").alias("learner"))
+    for turn in range(rounds):
         now = spark.sparkContext.broadcast(state)
-        rate = RATE * (1 - 0.7 * turn / (passes * rounds))
+        rate = RATE * (1 - 0.7 * turn / rounds)
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
-            own = now.value.copy()
-            runner = Runner(held.value, own[:size], own[size:])
-            seen = 0
-            for _, texts in _batched(batches):
+            own, seen, learner = None, 0, 0
+            for rows, texts in _batched(batches):
+                if own is None:
+                    own, learner = now.value.copy(), rows[0].column(1)[0].as_py()
+                    runner = Runner(held.value, own[:size], own[size:])
                 seen += sum(map(len, texts))
-                runner.run(texts, LANES, rate)
+                runner.run(texts, lanes, rate)
             if seen:
                 blocks = [own[i : i + BLOCK].astype("<f4").tobytes() for i in range(0, len(own), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.binary())], names=["block", "weight", "values"])
-
-        part = rows.where(F.pmod(F.xxhash64("ranks", F.lit(7)), F.lit(rounds)) == turn % rounds).select("ranks")
-        got = part.mapInArrow(learn, schema).withColumn("some", F.spark_partition_id() % 16)
-        for keys in (["block", "some"], ["block"]):
-            got = got.repartition(*keys).sortWithinPartitions("block").mapInArrow(_merge, schema)
-            got = got.withColumn("some", F.lit(0))
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([learner] * n, pa.int32()), pa.array([float(seen)] * n), pa.array(blocks, pa.binary())], names=["block", "learner", "weight", "values"])
+
+        # a partition for each learner, in a fixed order
+        part = dealt.where(F.col("turn") == turn).repartitionById(int(learners), F.col("learner")).sortWithinPartitions("h").select("ranks", "learner")
+        got = part.mapInArrow(learn, schema)
+        got = got.repartition("block", F.col("learner") % 16).sortWithinPartitions(F.col("learner") % 16, "block", "learner").mapInArrow(_merge, schema)
+        got = got.repartition("block").sortWithinPartitions("block", "learner").mapInArrow(_merge, schema)
         for r in got.select("block", "values").toLocalIterator():
             values = np.frombuffer(bytes(r["values"]), "<f4")
             state[r["block"] * BLOCK : r["block"] * BLOCK + len(values)] = values
-        now.unpersist()
+        now.destroy()
     return state[:size].copy()
 
 
