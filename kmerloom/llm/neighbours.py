@@ -27,8 +27,8 @@ from kmerloom.llm.common import ship, sliced, table, written
 TABLES, WIDTH = 8, 2.0
 #: Calibration: queries asked, the share of their true neighbours to be found, and the most cells of a table that a query visits.
 SAMPLE, TARGET, MOST_PROBES = 128, 0.95, 1024
-#: Vectors and queries of a group, about.
-PART_ROWS, PART_QUERIES = 16384, 4096
+#: Vectors and queries of a group, about, and the least number of parts.
+PART_ROWS, PART_QUERIES, LEAST_PARTS = 16384, 4096, 64
 SEED = 11
 K = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -282,7 +282,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TAB
         h = Hashes(dims, scale, hashes or hashes_for(n), tables, width, seed)
     else:
         h, probes = calibrate(rows, asked, n, dims, scale, k, tables, hashes or hashes_for(n), width, target, seed)
-    parts = max(1, -(-n * tables // PART_ROWS))
+    parts = max(LEAST_PARTS, -(-n * tables // PART_ROWS))
     indexed = rows.mapInArrow(_index(h, parts), "part int, cell long, vec_id long, v array<double>")
     visits = written(asked.mapInArrow(_probe(h, probes, parts), "part int, query_id long, v array<double>, cells array<long>"), "visits")
     schema = "query_id long, vec_id long, score double"
