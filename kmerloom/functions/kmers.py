@@ -43,8 +43,11 @@ def collapsed(rows: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy("sequence", *fields).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def count_kmers(rows: DataFrame, k: int, a: Alphabet = PROTEIN, collapse: bool = True) -> DataFrame:
-    """(position, kmer, count). Map-side partial counts keep conserved positions from skewing the shuffle."""
+def count_kmers(rows: DataFrame, k: int, a: Alphabet = PROTEIN, collapse: bool = False) -> DataFrame:
+    """(position, kmer, count). Map-side partial counts keep conserved positions from skewing the shuffle.
+
+    ``collapse`` makes equal sequences one row first, which shuffles every distinct sequence: it pays where most sequences repeat.
+    """
     own = collapsed(rows) if collapse else rows.select("sequence", F.lit(1).cast("long").alias("weight"))
     return windows(own, k, a, ("weight",)).groupBy("position", "kmer").agg(F.sum("weight").alias("count"))
 
@@ -88,7 +91,7 @@ def encode(kmer: Column, a: Alphabet = PROTEIN) -> Column:
     """The k-mer as a number with the alphabet's characters as digits; null if it holds any other character or would overflow."""
     digits = DIGITS.get(a.name, a.valid)
     most = MOST_K.get(a.name, int(63 / len(digits).bit_length()))
-    code = F.aggregate(F.split(kmer, ""), F.lit(0).cast("long"), lambda n, c: F.when(c == "", n).otherwise(n * len(digits) + F.locate_in(c, digits) if False else n * len(digits) + F.instr(F.lit(digits), c) - 1))
+    code = F.aggregate(F.split(kmer, ""), F.lit(0).cast("long"), lambda n, c: F.when(c == "", n).otherwise(n * len(digits) + F.instr(F.lit(digits), c) - 1))
     return F.when(is_valid(kmer, a) & (F.length(kmer) <= most), code)
 
 

@@ -131,15 +131,15 @@ def minors(found: DataFrame, position: int, descending: bool = False) -> DataFra
 def metadata_counts(rows: DataFrame, fields: list[str], k: int, a) -> DataFrame:
     """(position, sequence, field, value, count): how often each value of each field occurs among a variant's sequences.
 
-    Equal sequences with equal fields are one row before windows are cut; fields are unpivoted after k-mers are counted.
+    Fields are unpivoted before k-mers are counted, and counted map-side: what is shuffled follows the values of each field, not the
+    combinations of all.
     """
-    from kmerloom.functions.kmers import collapsed, windows
+    from kmerloom.functions.kmers import windows
 
-    own = windows(collapsed(rows, tuple(fields)), k, a, (*fields, "weight"))
-    own = own.groupBy("position", "kmer", *fields).agg(F.sum("weight").alias("n"))
+    own = windows(rows, k, a, tuple(fields))
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")
-    each = own.select("position", F.col("kmer").alias("sequence"), "n", pairs).where("x.value IS NOT NULL")
-    return each.groupBy("position", "sequence", "x.field", "x.value").agg(F.sum("n").alias("count"))
+    each = own.select("position", F.col("kmer").alias("sequence"), pairs).where("x.value IS NOT NULL")
+    return each.groupBy("position", "sequence", "x.field", "x.value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def with_metadata(found: DataFrame, values: DataFrame) -> DataFrame:

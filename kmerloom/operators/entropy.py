@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.operators.diversity import total
+from kmerloom.ship import ship
 
 # Sizes always sampled, and the limits of the fit.
 ANCHORS = (2, 3, 5, 7, 10, 15, 20, 30, 50)
@@ -94,6 +95,7 @@ def rarefaction(stats: DataFrame, threshold: int, mode: str = "expected", seed:
 
     Not corrected: N up to the threshold, and N of which the threshold is over 99 %.
     """
+    ship(stats.sparkSession)
     own = _corrected(stats, threshold).select("position", "support", "raw_entropy", "spectrum")
     # positions are few and heavy: spread them before the curves are computed
     own = own.repartition("position").withColumn("sizes", sample_grid(F.col("support"), threshold))

@@ -33,7 +33,7 @@ def analyze(
     metadata_fields: Sequence[str] | None = None,
     mode: str = "expected",
     seed: int = 0,
-    collapse: bool = True,
+    collapse: bool = False,
     check: bool = True,
     stream: bool = False,
 ) -> Analysis:

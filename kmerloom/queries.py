@@ -7,12 +7,13 @@ low diversity); see FIXTURES.md.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import headers, kmers
-from kmerloom.functions.alphabet import PROTEIN, classify, invalid_characters, unique_invalid_characters
+from kmerloom.functions.alphabet import PROTEIN, classify, custom, invalid_characters, unique_invalid_characters
 from kmerloom.operators import conserved, diversity, entropy, explore, features, metadata, validate
 from kmerloom.plans.analyze import analyze
 from kmerloom.sources import fasta, results
@@ -355,9 +356,9 @@ def clean_features(spark, d):
     return features.clean(_features(spark, d)).select("feature_id", "feature_type", "category_key", "begin", "end", features.is_point(F.col("begin"), F.col("end")).alias("is_point"))
 
 
-@query("WITH " + _CLEAN + "SELECT feature_id FROM fx WHERE lower(description) LIKE '%1%' OR lower(feature_type) LIKE '%1%' OR lower(category) LIKE '%1%'")
+@query("WITH " + _CLEAN + "SELECT feature_id FROM fx WHERE contains(lower(description), 'bind') OR contains(lower(feature_type), 'bind') OR contains(lower(category), 'bind')")
 def feature_search(spark, d):
-    return features.search(features.clean(_features(spark, d)), " 1 ").select("feature_id")
+    return features.search(features.clean(_features(spark, d)), " BiNd ").select("feature_id")
 
 
 @query("WITH " + _CLEAN + "SELECT category_key, count(*) AS features FROM fx GROUP BY ALL")
@@ -648,3 +649,79 @@ def streamed_counts(spark, d):
     at, checkpoint = fresh_path(spark, "deltas"), fresh_path(spark, "stream")
     streaming.keep_counts(own, K, at, checkpoint).awaitTermination()
     return streaming.current(spark.read.schema("position int, kmer string, count long").parquet(at))
+
+
+# what the queries above do not reach --------------------------------------------------------------------------------------------
+
+
+@query(A + "SELECT position, kmer, count FROM c")
+def lower_case_counts(spark, d):
+    """Lower-case sequences under an alphabet that allows them count as upper-case ones."""
+    low = orders(spark, d).withColumn("sequence", F.lower("sequence"))
+    return kmers.count_kmers(low, K, replace(PROTEIN, allow_lowercase=True))
+
+
+@query(f"""WITH aligned AS ({ITEMS.format(s="varchar")}), w AS (SELECT i AS position, substr(sequence, i, 2) AS kmer FROM aligned, range(1, 9) r(i))
+SELECT position, kmer, count(*) AS count FROM w WHERE regexp_full_match(kmer, '[ACDEFGHIKLMNPQRSTVWYX.]+') GROUP BY ALL""")
+def custom_alphabet_counts(spark, d):
+    return kmers.count_kmers(items(spark, d), KB, custom(PROTEIN.valid + "X.", gaps="-"))
+
+
+@query(A + ", x AS (SELECT position, count(*) AS variants, sum(count) AS reads FROM v GROUP BY position) SELECT p.position, support, low_support, variants, reads FROM p LEFT JOIN x USING (position)".replace("low_support", "CASE WHEN support = 0 THEN 'NS' WHEN support < 1000000 THEN 'LS' WHEN support = 1000000 THEN 'ELS' END AS low_support"))
+def converted_json(spark, d):
+    """Stored results turned into the JSON document, read back."""
+    stored, at = fresh_path(spark, "stored"), fresh_path(spark, "json")
+    results.save(_analysis(spark, d), stored)
+    results.convert(spark, stored, at, "json")
+    schema = "results array<struct<position int, support long, low_support string, diversity_motifs array<struct<count long>>>>"
+    own = spark.read.schema(schema).json(at).select(F.explode("results").alias("r")).select("r.*")
+    count = F.when(F.size("diversity_motifs") > 0, F.size("diversity_motifs").cast("long"))
+    reads = F.when(F.size("diversity_motifs") > 0, F.aggregate("diversity_motifs", F.lit(0).cast("long"), lambda n, v: n + v["count"]))
+    return own.select("position", "support", "low_support", count.alias("variants"), reads.alias("reads"))
+
+
+@query(A + _HCS.format(where="", k=3) + "SELECT cast(row_number() OVER (ORDER BY region_id) - 1 AS integer) AS place, sequence FROM hcs")
+def conserved_regions_json(spark, d):
+    """The JSON array of conserved sequences, written and read back."""
+    at = fresh_path(spark, "hcs")
+    results.hcs_json(conserved.regions(conserved.index_picks(_variants(spark, d), _stats(spark, d)))).write.text(at)
+    return spark.read.text(at).select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "sequence"))
+
+
+@query(B + ", k AS (SELECT v.position, min(sequence) AS kmer FROM v JOIN p USING (position) WHERE motif_short = 'I' AND count * 100 >= support * 40 GROUP BY v.position) SELECT * FROM k")
+def index_picks_by_counts(spark, d):
+    return conserved.index_picks(_item_variants(spark, d), _item_stats(spark, d), 40.0).select("position", "kmer")
+
+
+@query(A + ", x AS (SELECT sequence, motif_short, count FROM v WHERE position = 8 ORDER BY CASE motif_short WHEN 'I' THEN 0 WHEN 'Ma' THEN 1 WHEN 'Mi' THEN 2 ELSE 3 END, count DESC, sequence LIMIT 20) SELECT * FROM x")
+def variants_by_motif(spark, d):
+    return explore.page(explore.sorted_variants(_variants(spark, d).where("position = 8"), "motif"), 1, 20).select("sequence", "motif_short", "count")
+
+
+@query(A + ", x AS (SELECT sequence, round(incidence, 6) AS incidence FROM v WHERE position = 8 ORDER BY v.incidence DESC, sequence LIMIT 20 OFFSET 20) SELECT * FROM x")
+def variants_by_incidence(spark, d):
+    return explore.page(explore.sorted_variants(_variants(spark, d).where("position = 8"), "incidence"), 2, 20).select("sequence", r6("incidence"))
+
+
+@query(A + "SELECT DISTINCT 'status' AS field FROM v")
+def metadata_field_names(spark, d):
+    return explore.metadata_fields(_analysis(spark, d).variants)
+
+
+@query(_META + "SELECT seq_id, status, year FROM m")
+def projected_fields(spark, d):
+    """Only the wanted fields, in the order of the header format; unknown names go."""
+    only = headers.wanted(FIELDS, ["year", "nothing", "status"])
+    return headers.with_fields(orders(spark, d), FIELDS, headers.FILL, only).select("seq_id", *only)
+
+
+@query("SELECT count(*) AS sequences, count(DISTINCT header) > 0 AS some, 2 AS skipped_records FROM (" + ORDERS.format(s="varchar") + ")")
+def malformed_fasta(spark, d):
+    """Text before the first record and a record without a header are counted and left out."""
+    at = fresh_path(spark, "malformed")
+    own = orders(spark, d).select(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence").alias("value"))
+    own.coalesce(1).write.text(f"{at}/good")
+    spark.range(1).select(F.lit("stray line\n>\nACDEF").alias("value")).write.text(f"{at}/bad")
+    paths = [f"{at}/good", f"{at}/bad"]
+    read = fasta.read_fasta(spark, paths).agg(F.count(F.lit(1)).alias("sequences"), (F.count_distinct("header") > 0).alias("some"))
+    return read.crossJoin(F.broadcast(fasta.skipped_records(spark, paths).select(F.col("skipped_records").cast("int").alias("skipped_records"))))

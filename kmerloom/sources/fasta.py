@@ -8,13 +8,44 @@ from pyspark.sql import functions as F
 MOST_HEADER_BYTES, MOST_SEQUENCE_BYTES = 10 << 10, 100 << 20
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], line_breaks: str = "join", repartition: int | None = None) -> DataFrame:
+def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, file, at): pieces between line-start ">", with their file and where its split begins."""
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+
+
+def strays(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, key): what stands before the first ">" of a file, at most one row a file; ``key`` tells the piece by its text.
+
+    Only a file's first piece can begin with ">", as the source takes that of all others. It is looked up by one aggregate next to the scan.
+    """
+    first = _pieces(spark, path).where("at = 0").withColumn("place", F.monotonically_increasing_id())
+    body = F.regexp_replace("value", r"^[\x{FEFF}]?(?:;[^\n]*(?:\n|$)|\s+)*", "")
+    head = first.groupBy("file").agg(F.min(F.struct("place", F.xxhash64("value").alias("key"), F.substring(body, 1, 1).alias("head"))).alias("x"))
+    return head.where("x.head NOT IN ('>', '')").select("file", "x.key")
+
+
+def check_fasta(spark: SparkSession, path: str | list[str]) -> None:
+    """Stop where files do not start as FASTA; the error names five of them."""
+    found = [r["file"] for r in strays(spark, path).select("file").limit(5).collect()]
+    if found:
+        raise ValueError(f"no record starts these files: {', '.join(sorted(found))}")
+
+
+def read_fasta(spark: SparkSession, path: str | list[str], line_breaks: str = "join", repartition: int | None = None, malformed: str = "skip") -> DataFrame:
     """Records of FASTA files, which the text source splits at line-start ">"; .gz, .bz2 and .zst by extension.
 
     Byte-order marks go, as do ";" comment lines and records without a header. Lines of a sequence are joined; ``line_breaks="keep"`` leaves
     their breaks in. gz and zst files are not splittable: ``repartition`` spreads what follows. seq_id rises within a split.
+    What stands before the first ">" of a file is left out, or is an error with ``malformed="fail"``; either reads the files' starts once
+    more, which ``malformed="trust"`` does not, for files known to be sound.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
+    raw = _pieces(spark, path)
+    if malformed == "fail":
+        check_fasta(spark, path)
+    elif malformed == "skip":
+        bad = strays(spark, path).select(F.col("file").alias("__file"), "key")
+        raw = raw.join(bad, (F.col("at") == 0) & (F.col("file") == F.col("__file")) & (F.xxhash64("value") == F.col("key")), "left_anti")
     if repartition:
         raw = raw.repartition(repartition)
     record = F.regexp_replace("value", r"^[\x{FEFF}]?(?:;[^\n]*\n)*>?", "")
@@ -27,9 +58,11 @@ def read_fasta(spark: SparkSession, path: str | list[str], line_breaks: str = "j
 
 
 def skipped_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row: records without a header, which ``read_fasta`` leaves out."""
+    """One row: records without a header, and what stands before the first record of a file; ``read_fasta`` leaves both out."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^[\x{FEFF}]?(?:;[^\n]*\n)*>?", "").alias("r"))
-    return raw.agg(F.count_if((F.col("r") != "") & (F.btrim(F.substring_index("r", "\n", 1), F.lit(" \t\r")) == "")).alias("skipped_records"))
+    own = raw.agg(F.count_if((F.col("r") != "") & (F.btrim(F.substring_index("r", "\n", 1), F.lit(" \t\r")) == "")).alias("n"))
+    both = own.unionByName(strays(spark, path).agg(F.count(F.lit(1)).alias("n")))
+    return both.agg(F.sum("n").alias("skipped_records"))
 
 
 def from_table(rows: DataFrame, header: str = "header", sequence: str = "sequence", seq_id: str | None = None) -> DataFrame:

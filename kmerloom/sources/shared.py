@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's spark.checkpoint.dir; where that is unset (local tests), below one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kmerloom-own-")
+    """A new folder below the session's spark.checkpoint.dir; a local master, whose one machine runs everything, may go without."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="kmerloom-own-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -260,6 +260,19 @@ def test_fasta_and_sinks(spark, tmp_path):
         results.check_finite(r.positions.withColumn("entropy", F.lit(float("nan"))))
 
 
+def test_malformed_fasta(spark, tmp_path):
+    (tmp_path / "bad.fasta").write_text("garbage line\nmore\n>s1\nACDEF\n>\nAAA\n>garbage line\nACDEF\n")
+    (tmp_path / "good.fasta").write_text("\ufeff;note\n\n>s2\nACDEF\n")
+    (tmp_path / "empty.fasta").write_text("")
+    d = str(tmp_path / "*.fasta")
+    assert sorted(r.header for r in fasta.read_fasta(spark, d).collect()) == ["garbage line", "s1", "s2"]
+    assert fasta.skipped_records(spark, d).first()[0] == 2
+    with pytest.raises(ValueError, match="bad.fasta"):
+        fasta.read_fasta(spark, d, malformed="fail")
+    fasta.check_fasta(spark, str(tmp_path / "good.fasta"))
+    assert fasta.read_fasta(spark, str(tmp_path / "empty.fasta")).count() == 0
+
+
 def test_stream(spark, tmp_path):
     for i, seqs in enumerate((["ACDEF", "ACDEF"], ["ACDGF"])):
         aligned(spark, seqs).write.mode("append").parquet(str(tmp_path / "in"))
