@@ -135,6 +135,8 @@ class _Best:
         self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
+        # settled early, so that what follows is measured against the best so far
+        self.room = max(1 << 16, 4 * k * len(q))
 
     def offer(self, queries: np.ndarray, rows: np.ndarray) -> None:
         """All rows to all queries; those that clearly miss a query's k best are let go at once."""
@@ -146,7 +148,7 @@ class _Best:
                 i, j = np.nonzero(near >= np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)[:, None])
             self.new.append((queries[i], some[j]))
             self.waiting += len(i)
-            if self.waiting > 1 << 21:
+            if self.waiting > self.room:
                 self.settle()
 
     def settle(self) -> None:
