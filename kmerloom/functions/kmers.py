@@ -29,13 +29,17 @@ def windows(rows: DataFrame, k: int, a: Alphabet = PROTEIN, keep: tuple[str, ...
 
     Sequences shorter than k have none. The explode is narrow; nothing is shuffled.
     """
+    each = _cut(rows, k, a, keep)
+    fine = is_valid(F.col("kmer"), a)
+    return each.where(fine) if valid_only else each.withColumn("kmer", F.when(fine, F.col("kmer")).otherwise("NA"))
+
+
+def _cut(rows: DataFrame, k: int, a: Alphabet, keep: tuple[str, ...]) -> DataFrame:
     s = normalized(F.col("sequence"), a)
     own = rows.where(F.length("sequence") >= k).select(*keep, s.alias("__s"))
     cut = F.transform(F.sequence(F.lit(1), F.length("__s") - (k - 1)), lambda i: F.substring(F.col("__s"), i, F.lit(k)))
     each = own.select(*keep, F.posexplode(cut).alias("__i", "kmer"))
-    each = each.select(*keep, (F.col("__i") + 1).alias("position"), "kmer")
-    fine = is_valid(F.col("kmer"), a)
-    return each.where(fine) if valid_only else each.withColumn("kmer", F.when(fine, F.col("kmer")).otherwise("NA"))
+    return each.select(*keep, (F.col("__i") + 1).alias("position"), "kmer")
 
 
 def collapsed(rows: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
@@ -43,13 +47,18 @@ def collapsed(rows: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy("sequence", *fields).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def count_kmers(rows: DataFrame, k: int, a: Alphabet = PROTEIN, collapse: bool = False) -> DataFrame:
+def count_kmers(rows: DataFrame, k: int, a: Alphabet = PROTEIN, collapse: bool = False, gaps: bool = False) -> DataFrame:
     """(position, kmer, count). Map-side partial counts keep conserved positions from skewing the shuffle.
 
     ``collapse`` makes equal sequences one row first, which shuffles every distinct sequence: it pays where most sequences repeat.
+    ``gaps`` also counts the windows that are not valid, as a null k-mer: such counts hold every position of the alignment.
     """
     own = collapsed(rows) if collapse else rows.select("sequence", F.lit(1).cast("long").alias("weight"))
-    return windows(own, k, a, ("weight",)).groupBy("position", "kmer").agg(F.sum("weight").alias("count"))
+    if gaps:
+        each = _cut(own, k, a, ("weight",)).withColumn("kmer", F.when(is_valid(F.col("kmer"), a), F.col("kmer")))
+    else:
+        each = windows(own, k, a, ("weight",))
+    return each.groupBy("position", "kmer").agg(F.sum("weight").alias("count"))
 
 
 def occurrences(rows: DataFrame, k: int, a: Alphabet = PROTEIN) -> DataFrame:
@@ -74,8 +83,9 @@ def uneven(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).where(F.length("sequence") != F.col("__first")).drop("__first")
 
 
-def check_alignment(rows: DataFrame, k: int, threshold: int | None = None) -> None:
-    """Stop on no sequences, unequal lengths, or sequences all shorter than k; warn of a threshold above the number of sequences."""
+def check_alignment(rows: DataFrame, k: int, threshold: int | None = None) -> int:
+    """Stop on no sequences, unequal lengths, or sequences all shorter than k; warn of a threshold above the number of sequences, which
+    is returned."""
     r = shape(rows).first()
     if not r["sequences"]:
         raise ValueError("there are no sequences")
@@ -85,6 +95,7 @@ def check_alignment(rows: DataFrame, k: int, threshold: int | None = None) -> No
         raise ValueError(f"all sequences are shorter than k = {k}")
     if threshold is not None and threshold > r["sequences"]:
         warnings.warn(f"the support threshold {threshold} is above the number of sequences, {r['sequences']}", stacklevel=2)
+    return r["sequences"]
 
 
 def encode(kmer: Column, a: Alphabet = PROTEIN) -> Column:

@@ -20,9 +20,9 @@ def total(items: Column, of) -> Column:
 
 
 def spectrum(counts: DataFrame) -> DataFrame:
-    """(position, spectrum): array of (count, types), rising."""
-    types = counts.groupBy("position", "count").agg(F.count(F.lit(1)).alias("types"))
-    return types.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("count", "types"))).alias("spectrum"))
+    """(position, spectrum): array of (count, types), rising; a null k-mer, for windows that are not valid, is no type."""
+    types = counts.groupBy("position", "count").agg(F.count("kmer").alias("types"))
+    return types.groupBy("position").agg(F.array_sort(F.collect_list(F.when(F.col("types") > 0, F.struct("count", "types")))).alias("spectrum"))
 
 
 def label(support: Column, threshold: int) -> Column:
@@ -38,8 +38,8 @@ def raw_entropy(items: Column, support: Column) -> Column:
 def position_stats(counts: DataFrame, threshold: int, spine: DataFrame | None = None) -> DataFrame:
     """(position, spectrum, support, distinct_kmers, low_support, raw_entropy, top, second and the diversity rates).
 
-    ``top`` is the index count (null if all variants are unique), ``second`` the major count. Positions of the spine without a
-    valid window have support 0 and an empty spectrum.
+    ``top`` is the index count (null if all variants are unique), ``second`` the major count. Positions without a valid window, which
+    counts with ``gaps`` hold and a ``spine`` adds to other counts, have support 0 and an empty spectrum.
     """
     own = spectrum(counts)
     if spine is not None:
@@ -76,7 +76,7 @@ def motif(count: Column, top: Column, second: Column) -> Column:
 
 def variants(counts: DataFrame, stats: DataFrame) -> DataFrame:
     """(position, sequence, count, incidence, motif_short, motif_long)."""
-    own = counts.join(stats.select("position", "support", "top", "second"), "position")
+    own = counts.where("kmer IS NOT NULL").join(stats.select("position", "support", "top", "second"), "position")
     short = motif(F.col("count"), F.col("top"), F.col("second"))
     names = F.create_map(*[F.lit(x) for kv in MOTIFS.items() for x in kv])
     out = own.select("position", F.col("kmer").alias("sequence"), "count", (F.col("count") / F.col("support") * 100).alias("incidence"), short.alias("motif_short"))

@@ -22,6 +22,8 @@ ANCHORS = (2, 3, 5, 7, 10, 15, 20, 30, 50)
 LEAST_POINTS, LEAST_RANGE, LEAST_DENOMINATOR = 5, 0.01, 1e-12
 #: Standard deviations of a hypergeometric count beyond which its terms are left out.
 TAIL = 12.0
+#: Reads from which numpy does not draw, and types that are drawn at once.
+NUMPY_MOST, PIECE = 10**9, 1 << 16
 _SMALL = np.cumsum(np.log(np.maximum(np.arange(64), 1.0)))
 
 
@@ -69,43 +71,87 @@ def expected_entropy(counts: np.ndarray, types: np.ndarray, sizes: np.ndarray) -
     return out + 0.0
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``good`` are among n drawn of good + bad. Beyond numpy's limit by inversion, over values within TAIL deviations."""
+    whole = good + bad
+    if whole < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, n))
+    mean = good * (n / whole)
+    far = TAIL * math.sqrt(max(mean * (1 - good / whole) * ((whole - n) / (whole - 1)), 0.0)) + TAIL
+    j = np.arange(max(0, n - bad, math.floor(mean - far)), min(good, n, math.ceil(mean + far)) + 1)
+    logs = -(log_factorial(j) + log_factorial(good - j) + log_factorial(n - j) + log_factorial(bad - n + j))
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return int(j[np.searchsorted(sums, rng.random() * sums[-1], side="right")])
+
+
+def _drawn(rng: np.random.Generator, count: int, types: int, draws: int, m: int) -> float:
+    """Sum of p log2 p over ``types`` types of equal count that share the draws: halves until a piece is small, never all types at once."""
+    bits, parts = 0.0, [(types, draws)]
+    while parts:
+        t, n = parts.pop()
+        if n == 0:
+            continue
+        if count == 1:
+            bits += n / m * math.log2(1 / m)
+        elif t == 1:
+            bits += n / m * math.log2(n / m)
+        elif t <= PIECE and count * t < NUMPY_MOST:
+            own = rng.multivariate_hypergeometric(np.full(t, count), n, method="marginals")
+            p = own[own > 0] / m
+            bits += float((p * np.log2(p)).sum())
+        else:
+            half = t // 2
+            first = hypergeometric(rng, count * half, count * (t - half), n)
+            parts += [(t - half, n - first), (half, first)]
+    return bits
+
+
 def sampled_entropy(counts: np.ndarray, types: np.ndarray, sizes: np.ndarray, position: int, seed: int) -> np.ndarray:
-    """H of one subsample without replacement for each size, seeded by position and size."""
-    each = np.repeat(counts, types)
+    """H of one subsample without replacement for each size, seeded by position and size; drawn entry by entry of the spectrum."""
     out = np.zeros(len(sizes))
     for at, m in enumerate(sizes.tolist()):
-        drawn = np.random.default_rng([seed, position, m]).multivariate_hypergeometric(each, m, method="marginals")
-        p = drawn[drawn > 0] / m
-        out[at] = -(p * np.log2(p)).sum() + 0.0
+        rng = np.random.default_rng([seed, position, m])
+        left, draws, bits = int((counts * types).sum()), m, 0.0
+        for c, t in zip(counts.tolist(), types.tolist(), strict=True):
+            own = hypergeometric(rng, c * t, left - c * t, draws)
+            bits += _drawn(rng, c, t, own, m)
+            left, draws = left - c * t, draws - own
+        out[at] = -bits + 0.0
     return out
 
 
 def _curve(mode: str, seed: int):
     @F.pandas_udf("array<double>")
     def curve(position: pd.Series, counts: pd.Series, types: pd.Series, sizes: pd.Series) -> pd.Series:
-        if mode == "sampled":
-            return pd.Series([sampled_entropy(np.asarray(c), np.asarray(t), np.asarray(m), int(p), seed) for p, c, t, m in zip(position, counts, types, sizes, strict=True)])
-        return pd.Series([expected_entropy(np.asarray(c), np.asarray(t), np.asarray(m)) for c, t, m in zip(counts, types, sizes, strict=True)])
+        def of(p, c, t, m):
+            if m is None:
+                return None
+            c, t, m = (np.asarray(x, np.int64) for x in (c, t, m))
+            return sampled_entropy(c, t, m, int(p), seed) if mode == "sampled" else expected_entropy(c, t, m)
+
+        return pd.Series([of(*x) for x in zip(position, counts, types, sizes, strict=True)], dtype=object)
 
     return curve
 
 
-def rarefaction(stats: DataFrame, threshold: int, mode: str = "expected", seed: int = 0) -> DataFrame:
-    """(position, m, h): points of the curve of every position that is corrected, the full sample included.
+def with_curve(stats: DataFrame, threshold: int, mode: str = "expected", seed: int = 0) -> DataFrame:
+    """stats with ``curve``, an array of (m, h) that ends with the full sample; null for positions that are not corrected.
 
     Not corrected: N up to the threshold, and N of which the threshold is over 99 %.
     """
     ship(stats.sparkSession)
-    own = _corrected(stats, threshold).select("position", "support", "raw_entropy", "spectrum")
+    n = F.col("support")
+    corrected = (n > 1) & (n > threshold) & (F.ceil(F.lit(100.0) * threshold / n) < 100)
     # positions are few and heavy: spread them before the curves are computed
-    own = own.repartition("position").withColumn("sizes", sample_grid(F.col("support"), threshold))
-    curve = _curve(mode, seed)("position", F.col("spectrum.count"), F.col("spectrum.types"), "sizes")
-    points = F.concat(F.arrays_zip(F.col("sizes").alias("m"), curve.alias("h")), F.array(F.struct(F.col("support").alias("m"), F.col("raw_entropy").alias("h"))))
-    return own.select("position", F.explode(points).alias("x")).select("position", "x.m", "x.h")
+    own = stats.repartition("position").withColumn("__m", F.when(corrected, sample_grid(n, threshold)))
+    own = own.withColumn("__h", _curve(mode, seed)("position", F.col("spectrum.count"), F.col("spectrum.types"), "__m"))
+    points = F.concat(F.arrays_zip(F.col("__m").alias("m"), F.col("__h").alias("h")), F.array(F.struct(n.alias("m"), F.col("raw_entropy").alias("h"))))
+    return own.withColumn("curve", F.when(F.col("__m").isNotNull(), points)).drop("__m", "__h")
 
 
-def _corrected(stats: DataFrame, threshold: int) -> DataFrame:
-    return stats.where((F.col("support") > 1) & (F.col("support") > threshold) & (F.ceil(F.lit(100.0) * threshold / F.col("support")) < 100))
+def rarefaction(stats: DataFrame, threshold: int, mode: str = "expected", seed: int = 0) -> DataFrame:
+    """(position, m, h): points of the curve of every position that is corrected, a row each."""
+    return with_curve(stats, threshold, mode, seed).select("position", F.explode("curve").alias("x")).select("position", "x.m", "x.h")
 
 
 def fit(points: DataFrame, by: list[str], x: Column, y: str) -> DataFrame:
@@ -127,12 +173,19 @@ def with_entropy(stats: DataFrame, threshold: int, mode: str = "expected", seed:
     Raw entropy holds for positions that are not corrected, fits of fewer than five points or a range under 0.01, rising or missing
     slopes, and intercepts below 0. Otherwise the intercept, but no less than the raw entropy and no more than log2 of the types.
     """
-    line = fit(rarefaction(stats, threshold, mode, seed), ["position"], 1 / F.col("m"), "h")
-    joined = stats.join(line, "position", "left")
-    usable = (F.col("points") >= LEAST_POINTS) & (F.col("x_range") >= LEAST_RANGE) & (F.col("slope") <= 0) & (F.col("intercept") >= 0) & (F.abs("intercept") < float("inf"))
+    # the line is fitted in the position's own row, so that stats are derived once
+    own = with_curve(stats, threshold, mode, seed).withColumn("__p", F.transform("curve", lambda p: F.struct((1 / p["m"]).alias("x"), p["h"].alias("y"))))
+    points = F.size("__p")
+    own = own.withColumn("__x", total(F.col("__p"), lambda p: p["x"]) / points).withColumn("__y", total(F.col("__p"), lambda p: p["y"]) / points)
+    own = own.withColumn("__xx", total(F.col("__p"), lambda p: (p["x"] - F.col("__x")) * (p["x"] - F.col("__x"))))
+    own = own.withColumn("__xy", total(F.col("__p"), lambda p: (p["x"] - F.col("__x")) * (p["y"] - F.col("__y"))))
+    slope = F.when((points >= 2) & (F.col("__xx") * points >= LEAST_DENOMINATOR), F.col("__xy") / F.col("__xx"))
+    own = own.withColumn("slope", slope).withColumn("intercept", F.col("__y") - F.col("slope") * F.col("__x"))
+    x_range = F.array_max("__p")["x"] - F.array_min("__p")["x"]
+    usable = (points >= LEAST_POINTS) & (x_range >= LEAST_RANGE) & (F.col("slope") <= 0) & (F.col("intercept") >= 0) & (F.abs("intercept") < float("inf"))
     cap = F.when(F.col("distinct_kmers") > 1, F.log2(F.col("distinct_kmers").cast("double"))).otherwise(0.0)
     entropy = F.when(F.col("support") <= 1, 0.0).when(F.coalesce(usable, F.lit(False)), F.least(F.greatest("intercept", "raw_entropy"), cap)).otherwise(F.col("raw_entropy"))
-    return joined.withColumn("entropy", entropy).drop("points", "x_range", "slope")
+    return own.withColumn("entropy", entropy).drop("curve", "slope", "__p", "__x", "__y", "__xx", "__xy")
 
 
 def entropy_of_counts(counts: DataFrame, by: list[str] | None = None, count: str = "count") -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.ship import ship
+
 MOTIF_ORDER = ("I", "Ma", "Mi", "U")
 LONGEST_QUERY = 200
 TOP = 10
@@ -135,26 +141,75 @@ def series(stats: DataFrame) -> DataFrame:
     return stats.select((F.row_number().over(Window.orderBy("position")) - 1).alias("index"), F.lit(0).alias("row"), "entropy")
 
 
+def _hull(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of the corners of the convex hull of distinct points sorted by (x, y)."""
+
+    def chain(order) -> list[int]:
+        kept: list[int] = []
+        for i in order:
+            while len(kept) > 1:
+                a, b = kept[-2:]
+                if (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a]) > 0:
+                    break
+                kept.pop()
+            kept.append(i)
+        return kept
+
+    return sorted({*chain(range(len(x))), *chain(range(len(x) - 1, -1, -1))})
+
+
+def _corners(points: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct ``points(by, x, y)`` without those inside the hull of their neighbours in a batch. Corners of a bucket's hull always stay."""
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+
+    def cut(batches):
+        for b in batches:
+            groups = b.column("__g").to_numpy(zero_copy_only=False)
+            x, y = b.column("x").to_numpy(), b.column("y").to_numpy()
+            ends = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)] if len(groups) else [0]
+            kept = [lo + i for lo, hi in itertools.pairwise(ends) for i in _hull(x[lo:hi].tolist(), y[lo:hi].tolist())]
+            yield b.take(pa.array(kept, pa.int64()))
+
+    ship(points.sparkSession)
+    own = points.withColumn("__g", group).sortWithinPartitions("__g", "x", "y")
+    return own.mapInArrow(cut, own.schema).drop("__g")
+
+
 def downsample(points: DataFrame, threshold: int, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """Largest-triangle downsampling of ``points(keys, x, y)`` with buckets of equal x-range, for each series.
 
     First and last points stay; each bucket gives the point with the largest triangle between the point picked before it and the mean of
     the next bucket that has points (else the last point), first of equals. Series of at most ``threshold`` points, of one x, or with a
-    threshold under 3 stay whole. Buckets and means are grouped; a fold over the buckets, at most ``threshold``, does the picking.
+    threshold under 3 stay whole. Points without x or y go; x and y are taken as doubles; null keys are a series.
+
+    The largest triangle over any base stands on a corner of the bucket's convex hull, so points inside the hull go before a bucket is
+    gathered: first where they lie, spread by value, then with their bucket. A fold over the buckets, at most ``threshold``, picks.
     """
+    points = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     if threshold < 3:
         return points
-    own = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y")).alias("first"), F.max(F.struct("x", "y")).alias("last"))
-    all_of = points.join(own, list(keys))
+    ends = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y")).alias("first"), F.max(F.struct("x", "y")).alias("last"))
+    own = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "first", "last")
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    all_of = points.join(own, same).drop(*[f"__{k}" for k in keys])
     plain = (F.col("n") <= threshold) | (F.col("first.x") == F.col("last.x"))
     whole = all_of.where(plain).select(*keys, "x", "y")
     width = (F.col("last.x") - F.col("first.x")) / (threshold - 2)
     bucket = F.least(F.floor((F.col("x") - F.col("first.x")) / width), F.lit(threshold - 3))
-    inner = all_of.where(~plain).where((F.struct("x", "y") != F.col("first")) & (F.struct("x", "y") != F.col("last"))).withColumn("bucket", bucket)
-    grouped = inner.groupBy(*keys, "bucket").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"), F.avg("x").alias("ax"), F.avg("y").alias("ay"))
+    # repeated points are counted; of the two ends one each is no inner point
+    is_end = (F.struct("x", "y") == F.col("first")) | (F.struct("x", "y") == F.col("last"))
+    inner = all_of.where(~plain).withColumn("bucket", bucket).withColumn("end", is_end)
+    inner = inner.groupBy(*keys, "bucket", "x", "y", "end").agg(F.count(F.lit(1)).alias("w")).withColumn("w", F.col("w") - F.col("end").cast("int")).where("w > 0")
+    by = [*keys, "bucket"]
+    corners = _corners(_corners(inner.select(*by, "x", "y"), by).repartition(*by), by)
+    mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"a{c}")
+    means = inner.groupBy(*by).agg(mean("x"), mean("y"))
     after = Window.partitionBy(*keys).orderBy("bucket")
-    ahead = grouped.withColumn("nx", F.lead("ax").over(after)).withColumn("ny", F.lead("ay").over(after))
-    listed = ahead.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "p", "nx", "ny"))).alias("buckets")).join(own, list(keys))
+    ahead = means.select(*[F.col(c).alias(f"__{c}") for c in by], F.lead("ax").over(after).alias("nx"), F.lead("ay").over(after).alias("ny"))
+    grouped = corners.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    joined = grouped.join(ahead, same & (F.col("bucket") == F.col("__bucket"))).drop(*[f"__{c}" for c in by])
+    listed = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "p", "nx", "ny"))).alias("buckets"))
+    listed = own.join(listed, same).drop(*[f"__{k}" for k in keys])
 
     def pick(state: Column, b: Column) -> Column:
         cx, cy = F.coalesce(b["nx"], F.col("last.x")), F.coalesce(b["ny"], F.col("last.y"))

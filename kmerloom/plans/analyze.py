@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 
 from kmerloom.functions import headers
 from kmerloom.functions.alphabet import Alphabet, alphabet
-from kmerloom.functions.kmers import check_alignment, check_k, count_kmers, spine
+from kmerloom.functions.kmers import check_alignment, check_k, count_kmers
 from kmerloom.operators import diversity
 from kmerloom.operators.entropy import with_entropy
+from kmerloom.sources.shared import fresh_path
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,15 @@ def analyze(
     collapse: bool = False,
     check: bool = True,
     stream: bool = False,
+    store: bool = True,
 ) -> Analysis:
     """Diversity of ``rows(seq_id, header, sequence)``, which are aligned.
 
     ``kind`` is an alphabet or its name; ``header_format`` names the fields of headers, ``metadata_fields`` those to count for each variant;
     ``mode`` is that of the entropy correction; ``collapse`` makes equal sequences one row before windows are cut. ``check`` runs the
     aggregates that stop on bad input: unequal lengths, no windows, too many headers that do not parse (a stream only warns).
+    ``store`` writes counts and positions once below spark.checkpoint.dir, and all results are read from there; without it each result is a
+    plan from the rows on, which are then read for every one.
     """
     a = alphabet(kind)
     k = check_k(k, a)
@@ -49,11 +53,13 @@ def analyze(
         raise ValueError("the support threshold is at least 1")
     if metadata_fields and not header_format:
         warnings.warn("metadata fields are named without a header format: none is counted", stacklevel=2)
-    if check:
-        check_alignment(rows, k, threshold)
-    counts = count_kmers(rows, k, a, collapse)
-    stats = with_entropy(diversity.position_stats(counts, threshold, spine(rows, k)), threshold, mode, seed)
-    found = diversity.variants(counts, stats)
+    sequences = check_alignment(rows, k, threshold) if check else rows.count()
+    counts = count_kmers(rows, k, a, collapse, gaps=True)
+    counts = _stored(counts, "counts") if store else counts
+    own = diversity.position_stats(counts, threshold)
+    found = diversity.variants(counts, own)
+    stats = with_entropy(own, threshold, mode, seed)
+    stats = _stored(stats, "positions") if store else stats
     if header_format:
         fields = headers.check_format(header_format)
         if check:
@@ -61,4 +67,10 @@ def analyze(
         only = headers.wanted(fields, metadata_fields)
         table = headers.with_fields(rows, fields, fill, only)
         found = diversity.with_metadata(found, diversity.metadata_counts(table, only, k, a)) if only else found
-    return Analysis(diversity.summary(stats, rows.count(), threshold, k, name), stats, found)
+    return Analysis(diversity.summary(stats, sequences, threshold, k, name), stats, found)
+
+
+def _stored(table: DataFrame, name: str) -> DataFrame:
+    at = fresh_path(table.sparkSession, name)
+    table.write.parquet(at)
+    return table.sparkSession.read.parquet(at)

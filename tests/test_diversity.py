@@ -226,6 +226,65 @@ def test_downsample(spark):
     assert explore.downsample(same, 5).count() == 9
 
 
+def _thinned(pts, threshold):
+    """Largest triangles over all points, bucket by bucket, in plain Python."""
+    pts = sorted(pts)
+    (fx, _), (lx, ly) = pts[0], pts[-1]
+    buckets = {}
+    for x, y in pts[1:-1]:
+        buckets.setdefault(min(int((x - fx) / ((lx - fx) / (threshold - 2))), threshold - 3), []).append((x, y))
+    out, order = [pts[0]], sorted(buckets)
+    for i, b in enumerate(order):
+        after = buckets[order[i + 1]] if i + 1 < len(order) else [(lx, ly)]
+        cx, cy = sum(p[0] for p in after) / len(after), sum(p[1] for p in after) / len(after)
+        ax, ay = out[-1]
+        out.append(min(buckets[b], key=lambda p: (-abs((ax - cx) * (p[1] - ay) - (ax - p[0]) * (cy - ay)), p)))
+    return sorted([*out, pts[-1]])
+
+
+def test_downsample_all_points(spark):
+    """Many points in few buckets, repeated points (ends too), a null series and points without y."""
+    rng = np.random.default_rng(3)
+    pts = [(float(x), float(y)) for x, y in rng.integers(0, 1000, (4000, 2))]
+    pts += [min(pts), max(pts), pts[7], pts[7]]
+    rows = [(1, *p) for p in pts] + [(None, *p) for p in pts[:500]] + [(1, 5.0, None)]
+    got = explore.downsample(spark.createDataFrame(rows, "series int, x double, y double").repartition(5), 9).collect()
+    assert sorted((r.x, r.y) for r in got if r.series == 1) == _thinned(pts, 9)
+    assert sorted((r.x, r.y) for r in got if r.series is None) == _thinned(pts[:500], 9)
+    assert explore.downsample(spark.createDataFrame([], "series int, x double, y double"), 9).count() == 0
+
+
+def test_draws_beyond_numpy():
+    """Spectra of billions of reads and of millions of types are drawn entry by entry, and come close to the expectation."""
+    counts, types = np.array([1, 900, 10**9]), np.array([3_000_000, 70_000, 2])
+    sizes = np.array([1000, 2_000_000])
+    got = entropy.sampled_entropy(counts, types, sizes, 1, 5)
+    assert got == pytest.approx(entropy.expected_entropy(counts, types, sizes), rel=0.1)
+    rng = np.random.default_rng(1)
+    far = [entropy.hypergeometric(rng, 3 * 10**9, 10**9, 10**6) for _ in range(200)]
+    assert np.mean(far) == pytest.approx(750_000, abs=150) and np.std(far) == pytest.approx(433, rel=0.25)
+
+
+def test_one_scan(spark, tmp_path):
+    """Positions, their correction and variants come from one pass over the rows, empty positions included."""
+    aligned(spark, ["AC-EF"] * 3 + ["ACDEF"] * 3).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    counts = kmers.count_kmers(rows, 3, gaps=True)
+    stats = entropy.with_entropy(diversity.position_stats(counts, 1), 1)
+    assert stats._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 1
+    assert [(r.position, r.support) for r in stats.orderBy("position").collect()] == [(1, 3), (2, 3), (3, 3)]
+    only_gaps = kmers.count_kmers(aligned(spark, ["A---F"]), 3, gaps=True)
+    assert [(r.position, r.low_support) for r in diversity.position_stats(only_gaps, 1).orderBy("position").collect()] == [(1, "NS"), (2, "NS"), (3, "NS")]
+    assert diversity.variants(only_gaps, diversity.position_stats(only_gaps, 1)).count() == 0
+
+
+def test_stored_and_plain_analysis_agree(spark):
+    rows = aligned(spark, ["ACDEF", "ACDGF", "ACDEF", "AC-EF"])
+    a, b = (analyze(rows, 3, 1, store=x) for x in (True, False))
+    for name in ("summary", "positions", "variants"):
+        assert sorted(map(str, getattr(a, name).collect())) == sorted(map(str, getattr(b, name).collect()))
+
+
 def test_validation(spark):
     rows = aligned(spark, ["ACGT-", "ACGTA", "ACG"], ["a", "b", "c"])
     r = validate.report(rows).first()
