@@ -30,16 +30,23 @@ def windows(rows: DataFrame, k: int, a: Alphabet = PROTEIN, keep: tuple[str, ...
     Sequences shorter than k have none. The explode is narrow; nothing is shuffled.
     """
     each = _cut(rows, k, a, keep)
-    fine = is_valid(F.col("kmer"), a)
-    return each.where(fine) if valid_only else each.withColumn("kmer", F.when(fine, F.col("kmer")).otherwise("NA"))
+    return each.where("kmer IS NOT NULL") if valid_only else each.fillna("NA", "kmer")
 
 
 def _cut(rows: DataFrame, k: int, a: Alphabet, keep: tuple[str, ...]) -> DataFrame:
-    s = normalized(F.col("sequence"), a)
-    own = rows.where(F.length("sequence") >= k).select(*keep, s.alias("__s"))
-    cut = F.transform(F.sequence(F.lit(1), F.length("__s") - (k - 1)), lambda i: F.substring(F.col("__s"), i, F.lit(k)))
-    each = own.select(*keep, F.posexplode(cut).alias("__i", "kmer"))
-    return each.select(*keep, (F.col("__i") + 1).alias("position"), "kmer")
+    """(keep, position, kmer), null for windows that are not valid.
+
+    Characters that are not valid become a mark once a sequence, so that a window needs no regex. Where all valid characters are ASCII, a
+    marked sequence is too, and windows are cut from its bytes: a cut from a string walks there from the start.
+    """
+    mark = next(c for c in map(chr, range(len(a.valid) + 1)) if c not in a.valid)
+    s = F.regexp_replace(normalized(F.col("sequence"), a), a.none_of(a.valid), mark)
+    ascii_only = a.valid.isascii()
+    own = rows.where(F.length("sequence") >= k).select(*keep, (s.cast("binary") if ascii_only else s).alias("__s"))
+    each = own.select(*keep, "__s", F.explode(F.sequence(F.lit(1), F.length("__s") - (k - 1))).alias("position"))
+    cut = F.substring("__s", F.col("position"), F.lit(k))
+    fine = ~F.contains(cut, F.lit(mark.encode() if ascii_only else mark))
+    return each.select(*keep, "position", F.when(fine, cut.cast("string")).alias("kmer"))
 
 
 def collapsed(rows: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
@@ -54,10 +61,7 @@ def count_kmers(rows: DataFrame, k: int, a: Alphabet = PROTEIN, collapse: bool =
     ``gaps`` also counts the windows that are not valid, as a null k-mer: such counts hold every position of the alignment.
     """
     own = collapsed(rows) if collapse else rows.select("sequence", F.lit(1).cast("long").alias("weight"))
-    if gaps:
-        each = _cut(own, k, a, ("weight",)).withColumn("kmer", F.when(is_valid(F.col("kmer"), a), F.col("kmer")))
-    else:
-        each = windows(own, k, a, ("weight",))
+    each = _cut(own, k, a, ("weight",)) if gaps else windows(own, k, a, ("weight",))
     return each.groupBy("position", "kmer").agg(F.sum("weight").alias("count"))
 
 

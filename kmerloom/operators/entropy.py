@@ -142,8 +142,8 @@ def with_curve(stats: DataFrame, threshold: int, mode: str = "expected", seed: i
     ship(stats.sparkSession)
     n = F.col("support")
     corrected = (n > 1) & (n > threshold) & (F.ceil(F.lit(100.0) * threshold / n) < 100)
-    # positions are few and heavy: spread them before the curves are computed
-    own = stats.repartition("position").withColumn("__m", F.when(corrected, sample_grid(n, threshold)))
+    # positions are few and heavy: spread them before the curves are computed, over a number that adaptive execution keeps
+    own = stats.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "position").withColumn("__m", F.when(corrected, sample_grid(n, threshold)))
     own = own.withColumn("__h", _curve(mode, seed)("position", F.col("spectrum.count"), F.col("spectrum.types"), "__m"))
     points = F.concat(F.arrays_zip(F.col("__m").alias("m"), F.col("__h").alias("h")), F.array(F.struct(n.alias("m"), F.col("raw_entropy").alias("h"))))
     return own.withColumn("curve", F.when(F.col("__m").isNotNull(), points)).drop("__m", "__h")
