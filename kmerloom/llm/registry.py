@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("lm", "decontaminate", "warc", "secrets", "neighbours", "quality", "byte_bpe", "sharding", "token_orc", "simhash", "rules")
+_MODULES = ("lm", "decontaminate", "warc", "secrets", "neighbours", "quality", "byte_bpe", "sharding", "token_orc", "simhash", "rules", "codes", "negatives")
 
 
 def queries() -> dict:
