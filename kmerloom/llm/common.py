@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _SCRATCH:
+    for made in _SCRATCH.get():
         made.append(path)
     return path
 
@@ -64,18 +65,19 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-_SCRATCH: list[list[str]] = []
+#: The lists that this context's ``scratch`` blocks keep; other threads have their own, so none deletes what another has written.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes on leaving what ``written`` and ``fresh_path`` made inside; whoever needs a result later writes it before."""
+    """Deletes on leaving what ``written`` and ``fresh_path`` made inside, in this thread; whoever needs a result later writes it before."""
     made: list[str] = []
-    _SCRATCH.append(made)
+    outer = _SCRATCH.set((*_SCRATCH.get(), made))
     try:
         yield
     finally:
-        _SCRATCH.remove(made)
+        _SCRATCH.reset(outer)
         for path in made:
             remove(spark, path)
 

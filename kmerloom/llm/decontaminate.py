@@ -143,7 +143,7 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 
 #: What the matcher adds to a row.
 FOUND = "__words long, __spans array<struct<start:int,end:int>>, __items array<string>"
-_OURS = ("__words", "__spans", "__items", "__bytes")
+_OURS = ("__words", "__spans", "__items")
 _SPANS, _ITEMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
 
 
@@ -185,7 +185,7 @@ def _finisher(cut: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             spans = [[{"start": x, "end": y} for x, y in _merged([(s["start"], s["end"]) for s in own or ()], [])] for own in b.column("__spans").to_pylist()]
-            yield _with(b, cut, b.column("__words").to_pylist(), spans, [x or [] for x in b.column("__items").to_pylist()])
+            yield _with(b, cut, [len(words(t)) for t in b.column("__bytes").to_pylist()], spans, [x or [] for x in b.column("__items").to_pylist()])
 
     return finish
 
@@ -212,34 +212,27 @@ def _one_by_one(built: DataFrame) -> Iterator[bytes]:
         yield bytes(built.where(F.col("block") == block).first()["automaton"])
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False, at_once: int = AT_ONCE) -> DataFrame:
-    """docs with ``__words`` (count), ``__spans`` (word spans inside windows, merged) and ``__items`` (ids of items found).
-
-    A window is ``window`` consecutive words of an item, or the whole of a shorter one. Null and blank texts have no words; items
-    without words have no windows; a null item_id is written "null"; repeated items count once; an empty benchmark finds
-    nothing; other columns of docs pass through, but for those three names and ``__bytes``, which are replaced. With ``cut`` the
-    spans also leave the text, see ``decontaminate``.
-    """
+def _matched(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, cut: bool, at_once: int) -> DataFrame:
+    """(__row, text, __words, __spans, __items): ``__row`` is a struct of all other columns of docs, so no name of theirs meets one of ours."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop(*_OURS)
     built = automatons(benchmark, window, block_words)
     n = built.count()
     found = T._parse_datatype_string(FOUND).fields
-    text = F.col("text").cast("binary").alias("__bytes")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(True).alias("none")]
+    own = docs.select(F.struct(*others).alias("__row"), "text", F.col("text").cast("binary").alias("__bytes"))
     send = spark.sparkContext.broadcast
     if n <= at_once:
         held = [send(a) for a in _one_by_one(built)] or [send(pickle.dumps(Automaton([], window)))]
-        own = docs.select("*", text)
         return own.mapInArrow(_matcher(held, cut), T.StructType([*own.schema.fields, *found])).drop("__bytes")
-    # more than a task can hold: every pass writes what it found, by number of row, and lets its automatons go
-    own = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__own"), text), "documents")
+    # more than a task can hold: every pass writes the spans it found, by number of row, and lets its automatons go
+    own = written(own.withColumn("__number", F.monotonically_increasing_id()), "documents")
     held, passes = [], []
 
     def run() -> None:
-        key = own.select("__row", "__bytes")
-        hits = key.mapInArrow(_matcher(held, False), T.StructType([*key.schema.fields, *found])).drop("__bytes")
-        passes.append(written(hits, "pass"))
+        key = own.select("__number", "__bytes")
+        hits = key.mapInArrow(_matcher(held, False), T.StructType([*key.schema.fields, *found])).where(F.size("__items") > 0)
+        passes.append(written(hits.select("__number", "__spans", "__items"), "pass"))
         for h in held:
             h.destroy()
         held.clear()
@@ -250,10 +243,24 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
             run()
     if held:
         run()
-    each = reduce(DataFrame.unionByName, [p.where(F.size("__items") > 0) for p in passes])
-    merged = each.groupBy("__row").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
-    both = own.join(passes[0].select("__row", "__words"), "__row").join(merged, "__row", "left").select("__own.*", "__words", "__spans", "__items")
-    return both.mapInArrow(_finisher(cut), both.schema)
+    each = reduce(DataFrame.unionByName, passes)
+    merged = each.groupBy("__number").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    # a table of the rows that were hit, of known size: the texts are only shuffled if it is too large to send
+    both = own.join(written(merged, "hits"), "__number", "left").select("__row", "text", "__bytes", F.lit(None).cast("long").alias("__words"), "__spans", "__items")
+    return both.mapInArrow(_finisher(cut), both.schema).drop("__bytes")
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False, at_once: int = AT_ONCE) -> DataFrame:
+    """docs with ``__words`` (count), ``__spans`` (word spans inside windows, merged) and ``__items`` (ids of items found).
+
+    A window is ``window`` consecutive words of an item, or the whole of a shorter one. Null and blank texts have no words; items
+    without words have no windows; a null item_id is written "null"; repeated items count once; an empty benchmark finds
+    nothing; other columns of docs pass through, but for those three names, which are replaced. With ``cut`` the
+    spans also leave the text, see ``decontaminate``.
+    """
+    docs = docs.drop(*_OURS)
+    found = _matched(docs, benchmark, window, block_words, cut, at_once)
+    return found.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns], "__words", "__spans", "__items")
 
 
 def _cut(text: str | None, spans: list) -> str | None:
@@ -273,12 +280,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """docs without benchmark passages.
 
     All spans are cut from the text, those of items shorter than a window too; a document of which spans cover more than
-    ``max_coverage`` goes. Documents that hold no passage stay as they are, null texts too; columns named as ``match`` names its own are
-    dropped, see there for other cases.
+    ``max_coverage`` goes. Documents that hold no passage stay as they are, null texts too; other columns pass through, but
+    those named as ``match`` names its own are dropped; see there for other cases.
     """
-    found = match(docs, benchmark, window, block_words, True)
+    found = _matched(docs, benchmark, window, block_words, True, AT_ONCE)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.where(hit <= F.col("__words") * F.lit(max_coverage)).select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OURS])
+    return found.where(hit <= F.col("__words") * F.lit(max_coverage)).select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns if c not in _OURS])
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

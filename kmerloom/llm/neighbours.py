@@ -5,7 +5,8 @@ Vectors get one more coordinate that makes all norms equal, so that nearness by
 cell and the perturbed cells in the order of estimated success (the sum of squared distances to the crossed walls).
 
 How many cells a query visits is measured, not guessed: for ``SAMPLE`` queries the true neighbours are found by a scan, and the number of
-probes is the least that finds ``TARGET`` of them, with fewer projections if ``MOST_PROBES`` do not. Clustered vectors need few probes.
+probes is the least that finds ``TARGET`` of them, with fewer projections if ``MOST_PROBES`` do not, and a scan of all if one projection does
+not either. Clustered vectors need few probes.
 
 Cells are dealt to parts by their code. A part with many vectors is cut into pieces by vector id, one with many queries into slices by
 query id, so that no group outgrows a task; a query goes once to every piece that may hold its cells, with the list of
@@ -31,12 +32,14 @@ SAMPLE, TARGET, MOST_PROBES = 128, 0.95, 1024
 PART_ROWS, PART_QUERIES, LEAST_PARTS = 16384, 4096, 64
 SEED = 11
 K = 20
+#: The id of rows without one.
+NO_ID = 2**63 - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hashes_for(n: int) -> int:
     """Projections of a table for n vectors: cells multiply as vectors do."""
-    return min(16, max(3, round(0.7 * math.log2(max(n, 2)))))
+    return max(3, round(0.7 * math.log2(max(n, 2))))
 
 
 class Hashes:
@@ -100,9 +103,9 @@ def _part(codes: np.ndarray, parts: int) -> np.ndarray:
 def _index(h: Hashes, parts: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            codes = h.codes(np.floor(h.project(_matrix(b.column(1)), False)).astype(np.int64), np.arange(h.tables)).ravel()
+            codes = h.codes(np.floor(h.project(_matrix(b.column(2)), False)).astype(np.int64), np.arange(h.tables)).ravel()
             at = pa.array(np.repeat(np.arange(b.num_rows), h.tables))
-            yield pa.RecordBatch.from_arrays([pa.array(_part(codes, parts)), pa.array(codes), b.column(0).take(at), b.column(1).take(at)], names=["part", "cell", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(_part(codes, parts)), pa.array(codes), *[c.take(at) for c in b.columns]], names=["part", "cell", "row", "vec_id", "v"])
 
     return index
 
@@ -121,16 +124,17 @@ def _probe(h: Hashes, most: int, parts: int):
             first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (row[1:] != row[:-1]))))
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(part)).astype(np.int32)), pa.array(codes))
             own = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([pa.array(part[first]), b.column(0).take(own), b.column(1).take(own), lists], names=["part", "query_id", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), b.column(0).take(own), b.column(1).take(own), lists], names=["part", "query", "v", "cells"])
 
     return probe
 
 
 class _Best:
-    """The k best of each query so far, by exact double-precision inner products, ties to the smaller id."""
+    """The k best of each query so far, by exact double-precision inner products, ties to the smaller id. Queries and vectors are told apart by
+    the number of their row."""
 
-    def __init__(self, q: np.ndarray, own: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int):
-        self.q, self.own, self.v, self.ids, self.k = q, own, v, ids, k
+    def __init__(self, q: np.ndarray, own: np.ndarray, v: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+        self.q, self.own, self.v, self.rows, self.ids, self.k = q, own, v, rows, ids, k
         self.least = np.full(len(q), -np.inf)
         self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
@@ -157,13 +161,13 @@ class _Best:
         i, j = (np.concatenate(x) for x in zip(*self.new, strict=True))
         score = np.concatenate([np.empty(0)] + [(self.v[j[at : at + 65536]] * self.q[i[at : at + 65536]]).sum(1) for at in range(0, len(i), 65536)])
         i, j, score = (np.concatenate(x) for x in zip(self.kept, (i, j, score), strict=True))
-        good = self.ids[j] != self.own[i]
+        good = self.rows[j] != self.own[i]
         i, j, score = i[good], j[good], score[good]
-        order = np.lexsort((self.ids[j], -score, i))
+        order = np.lexsort((self.rows[j], self.ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         # several tables may have found the same vector
         one = np.ones(len(i), bool)
-        one[1:] = (i[1:] != i[:-1]) | (self.ids[j[1:]] != self.ids[j[:-1]])
+        one[1:] = (i[1:] != i[:-1]) | (self.rows[j[1:]] != self.rows[j[:-1]])
         i, j, score = i[one], j[one], score[one]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         first = rank < self.k
@@ -176,10 +180,11 @@ def _best(k: int):
     """The k nearest of a piece for each of its queries; a query without a list of cells is compared with all of it."""
 
     def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        kept = _Best(np.zeros((0, 1)), np.empty(0, np.int64), np.zeros((0, 1)), np.empty(0, np.int64), k)
+        none = np.empty(0, np.int64)
+        kept = _Best(np.zeros((0, 1)), none, np.zeros((0, 1)), none, none, k)
         if queries.num_rows and rows.num_rows:
             q, v = _matrix(queries.column("v").combine_chunks()), _matrix(rows.column("v").combine_chunks())
-            kept = _Best(q, queries.column("query_id").to_numpy(), v, rows.column("vec_id").to_numpy(), k)
+            kept = _Best(q, queries.column("query").to_numpy(), v, rows.column("row").to_numpy(), rows.column("vec_id").to_numpy(), k)
             cell = rows.column("cell").to_numpy()
             order = np.argsort(cell, kind="stable")
             names, starts = np.unique(cell[order], return_index=True)
@@ -201,32 +206,32 @@ def _best(k: int):
                 kept.offer(who[a:b], order[starts[c] : starts[c + 1]])
             kept.settle()
         i, j, score = kept.kept
-        return pa.table({"query_id": kept.own[i], "vec_id": kept.ids[j], "score": score})
+        return pa.table({"query": kept.own[i], "row": kept.rows[j], "vec_id": kept.ids[j], "score": score})
 
     return best
 
 
 def _ranked(parts: DataFrame, k: int) -> DataFrame:
-    """Merge the best of all parts: (query_id, rank, vec_id, score), nearest first. A window's limit works before and after its shuffle."""
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    once = parts.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """Merge the best of all parts: (query, rank, vec_id, score), nearest first. A window's limit works before and after its shuffle."""
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row")
+    once = parts.groupBy("query", "row", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "vec_id", "score")
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: not null nor zero, all components finite, as long as the vector of the smallest id.
-
-    Of rows that repeat a vec_id, one (the greatest vector) stays.
-    """
+    """(row, vec_id, v) of the vectors that take part, written: not null nor zero, all components finite, of the commonest length (the longer of
+    equally common ones), as others have no inner product with these. Every row has a number of its own; a null vec_id is ``NO_ID``."""
     v = F.col("embedding").cast("array<double>")
-    good = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    good = vectors.where("embedding IS NOT NULL").select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), v.alias("v"))
     good = good.where(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0))
-    return good.groupBy("vec_id").agg(F.max("v").alias("v"))
+    size = good.groupBy(F.size("v").alias("size")).count().agg(F.max(F.struct("count", "size")).alias("x")).first()["x"]
+    fits = good.where(F.size("v") == (size["size"] if size else 0))
+    return written(fits.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
 
 
-def calibrate(rows: DataFrame, asked: DataFrame, n: int, dims: int, scale: float, k: int, tables: int, hashes: int, width: float, target: float, seed: int) -> tuple[Hashes, int]:
-    """Projections and the number of probes that find ``target`` of the true k nearest of ``SAMPLE`` queries. What reaches the driver
-    is these queries and their neighbours."""
+def calibrate(rows: DataFrame, asked: DataFrame, n: int, dims: int, scale: float, k: int, tables: int, hashes: int, width: float, target: float, seed: int) -> tuple[Hashes, int | None]:
+    """Projections and the number of probes that find ``target`` of the true k nearest of ``SAMPLE`` queries; None for the number if even one
+    projection a table does not find them with ``MOST_PROBES``. What reaches the driver is these queries and their neighbours."""
     some = asked.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(SAMPLE).collect()
     if not some or n < 2:
         return Hashes(dims, scale, hashes, tables, width, seed), 1
@@ -260,34 +265,36 @@ def calibrate(rows: DataFrame, asked: DataFrame, n: int, dims: int, scale: float
             place = np.array([np.searchsorted(bound[i], s - 1e-12) for i, s in zip(who, score, strict=True)])
             rank = np.minimum(rank, np.where(np.abs(moved).max(1) <= 1, place, MOST_PROBES))
         probes = int(np.quantile(rank, target, method="higher")) + 1
-        if probes <= MOST_PROBES or hashes <= 1:
-            return h, min(probes, MOST_PROBES)
+        if probes <= MOST_PROBES:
+            return h, probes
+        if hashes <= 1:
+            return h, None
         hashes -= 1
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, hashes: int | None = None, width: float = WIDTH, probes: int | None = None, target: float = TARGET, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of ``vectors(vec_id, embedding)`` for each of ``queries(vec_id, embedding)``.
 
-    ``hashes`` follows the number of vectors and ``probes`` is measured where they are not given. A query never finds its own id. A query
-    for which the cells hold fewer than k others is compared with all vectors, in the same parts. Vectors that ``usable`` leaves out
-    neither ask nor are found; an empty table gives no rows; other columns are ignored.
+    ``hashes`` follows the number of vectors and ``probes`` is measured where they are not given; if no number of probes reaches the target,
+    all vectors are scanned. Rows are told apart by a number of their own: a query never finds its own row, and rows that repeat a vec_id ask
+    and are found each. A query for which the cells hold fewer than k others is compared with all vectors, in the same parts. A row of
+    ``queries`` asks for all rows of ``vectors`` with its vec_id. Vectors that ``usable`` leaves out neither ask nor are found; a null vec_id comes
+    last of ties; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = written(usable(vectors), "vectors")
+    rows = usable(vectors)
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    about = rows.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(norm)).alias("scale"), F.min_by(F.size("v"), "vec_id").alias("dims")).first()
+    about = rows.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(norm)).alias("scale"), F.max(F.size("v")).alias("dims")).first()
     n, dims, scale = about["n"], about["dims"] or 1, about["scale"] or 1.0
-    rows = rows.where(F.size("v") == dims)
-    asked = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "v")
+    wanted = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    asked = written(rows.join(wanted, "vec_id", "left_semi").select(F.col("row").alias("query"), "vec_id", "v"), "asked")
     if probes:
         h = Hashes(dims, scale, hashes or hashes_for(n), tables, width, seed)
     else:
-        h, probes = calibrate(rows, asked, n, dims, scale, k, tables, hashes or hashes_for(n), width, target, seed)
+        h, probes = calibrate(rows.select(F.col("row").alias("vec_id"), "v"), asked.select(F.col("query").alias("query_id"), "v"), n, dims, scale, k, tables, hashes or hashes_for(n), width, target, seed)
     parts = max(LEAST_PARTS, -(-n * tables // PART_ROWS))
-    indexed = rows.mapInArrow(_index(h, parts), "part int, cell long, vec_id long, v array<double>")
-    visits = written(asked.mapInArrow(_probe(h, probes, parts), "part int, query_id long, v array<double>, cells array<long>"), "visits")
-    schema = "query_id long, vec_id long, score double"
+    schema = "query long, row long, vec_id long, score double"
 
     def nearest(visits: DataFrame, held: DataFrame) -> DataFrame:
         # a row for each part: how many pieces and slices it is cut into
@@ -295,19 +302,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TAB
         sizes = held.groupBy("part").agg(cut(F.count(F.lit(1)), PART_ROWS).alias("pieces")).join(visits.groupBy("part").agg(cut(F.count(F.lit(1)), PART_QUERIES).alias("slices")), "part")
         sizes = written(sizes, "part-sizes")
         all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        right = held.join(sizes, "part").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).withColumn("slice", all_of("slices"))
-        left = visits.join(sizes, "part").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int")).withColumn("piece", all_of("pieces"))
+        right = held.join(sizes, "part").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")).withColumn("slice", all_of("slices"))
+        left = visits.join(sizes, "part").withColumn("slice", F.pmod(F.xxhash64("query"), F.col("slices")).cast("int")).withColumn("piece", all_of("pieces"))
         by = ["part", "piece", "slice"]
-        return left.select(*by, "query_id", "v", "cells").groupBy(*by).cogroup(right.select(*by, "cell", "vec_id", "v").groupBy(*by)).applyInArrow(_best(k), schema)
-
-    best = written(_ranked(nearest(visits, indexed), k), "nearest")
-    full = best.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1))
-    few = written(asked.join(full, "query_id", "left_anti"), "few")
-    if few.limit(1).count():
-        dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).cast("long").alias("cell"), "vec_id", "v")
-        spread = few.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", "v", F.lit(None).cast("array<long>").alias("cells"))
-        best = best.join(few, "query_id", "left_anti").unionByName(_ranked(nearest(spread, dealt), k))
-    return best
+        return left.select(*by, "query", "v", "cells").groupBy(*by).cogroup(right.select(*by, "cell", "row", "vec_id", "v").groupBy(*by)).applyInArrow(_best(k), schema)
+
+    best, few = None, asked.select("query", "v")
+    if probes:
+        indexed = rows.mapInArrow(_index(h, parts), "part int, cell long, row long, vec_id long, v array<double>")
+        visits = written(asked.select("query", "v").mapInArrow(_probe(h, probes, parts), "part int, query long, v array<double>, cells array<long>"), "visits")
+        best = written(_ranked(nearest(visits, indexed), k), "nearest")
+        full = best.groupBy("query").count().where(F.col("count") >= min(k, n - 1))
+        few = written(few.join(full, "query", "left_anti"), "few")
+    if best is None or few.limit(1).count():
+        dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.lit(0).cast("long").alias("cell"), "row", "vec_id", "v")
+        spread = few.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query", "v", F.lit(None).cast("array<long>").alias("cells"))
+        scanned = _ranked(nearest(spread, dealt), k)
+        best = scanned if best is None else best.join(few, "query", "left_anti").unionByName(scanned)
+    named = best.join(asked.select("query", F.col("vec_id").alias("query_id")), "query")
+    return named.select(F.nullif("query_id", F.lit(NO_ID)).alias("query_id"), "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

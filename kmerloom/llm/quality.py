@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_
     return np.frombuffer(bytes(model["vectors"]), np.float32).reshape(BUCKETS, DIM), np.frombuffer(bytes(model["out"]), np.float32).reshape(DIM + 1, 2)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs with ``__score``, the probability of label 1. Null, empty and blank texts get what the output's bias says; other columns pass through."""
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(row, score): ``row`` is a struct of all columns of docs, so no name of theirs meets one of ours."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
@@ -194,13 +194,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         vectors, out = held.value
         words = Words(vectors)
         for b in sliced(batches):
-            texts = [t or "" for t in b.column(b.schema.names.index("text")).to_pylist()]
+            texts = [t or "" for t in b.column(1).to_pylist()]
             hidden = np.concatenate([np.zeros((0, DIM))] + [words.means([t.split() for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)])
             logits = hidden @ out[:DIM] + out[DIM]
             p = 1 / (1 + np.exp(logits[:, 0] - logits[:, 1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["row", "score"])
+
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return own.mapInArrow(scored, T.StructType([own.schema["row"], T.StructField("score", T.DoubleType())]))
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """docs with ``__score``, the probability of label 1. Null, empty and blank texts get what the output's bias says; other columns pass through
+    whatever their names, but for ``__score``, which is replaced."""
+    return _scored(docs, model).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "__score"], F.col("score").alias("__score"))
 
 
 def _held_out() -> F.Column:
@@ -219,8 +226,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is at least the threshold."""
-    return score(docs, model).where(F.col("__score") >= threshold).select(*docs.columns)
+    """The rows of docs whose score is at least the threshold, with all their columns."""
+    return _scored(docs, model).where(F.col("score") >= threshold).select("row.*")
 
 
 QUERIES = {"op6_quality_classifier": op6_quality_classifier}
