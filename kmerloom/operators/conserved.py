@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.operators.ranks import with_place
+from kmerloom.sources.shared import fresh_path
+
 
 def index_picks(found: DataFrame, stats: DataFrame, threshold: float | None = None, by: str = "counts") -> DataFrame:
     """(position, kmer, low_support): the smallest index sequence of each position that has one.
@@ -22,19 +27,30 @@ def index_picks(found: DataFrame, stats: DataFrame, threshold: float | None = No
 def regions(picks: DataFrame, low: tuple[str, ...] = ("NS", "LS"), keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, region_id, start_position, end_position, sequence, positions, low_support_positions), from 1 in order.
 
-    A region goes on while positions follow one another and k-1 characters overlap (always, where k is 1). The windows run over
-    picks, one a position: at most the length of an alignment for each of ``keys``.
+    A region goes on while positions follow one another and k-1 characters overlap (always, where k is 1). Whether it does is seen from the
+    pick of the next position, by a join; the n-th place where a region starts belongs to the n-th where one ends, and both are numbered
+    by ``with_place``. So no window runs over the alignment. Only a region's own positions are gathered, which are its result.
     """
-    order = Window.partitionBy(*keys).orderBy("position")
+    spark = picks.sparkSession
+    at = fresh_path(spark, "picks")
+    picks.write.parquet(at)
+    picks = spark.read.parquet(at)
+    of = [F.col(f"`{c}`") for c in keys]
     k = F.length("kmer")
-    joins = (F.col("position") == F.lag("position").over(order) + 1) & (F.substring(F.col("kmer"), F.lit(1), k - 1) == F.expr("substring(prev, 2)"))
-    marked = picks.withColumn("prev", F.lag("kmer").over(order)).withColumn("cut", F.when(joins, 0).otherwise(1))
-    numbered = marked.withColumn("region_id", F.sum("cut").over(order).cast("int"))
-    listed = F.array_sort(F.collect_list(F.struct("position", "kmer", "low_support")))
-    grouped = numbered.groupBy(*keys, "region_id").agg(listed.alias("x"))
+    tails = picks.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in keys], (F.col("position") + 1).alias("next"), F.col("kmer").alias("prev"))
+    joins = (F.col("position") == F.col("next")) & (F.substring(F.col("kmer"), F.lit(1), k - 1) == F.expr("substring(prev, 2)"))
+    same = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{c}")) for c in keys], joins)
+    starts = picks.join(tails, same, "left_anti").select(*of, F.lit(0).alias("kind"), "position")
+    ends = tails.join(picks, same, "left_anti").select(*[F.col(f"__{c}").alias(c) for c in keys], F.lit(1).alias("kind"), (F.col("next") - 1).alias("position"))
+    placed = with_place(starts.unionByName(ends), [*keys, "kind"], [F.col("position")])
+    edge = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("position")))
+    bounds = placed.groupBy(*of, F.col("place").cast("int").alias("region_id")).agg(edge(0).alias("start_position"), edge(1).alias("end_position"))
+    each = bounds.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in keys], "region_id", F.explode(F.sequence("start_position", "end_position")).alias("__position"))
+    inside = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{c}")) for c in keys], F.col("position") == F.col("__position"))
+    grouped = picks.join(each, inside).groupBy(*of, "region_id").agg(F.array_sort(F.collect_list(F.struct("position", "kmer", "low_support"))).alias("x"))
     tail = F.transform(F.slice("x", 2, F.greatest(F.size("x"), F.lit(1))), lambda v: F.right(v["kmer"], F.lit(1)))
     return grouped.select(
-        *keys,
+        *of,
         "region_id",
         F.element_at("x", 1)["position"].alias("start_position"),
         F.element_at("x", -1)["position"].alias("end_position"),

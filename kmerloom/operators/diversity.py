@@ -7,9 +7,11 @@ variants.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.operators.ranks import with_place
+
 # Support labels and motif classes.
 NO_SUPPORT, LOW_SUPPORT, AT_THRESHOLD = "NS", "LS", "ELS"
 MOTIFS = {"I": "Index", "Ma": "Major", "Mi": "Minor", "U": "Unique"}
@@ -152,5 +154,5 @@ def with_metadata(found: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def rolling_rank(found: DataFrame) -> DataFrame:
-    """Variants with their place in the position's order: by falling count, then sequence."""
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("count"), "sequence")))
+    """Variants with their place in the position's order: by falling count, then sequence. A position's variants may lie in many partitions."""
+    return with_place(found, ["position"], [F.desc("count"), F.col("sequence")])

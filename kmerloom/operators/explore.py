@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.operators.ranks import with_place
 from kmerloom.ship import ship
 
 MOTIF_ORDER = ("I", "Ma", "Mi", "U")
@@ -137,8 +138,9 @@ def ranges(stats: DataFrame) -> DataFrame:
 
 
 def series(stats: DataFrame) -> DataFrame:
-    """(index from 0, row 0, entropy) in the order of positions: at most the length of the alignment."""
-    return stats.select((F.row_number().over(Window.orderBy("position")) - 1).alias("index"), F.lit(0).alias("row"), "entropy")
+    """(index from 0, row 0, entropy) in the order of positions, which are not gathered for it."""
+    placed = with_place(stats.select("position", "entropy"), [], [F.col("position")])
+    return placed.select((F.col("place") - 1).cast("int").alias("index"), F.lit(0).alias("row"), "entropy")
 
 
 def _hull(x: np.ndarray, y: np.ndarray) -> list[int]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import headers, kmers
 from kmerloom.functions.alphabet import PROTEIN, classify, custom, invalid_characters, unique_invalid_characters
-from kmerloom.operators import conserved, diversity, entropy, explore, features, metadata, validate
+from kmerloom.operators import conserved, diversity, entropy, explore, features, metadata, ranks, validate
 from kmerloom.plans.analyze import analyze
 from kmerloom.sources import fasta, results
 from kmerloom.sources.shared import fresh_path
@@ -128,6 +128,23 @@ def _variants(spark, d):
     return diversity.variants(counts, diversity.position_stats(counts, T))
 
 
+def _both(spark, d, source=orders, k=K, threshold=T):
+    """Positions and variants from one table of counts, which is written once."""
+    at = fresh_path(spark, "counts")
+    kmers.count_kmers(source(spark, d), k, gaps=True).write.parquet(at)
+    counts = spark.read.parquet(at)
+    stats = diversity.position_stats(counts, threshold)
+    return stats, diversity.variants(counts, stats)
+
+
+def _picks(spark, d, *how, **source):
+    stats, found = _both(spark, d, **source)
+    return conserved.index_picks(found, stats, *how)
+
+
+ITEM_SOURCE = {"source": items, "k": KB}
+
+
 def _item_counts(spark, d):
     return kmers.count_kmers(items(spark, d), KB)
 
@@ -293,30 +310,31 @@ hcs AS (SELECT cast(region_id AS integer) AS region_id, min(position) AS start_p
 
 @query(A + _HCS.format(where="", k=3) + "SELECT position, kmer FROM pick")
 def index_picks(spark, d):
-    return conserved.index_picks(_variants(spark, d), _stats(spark, d)).select("position", "kmer")
+    return _picks(spark, d).select("position", "kmer")
 
 
 @query(A + _HCS.format(where="", k=3) + "SELECT region_id, start_position, end_position, sequence, positions FROM hcs")
 def conserved_regions(spark, d):
-    own = conserved.regions(conserved.index_picks(_variants(spark, d), _stats(spark, d)))
+    own = conserved.regions(_picks(spark, d))
     return own.select("region_id", "start_position", "end_position", "sequence", F.size("positions").cast("long").alias("positions"))
 
 
 @query(B + _HCS.format(where="AND incidence >= 40", k=2) + "SELECT region_id, start_position, end_position, sequence, positions FROM hcs")
 def conserved_regions_threshold(spark, d):
-    own = conserved.regions(conserved.index_picks(_item_variants(spark, d), _item_stats(spark, d), 40.0, "incidence"))
+    own = conserved.regions(_picks(spark, d, 40.0, "incidence", **ITEM_SOURCE))
     return own.select("region_id", "start_position", "end_position", "sequence", F.size("positions").cast("long").alias("positions"))
 
 
 @query(B_LOW + _HCS.format(where="", k=2) + "SELECT cast(region_id AS integer) AS region_id, count(*) AS low_support_count FROM i JOIN p USING (position) WHERE low_support IN ('NS', 'LS') GROUP BY region_id")
 def region_low_support(spark, d):
-    own = conserved.regions(conserved.index_picks(_item_variants(spark, d), _item_stats(spark, d, 60000)))
+    own = conserved.regions(_picks(spark, d, **ITEM_SOURCE, threshold=60000))
     return conserved.low_support_summary(own).select("region_id", F.col("low_support_count").cast("long").alias("low_support_count"))
 
 
 @query(A + ", f AS (SELECT position, min(sequence) AS kmer FROM v WHERE motif_short = 'I' GROUP BY position) SELECT string_agg(coalesce(substr(kmer, 2, 1), 'X'), '' ORDER BY position) AS consensus FROM sp LEFT JOIN f USING (position)")
 def consensus_sequence(spark, d):
-    return conserved.consensus(_variants(spark, d), kmers.spine(orders(spark, d), K), K)
+    stats, found = _both(spark, d)
+    return conserved.consensus(found, stats.select("position"), K)
 
 
 @query(A + "SELECT max(position) + 2 AS alignment_length FROM p")
@@ -373,7 +391,7 @@ def feature_mapping(spark, d):
 
 @query(B + _HCS.format(where="AND incidence >= 40", k=2) + ", " + _CLEAN + _MAP + "SELECT region_id, feature_id FROM hcs JOIN mp ON start_position <= msa_end AND msa_begin <= end_position + 1")
 def region_feature_overlaps(spark, d):
-    own = conserved.regions(conserved.index_picks(_item_variants(spark, d), _item_stats(spark, d), 40.0, "incidence"))
+    own = conserved.regions(_picks(spark, d, 40.0, "incidence", **ITEM_SOURCE))
     return features.overlaps(own, _mapped(spark, d), KB).select("region_id", "feature_id")
 
 
@@ -492,9 +510,10 @@ def metadata_round_trip(spark, d):
 
 @query(A + "SELECT position FROM p WHERE position BETWEEN 2 AND 6 AND raw_entropy BETWEEN 1 AND 99 AND position IN (SELECT position FROM v WHERE motif_short IN ('I', 'Ma') AND contains(upper(sequence), 'CC'))")
 def result_filter(spark, d):
-    stats = _stats(spark, d).withColumn("entropy", F.col("raw_entropy"))
+    stats, found = _both(spark, d)
+    stats = stats.withColumn("entropy", F.col("raw_entropy"))
     wanted = explore.Filters(positions=(2, 6), entropy=(1, 99), motifs=("I", "Ma"), sequence=" cc ")
-    return explore.filter_positions(stats, _variants(spark, d), wanted).select("position")
+    return explore.filter_positions(stats, found, wanted).select("position")
 
 
 @query(A + "SELECT position, support FROM p WHERE position = 4")
@@ -511,9 +530,19 @@ def metadata_distribution(spark, d):
 
 
 @query(A + """SELECT p.position, round(coalesce(sum(incidence) FILTER (motif_short = 'I'), 0), 1) AS "index", round(coalesce(sum(incidence) FILTER (motif_short = 'Ma'), 0), 1) AS major,
- round(coalesce(sum(incidence) FILTER (motif_short = 'Mi'), 0), 1) AS minor, round(coalesce(sum(incidence) FILTER (motif_short = 'U'), 0), 1) AS "unique" FROM p LEFT JOIN v USING (position) GROUP BY p.position""")
+ round(coalesce(sum(incidence) FILTER (motif_short = 'Mi'), 0), 1) AS minor, round(coalesce(sum(incidence) FILTER (motif_short = 'U'), 0), 1) AS "unique",
+ any_value(round(CASE WHEN support > 0 THEN other_reads * 100.0 / support ELSE 0 END, 1)) AS total_variants, any_value(round(CASE WHEN other_reads > 0 THEN distinct_variants_count * 100.0 / other_reads ELSE 0 END, 1)) AS variant_richness FROM p LEFT JOIN v USING (position) GROUP BY p.position""")
 def motif_rollup(spark, d):
-    return explore.motif_rollup(_variants(spark, d), _stats(spark, d)).select("position", "index", "major", "minor", "unique")
+    stats, found = _both(spark, d)
+    return explore.motif_rollup(found, stats)
+
+
+@query(A + "SELECT position, sequence, count FROM v QUALIFY row_number() OVER (PARTITION BY position ORDER BY count DESC, sequence) BETWEEN 11 AND 20")
+def stored_pages(spark, d):
+    """The second page of ten variants of every position, from a stored order: a range of places, nothing is sorted for a page."""
+    at = fresh_path(spark, "order")
+    ranks.store_order(_variants(spark, d).select("position", "sequence", "count"), ["position"], [F.desc("count"), F.col("sequence")], at)
+    return ranks.page(spark.read.parquet(at), 2, 10).select("position", "sequence", "count")
 
 
 @query(A + ", x AS (SELECT position, sequence, count FROM v WHERE position = 3 ORDER BY count DESC, sequence LIMIT 10 OFFSET 10) SELECT * FROM x")
@@ -696,13 +725,13 @@ def converted_json(spark, d):
 def conserved_regions_json(spark, d):
     """The JSON array of conserved sequences, written and read back."""
     at = fresh_path(spark, "hcs")
-    results.hcs_json(conserved.regions(conserved.index_picks(_variants(spark, d), _stats(spark, d)))).write.text(at)
+    results.hcs_json(conserved.regions(_picks(spark, d))).write.text(at)
     return spark.read.text(at).select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "sequence"))
 
 
 @query(B + ", k AS (SELECT v.position, min(sequence) AS kmer FROM v JOIN p USING (position) WHERE motif_short = 'I' AND count * 100 >= support * 40 GROUP BY v.position) SELECT * FROM k")
 def index_picks_by_counts(spark, d):
-    return conserved.index_picks(_item_variants(spark, d), _item_stats(spark, d), 40.0).select("position", "kmer")
+    return _picks(spark, d, 40.0, **ITEM_SOURCE).select("position", "kmer")
 
 
 @query(A + ", x AS (SELECT sequence, motif_short, count FROM v WHERE position = 8 ORDER BY CASE motif_short WHEN 'I' THEN 0 WHEN 'Ma' THEN 1 WHEN 'Mi' THEN 2 ELSE 3 END, count DESC, sequence LIMIT 20) SELECT * FROM x")

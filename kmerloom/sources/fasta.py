@@ -9,20 +9,21 @@ MOST_HEADER_BYTES, MOST_SEQUENCE_BYTES = 10 << 10, 100 << 20
 
 
 def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, file, at): pieces between line-start ">", with their file and where its split begins."""
+    """(value, file, at, place): pieces between line-start ">", with their file, where its split begins, and a number that rises in a split.
+    Spark deals the same files to the same partitions whenever they are read in a session, so places of two readings agree."""
     raw = spark.read.option("lineSep", "\n>").text(path)
-    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"))
 
 
 def strays(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, key): what stands before the first ">" of a file, at most one row a file; ``key`` tells the piece by its text.
+    """(file, place, key): what stands before the first ">" of a file, at most one row a file, told by its place; ``key`` is a hash of its text.
 
     Only a file's first piece can begin with ">", as the source takes that of all others. It is looked up by one aggregate next to the scan.
     """
-    first = _pieces(spark, path).where("at = 0").withColumn("place", F.monotonically_increasing_id())
+    first = _pieces(spark, path).where("at = 0")
     body = F.regexp_replace("value", r"^[\x{FEFF}]?(?:;[^\n]*(?:\n|$)|\s+)*", "")
     head = first.groupBy("file").agg(F.min(F.struct("place", F.xxhash64("value").alias("key"), F.substring(body, 1, 1).alias("head"))).alias("x"))
-    return head.where("x.head NOT IN ('>', '')").select("file", "x.key")
+    return head.where("x.head NOT IN ('>', '')").select("file", "x.place", "x.key")
 
 
 def check_fasta(spark: SparkSession, path: str | list[str]) -> None:
@@ -44,12 +45,12 @@ def read_fasta(spark: SparkSession, path: str | list[str], line_breaks: str = "j
     if malformed == "fail":
         check_fasta(spark, path)
     elif malformed == "skip":
-        bad = strays(spark, path).select(F.col("file").alias("__file"), "key")
-        raw = raw.join(bad, (F.col("at") == 0) & (F.col("file") == F.col("__file")) & (F.xxhash64("value") == F.col("key")), "left_anti")
+        bad = strays(spark, path).select(F.col("file").alias("__file"), F.col("place").alias("__place"), "key")
+        raw = raw.join(bad, (F.col("at") == 0) & (F.col("file") == F.col("__file")) & (F.col("place") == F.col("__place")) & (F.xxhash64("value") == F.col("key")), "left_anti")
     if repartition:
         raw = raw.repartition(repartition)
     record = F.regexp_replace("value", r"^[\x{FEFF}]?(?:;[^\n]*\n)*>?", "")
-    own = raw.select(F.monotonically_increasing_id().alias("seq_id"), record.alias("r")).where("r <> ''")
+    own = raw.select(F.col("place").alias("seq_id"), record.alias("r")).where("r <> ''")
     header = F.rtrim(F.substring_index("r", "\n", 1), F.lit("\r"))
     body = F.when(F.instr("r", "\n") > 0, F.expr("substring(r, instr(r, '\n') + 1)")).otherwise("")
     body = F.regexp_replace(body, r"(?m)^;[^\n]*\n?", "")
