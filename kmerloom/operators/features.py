@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.operators.ranks import with_place
+from kmerloom.sources.shared import fresh_path
+
 # Category of each feature type that is kept.
 CATEGORIES = {
     "DOMAIN": "DOMAIN",
@@ -19,8 +22,8 @@ CATEGORIES = {
     "TOPO_DOM": "TOPO_DOM",
     "MOTIF": "MOTIF",
 }
-#: Columns of an alignment that a bin of the overlap join covers.
-BIN = 64
+#: Columns that the smallest bins of the overlap join cover, and rows of a bin from which it is dealt to several tasks.
+BIN, HOT = 64, 1 << 17
 
 
 def category(feature_type: Column) -> Column:
@@ -46,19 +49,41 @@ def search(features: DataFrame, text: str) -> DataFrame:
     return features.where(F.lower("description").contains(q) | F.lower("feature_type").contains(q) | F.lower("category").contains(q)) if q else features
 
 
+def listed_by_category(features: DataFrame) -> DataFrame:
+    """(category_key, feature_id, place): the members of each category in the order of their begin, then id; a category may lie in many partitions."""
+    return with_place(features.select("category_key", "feature_id", "begin"), ["category_key"], [F.col("begin"), F.col("feature_id")]).select("category_key", "feature_id", "place")
+
+
 def by_category(features: DataFrame) -> DataFrame:
     return features.groupBy("category_key").agg(F.count(F.lit(1)).alias("features"))
 
 
+def mapping_runs(to_structure: DataFrame, msa: DataFrame) -> DataFrame:
+    """(first, last, low, high): maximal runs of residues whose first and last alignment positions both rise by one from residue to residue;
+    ``low`` and ``high`` are those of the run's first residue.
+
+    A run is a gap-free stretch of one diagonal: residues minus their place among those of the diagonal are equal in it. What follows grows with
+    runs, not with residues.
+    """
+    extent = msa.groupBy("structure_residue").agg(F.min("msa_position").alias("lo"), F.max("msa_position").alias("hi"))
+    each = to_structure.join(extent, "structure_residue").groupBy(F.col("residue").cast("long").alias("residue")).agg(F.min("lo").cast("long").alias("lo"), F.max("hi").cast("long").alias("hi"))
+    placed = with_place(each.select("residue", (F.col("lo") - F.col("residue")).alias("a"), (F.col("hi") - F.col("residue")).alias("b")), ["a", "b"], [F.col("residue")])
+    runs = placed.groupBy("a", "b", (F.col("residue") - F.col("place")).alias("island")).agg(F.min("residue").alias("first"), F.max("residue").alias("last"))
+    return runs.select("first", "last", (F.col("a") + F.col("first")).alias("low"), (F.col("b") + F.col("first")).alias("high"))
+
+
 def map_features(features: DataFrame, to_structure: DataFrame, msa: DataFrame) -> DataFrame:
     """features(feature_id, feature_type, begin, end) with msa_begin and msa_end, the extent over all their residues; null if none maps.
 
-    ``to_structure(residue, structure_residue)`` and ``msa(msa_position, structure_residue)``; types without a category go.
+    ``to_structure(residue, structure_residue)`` and ``msa(msa_position, structure_residue)``; types without a category go. Features meet the
+    mapping's runs as intervals; no feature has a row for each residue.
     """
     own = features.withColumn("category_key", category(F.col("feature_type"))).where("category_key IS NOT NULL")
-    each = own.select("feature_id", F.explode(F.sequence("begin", "end")).alias("residue"))
-    extent = msa.groupBy("structure_residue").agg(F.min("msa_position").alias("lo"), F.max("msa_position").alias("hi"))
-    found = each.join(to_structure, "residue").join(extent, "structure_residue").groupBy("feature_id").agg(F.min("lo").alias("msa_begin"), F.max("hi").alias("msa_end"))
+    runs = mapping_runs(to_structure, msa)
+    both = meeting(own.select("feature_id", F.col("begin").alias("lo"), F.col("end").alias("hi")), runs.select(F.col("first").alias("lo"), F.col("last").alias("hi"), "low", "high"))
+    at = lambda base, x: F.col(base) + x - F.col("b.lo")
+    low, high = at("b.low", F.greatest("a.lo", "b.lo")), at("b.high", F.least("a.hi", "b.hi"))
+    found = both.groupBy(F.col("a.feature_id").alias("feature_id")).agg(F.min(low).cast("int").alias("msa_begin"), F.max(high).cast("int").alias("msa_end"))
     return own.join(found, "feature_id", "left")
 
 
@@ -75,20 +100,64 @@ def coverage(positions: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.agg(F.count("m").alias("mapped"), n.alias("positions"), F.coalesce(F.count("m") / n * 100, F.lit(0.0)).alias("coverage"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    at = fresh_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def emitted(side: DataFrame, levels: list[int]) -> DataFrame:
+    """Rows of ``side(lo, hi, level, ...)`` in the bins that they meet at each of the levels from their own on: two a level, about."""
+    wanted = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("level"))
+    each = side.select("*", F.explode(wanted).alias("at"))
+    return each.select("*", F.explode(F.expr("sequence(shiftright(lo, at), shiftright(hi, at))")).alias("bin"))
+
+
+def meeting(a: DataFrame, b: DataFrame, smallest: int = BIN, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b), structs of the two sides' columns, of intervals (lo, hi) that share a place; ends included.
+
+    Bins are hierarchical: an interval's own level is that of the smallest bins, ``smallest`` columns and up by twos, of which it meets two at most. A pair
+    is looked for at the larger of its two levels, so a side emits rows for those levels from its own on at which the other has intervals: a
+    logarithmic number, however long an interval is. A pair is kept in the first bin that both reach, so none comes twice. A bin
+    with more than ``hot`` emitted rows is dealt to several tasks; the intervals of the other side's own level go to each of them.
+    """
+    bits = max(0, (smallest - 1).bit_length())
+    size = F.col("hi") - F.col("lo") + 1
+    level = F.greatest(F.lit(bits), F.ceil(F.log2(size.cast("double"))).cast("int"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        own = df.where("lo <= hi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+        return _stored(own.withColumn("level", level), f"intervals-{name}")
+
+    left, right = side(a, "a"), side(b, "b")
+    levels = lambda df: sorted(r[0] for r in df.select("level").distinct().collect())
+
+    def joined(wide: DataFrame, narrow: DataFrame, wide_name: str, narrow_name: str, strict: bool) -> DataFrame:
+        """Pairs of wide intervals, in their own level, with narrower ones (or as wide, unless strict)."""
+        at = levels(wide)
+        if not at:
+            return wide.crossJoin(narrow.limit(0).select(narrow_name)).select("a", "b").limit(0)
+        few = emitted(narrow, at)
+        crowded = few.groupBy("at", "bin").count().where(F.col("count") > hot).select("at", "bin", F.ceil(F.col("count") / hot).cast("int").alias("salts"))
+        crowded = _stored(crowded, "crowded")
+        own = wide.select(F.col(wide_name), F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.col("level").alias("at"), F.explode(F.expr("sequence(shiftright(lo, level), shiftright(hi, level))")).alias("bin"))
+        own = own.join(crowded, ["at", "bin"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        few = few.join(crowded, ["at", "bin"], "left").withColumn("salt", F.pmod(F.xxhash64("lo", "hi", F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        few = few.where(F.col("level") < F.col("at")) if strict else few
+        both = own.join(few, ["at", "bin", "salt"]).where("wlo <= hi AND lo <= whi AND bin = shiftright(greatest(wlo, lo), at)")
+        return both.select("a", "b")
+
+    return joined(left, right, "a", "b", False).unionByName(joined(right, left, "b", "a", True))
+
+
 def overlaps(regions: DataFrame, features: DataFrame, k: int = 1, width: int = BIN) -> DataFrame:
     """Pairs of regions (region_id, start_position, end_position) and mapped features (feature_id, msa_begin, msa_end) that share a column.
 
-    A region covers the k - 1 columns after its last window. Both sides are cut into bins of ``width`` columns and joined on the bin; a
-    pair is kept in the first bin that both reach, so no pair comes twice and nothing is broadcast.
+    A region covers the k - 1 columns after its last window. ``width`` is that of the smallest bins of ``meeting``.
     """
-    extra = max(0, k - 1)
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("bin")
-    end = F.col("end_position") + extra
-    a = regions.select("region_id", "start_position", "end_position", bins(F.col("start_position"), end))
-    b = features.where("msa_begin IS NOT NULL AND msa_end IS NOT NULL").select("feature_id", "msa_begin", "msa_end", bins(F.col("msa_begin"), F.col("msa_end")))
-    both = a.join(b, "bin").where((F.col("start_position") <= F.col("msa_end")) & (F.col("msa_begin") <= end))
-    first = F.floor(F.greatest("start_position", "msa_begin") / width)
-    return both.where(F.col("bin") == first).drop("bin")
+    a = regions.select("region_id", "start_position", "end_position", F.col("start_position").alias("lo"), (F.col("end_position") + max(0, k - 1)).alias("hi"))
+    b = features.where("msa_begin IS NOT NULL AND msa_end IS NOT NULL").select("feature_id", "msa_begin", "msa_end", F.col("msa_begin").alias("lo"), F.col("msa_end").alias("hi"))
+    return meeting(a, b, width).select("a.region_id", "a.start_position", "a.end_position", "b.feature_id", "b.msa_begin", "b.msa_end")
 
 
 def annotated(positions: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import headers, kmers
-from kmerloom.functions.alphabet import PROTEIN, classify, custom, invalid_characters, unique_invalid_characters
+from kmerloom.functions.alphabet import NUCLEOTIDE, PROTEIN, classify, custom, invalid_characters, unique_invalid_characters
 from kmerloom.operators import conserved, diversity, entropy, explore, features, metadata, ranks, validate
 from kmerloom.plans.analyze import analyze
-from kmerloom.sources import fasta, results
+from kmerloom.sources import fasta, pieces, results
 from kmerloom.sources.shared import fresh_path
 from kmerloom.streaming import counts as streaming
 
@@ -384,6 +384,45 @@ def feature_categories(spark, d):
     return features.by_category(features.clean(_features(spark, d)))
 
 
+@query("WITH " + _CLEAN + "SELECT category_key, feature_id, row_number() OVER (PARTITION BY category_key ORDER BY b, feature_id) AS place FROM fx")
+def category_members(spark, d):
+    return features.listed_by_category(features.clean(_features(spark, d)))
+
+
+#: Features of very uneven length on a long reference, some over all of it; the mapping's runs break at every 97th customer.
+_LONG = """SELECT p_partkey AS feature_id, 'DOMAIN' AS feature_type, cast(p_partkey * 7 % 1500 + 1 AS integer) AS "begin",
+ cast(p_partkey * 7 % 1500 + 1 + CASE WHEN p_partkey % 50 = 0 THEN 900000000 WHEN p_partkey % 5 = 0 THEN p_size * 20 ELSE p_size % 4 END AS integer) AS "end" FROM part"""
+_TO = "SELECT c_custkey AS residue, c_custkey + 5 AS structure_residue FROM customer WHERE c_custkey % 97 <> 0"
+_MSA = "SELECT c_custkey + 5 AS structure_residue, c_custkey * 2 + s AS msa_position FROM customer, (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 900) WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 5, c_custkey FROM customer WHERE c_custkey % 2 = 1 AND c_custkey > 700"
+
+
+def _sql(spark, d, text, *tables):
+    named = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in tables}
+    for t in tables:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(text.replace('"begin"', "`begin`").replace('"end"', "`end`"), **named)
+
+
+@query(f"""WITH f AS ({_LONG}), st AS ({_TO}), ms AS ({_MSA}), x AS (SELECT residue, min(msa_position) AS lo, max(msa_position) AS hi FROM st JOIN ms USING (structure_residue) GROUP BY residue),
+mp AS (SELECT feature_id, cast(min(lo) AS integer) AS msa_begin, cast(max(hi) AS integer) AS msa_end FROM f JOIN x ON residue BETWEEN "begin" AND "end" GROUP BY feature_id)
+SELECT feature_id, msa_begin, msa_end FROM f LEFT JOIN mp USING (feature_id)""")
+def long_feature_mapping(spark, d):
+    """Features of up to 900 million residues: as many rows as runs of the mapping that they meet."""
+    return features.map_features(_sql(spark, d, _LONG, "part"), _sql(spark, d, _TO, "customer"), _sql(spark, d, _MSA, "customer")).select("feature_id", "msa_begin", "msa_end")
+
+
+_SPANS = "SELECT o_orderkey AS region_id, cast(o_orderkey * 13 % 100000 AS integer) AS start_position, cast(o_orderkey * 13 % 100000 + CASE WHEN o_orderkey % 997 = 0 THEN 1000000000 ELSE o_orderkey % 5 END AS integer) AS end_position FROM orders WHERE o_orderkey % 7 = 0"
+
+
+@query(f"""WITH r AS ({_SPANS}), f AS ({_LONG})
+SELECT feature_id, count(*) AS regions, min(region_id) AS first_region, max(region_id) AS last_region FROM r JOIN f ON start_position <= "end" AND "begin" <= end_position + 2 GROUP BY feature_id""")
+def uneven_overlaps(spark, d):
+    """Overlaps of intervals of a few columns with some of a billion."""
+    mapped = _sql(spark, d, _LONG, "part").select("feature_id", F.col("begin").alias("msa_begin"), F.col("end").alias("msa_end"))
+    both = features.overlaps(_sql(spark, d, _SPANS, "orders"), mapped, 3)
+    return both.groupBy("feature_id").agg(F.count(F.lit(1)).alias("regions"), F.min("region_id").alias("first_region"), F.max("region_id").alias("last_region"))
+
+
 @query("WITH " + _CLEAN + _MAP + "SELECT feature_id, msa_begin, msa_end FROM fx LEFT JOIN mp USING (feature_id)")
 def feature_mapping(spark, d):
     return _mapped(spark, d).select("feature_id", "msa_begin", "msa_end")
@@ -766,3 +805,38 @@ def malformed_fasta(spark, d):
     paths = [f"{at}/good", f"{at}/bad"]
     read = fasta.read_fasta(spark, paths).agg(F.count(F.lit(1)).alias("sequences"), (F.count_distinct("header") > 0).alias("some"))
     return read.crossJoin(F.broadcast(fasta.skipped_records(spark, paths).select(F.col("skipped_records").cast("int").alias("skipped_records"))))
+
+
+# long sequences and line numbers -------------------------------------------------------------------------------------------------
+
+_GENOMES = """SELECT o_orderpriority AS header, string_agg(translate(lpad(cast(cast(round(o_totalprice*100) AS bigint) AS varchar), 10, '0'), '0123456789', 'ACGTACGTNA'), '' ORDER BY o_orderkey) AS sequence FROM orders GROUP BY o_orderpriority"""
+
+
+@query(f"""WITH g AS ({_GENOMES}), w AS (SELECT i AS position, substr(sequence, i, 5) AS kmer FROM g, LATERAL (SELECT unnest(range(1, length(sequence) - 3)) AS i))
+SELECT position, kmer, count(*) AS count FROM w WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY ALL""")
+def long_sequence_counts(spark, d):
+    """One sequence a priority, as wrapped FASTA lines over several files and splits, windowed in chunks of a thousand characters."""
+    at = fresh_path(spark, "genomes")
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    body = F.translate(F.lpad(F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), 10, "0"), "0123456789", "ACGTACGTNA")
+    lines = o.select("o_orderpriority", F.col("o_orderkey").alias("n"), body.alias("value")).unionByName(o.select("o_orderpriority").distinct().select("o_orderpriority", F.lit(-1).cast("long").alias("n"), F.concat(F.lit(">"), "o_orderpriority").alias("value")))
+    # a file for each sequence, its lines in order
+    lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "n").select("value").write.text(at)
+    return pieces.count_chunks(pieces.chunks(pieces.read_pieces(spark, at), 5, 1000), 5, NUCLEOTIDE)
+
+
+_DEFECTS = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 997 = 5 THEN 0 WHEN o_orderkey % 997 = 9 THEN 3 ELSE 10 END AS n, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS comments FROM orders"""
+
+
+@query(f"""WITH x AS ({_DEFECTS}),
+l AS (SELECT *, sum(1 + comments + CASE WHEN n > 6 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (ORDER BY k) AS number FROM x)
+SELECT 'empty_sequence' AS error_type, coalesce(above, 0) + 1 AS line_number, NULL AS sequence_number, NULL AS length, NULL AS expected FROM l WHERE n = 0
+UNION ALL SELECT 'length_mismatch', coalesce(above, 0) + 1, number, n, 10 FROM l WHERE n = 3""")
+def fasta_errors(spark, d):
+    """A file with empty and short records, comments and wrapped lines: every error with its line."""
+    at = fresh_path(spark, "defects")
+    x = _sql(spark, d, _DEFECTS, "orders")
+    body = F.when(F.col("n") > 6, F.array(F.lit("ACDEFG"), F.lit("HIKL"))).when(F.col("n") > 0, F.array(F.lit("ACD"))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(F.concat(F.lit(">r"), "k")), F.when(F.col("comments") > 0, F.array(F.lit("; a comment"))).otherwise(F.array().cast("array<string>")), body)
+    x.coalesce(1).sortWithinPartitions("k").select(F.array_join(lines, "\n").alias("value")).write.text(at)
+    return pieces.errors(pieces.read_pieces(spark, at)).drop("file")
