@@ -54,13 +54,14 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int | None =
         taken.add(name)
         names.append(F.col(f"`{c}`").alias(name))
     text = F.coalesce("text", F.lit("")).cast("binary")
-    own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", text, F.lit(seed + 1)).alias("h"), F.struct(*names).alias("row"))
+    # rows are numbered next to the scan, where a task that runs again numbers them alike
+    own = docs.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("number"), F.xxhash64("doc_id", text, F.lit(seed + 1)).alias("h"), F.struct(*names).alias("row"))
     total, n = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.count(F.lit(1))).first()
     buckets = max(1, -(-(total or 0) // (shards * size)))
     often = written(own.groupBy("h").count().where(F.col("count") > repeats).select(F.col("h").alias("again"), F.ceil(F.col("count") / repeats).cast("int").alias("deals")), "repeats") if n > repeats and buckets > 1 else None
     if often is not None:
         own = own.join(often, F.col("h") == F.col("again"), "left")
-        h = F.when(F.col("deals").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.pmod(F.monotonically_increasing_id(), F.col("deals"))))
+        h = F.when(F.col("deals").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.pmod("number", F.col("deals"))))
     else:
         h = F.col("h")
     scattered = own.select(shard_of(F.col("id"), shards, seed).alias("shard"), F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), "h", "row")

@@ -106,6 +106,8 @@ def write_archives(pages: DataFrame, at: str, chunk: int = CHUNK, least: int = L
     own = own.withColumn("key", F.xxhash64("html"))
     digests = written(chunked(own.where(F.octet_length("html") >= least).select("page_id", "key", "html"), chunk).mapInArrow(_digests, "page_id long, key long, size long, digest string"), "digests")
     best = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("digest", "refers_to")
+    # both sides are tables: a page body that a third of all pages share can be split
+    best = written(best, "best")
     repeats = digests.join(best, "digest").where(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("__page"), F.col("key").alias("__key"), "digest", "refers_to").distinct()
     # as a table its size is known before the join is planned: pages are only shuffled if revisits are many
     repeats = written(repeats, "repeats")
