@@ -127,25 +127,26 @@ def meeting(a: DataFrame, b: DataFrame, smallest: int = BIN, hot: int = HOT) ->
 
     def side(df: DataFrame, name: str) -> DataFrame:
         own = df.where("lo <= hi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-        return _stored(own.withColumn("level", level), f"intervals-{name}")
+        return _stored(own.withColumn("level", level).withColumn("id", F.monotonically_increasing_id()), f"intervals-{name}")
 
     left, right = side(a, "a"), side(b, "b")
-    levels = lambda df: sorted(r[0] for r in df.select("level").distinct().collect())
+    about = {name: df.agg(F.count(F.lit(1)).alias("n"), F.collect_set("level").alias("levels")).first() for name, df in (("a", left), ("b", right))}
 
     def joined(wide: DataFrame, narrow: DataFrame, wide_name: str, narrow_name: str, strict: bool) -> DataFrame:
         """Pairs of wide intervals, in their own level, with narrower ones (or as wide, unless strict)."""
-        at = levels(wide)
-        if not at:
-            return wide.crossJoin(narrow.limit(0).select(narrow_name)).select("a", "b").limit(0)
+        at = sorted(about[wide_name]["levels"]) or [bits]
         few = emitted(narrow, at)
+        own = wide.select(F.col(wide_name), F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.col("level").alias("at"), F.explode(F.expr("sequence(shiftright(lo, level), shiftright(hi, level))")).alias("bin"))
+        few = few.where(F.col("level") < F.col("at")) if strict else few
+        near = "wlo <= hi AND lo <= whi AND bin = shiftright(greatest(wlo, lo), at)"
+        if about[narrow_name]["n"] <= hot:
+            # an interval is in a bin once: none can hold more
+            return own.join(few, ["at", "bin"]).where(near).select("a", "b")
         crowded = few.groupBy("at", "bin").count().where(F.col("count") > hot).select("at", "bin", F.ceil(F.col("count") / hot).cast("int").alias("salts"))
         crowded = _stored(crowded, "crowded")
-        own = wide.select(F.col(wide_name), F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.col("level").alias("at"), F.explode(F.expr("sequence(shiftright(lo, level), shiftright(hi, level))")).alias("bin"))
         own = own.join(crowded, ["at", "bin"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-        few = few.join(crowded, ["at", "bin"], "left").withColumn("salt", F.pmod(F.xxhash64("lo", "hi", F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-        few = few.where(F.col("level") < F.col("at")) if strict else few
-        both = own.join(few, ["at", "bin", "salt"]).where("wlo <= hi AND lo <= whi AND bin = shiftright(greatest(wlo, lo), at)")
-        return both.select("a", "b")
+        few = few.join(crowded, ["at", "bin"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        return own.join(few, ["at", "bin", "salt"]).where(near).select("a", "b")
 
     return joined(left, right, "a", "b", False).unionByName(joined(right, left, "b", "a", True))
 
