@@ -90,3 +90,32 @@ def both(a: DataFrame, b: DataFrame) -> DataFrame:
 def either(a: DataFrame, b: DataFrame) -> DataFrame:
     """Set union of seq_ids."""
     return a.select("seq_id").union(b.select("seq_id")).distinct()
+
+
+def row_sets(table: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, bucket, rows): the seq_ids of each value as bitmaps, one for every 32,768 ids. Stored once, sets are intersected and united by
+    their bitmaps; what is shuffled then are 4 KiB for each bucket and value, not ids."""
+    each = table.select("seq_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x")).where("x.value IS NOT NULL AND seq_id IS NOT NULL")
+    bucket = F.bitmap_bucket_number("seq_id").alias("bucket")
+    return each.groupBy("x.field", "x.value", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("seq_id")).alias("rows"))
+
+
+def _wanted(sets: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    return sets.where(reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("value") == v) for f, v in wanted], F.lit(False)))
+
+
+def intersected(sets: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """(bucket, rows) of the ids that have all (field, value) pairs; none for an empty list."""
+    wanted = list(dict.fromkeys(wanted))
+    both = _wanted(sets, wanted).groupBy("bucket").agg(F.bitmap_and_agg("rows").alias("rows"), F.count(F.lit(1)).alias("n"))
+    return both.where(F.col("n") == len(wanted)).select("bucket", "rows")
+
+
+def united(sets: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """(bucket, rows) of the ids that have any of the pairs."""
+    return _wanted(sets, wanted).groupBy("bucket").agg(F.bitmap_or_agg("rows").alias("rows"))
+
+
+def cardinality(found: DataFrame) -> DataFrame:
+    """One row: how many ids the bitmaps hold."""
+    return found.agg(F.coalesce(F.sum(F.bitmap_count("rows")), F.lit(0)).alias("sequences"))

@@ -16,7 +16,8 @@ from kmerloom.functions import headers, kmers
 from kmerloom.functions.alphabet import NUCLEOTIDE, PROTEIN, classify, custom, invalid_characters, unique_invalid_characters
 from kmerloom.operators import conserved, diversity, entropy, explore, features, metadata, ranks, validate
 from kmerloom.plans.analyze import analyze
-from kmerloom.sources import fasta, pieces, results
+from kmerloom.ship import ship
+from kmerloom.sources import compressed, fasta, pieces, results
 from kmerloom.sources.shared import fresh_path
 from kmerloom.streaming import counts as streaming
 
@@ -298,6 +299,15 @@ def sampled_entropy(spark, d):
     return entropy.with_entropy(_item_stats(spark, d), T, "sampled", 1).select("position", "entropy")
 
 
+@query(B + "SELECT position, true AS bounded FROM p")
+def sampled_bounds(spark, d):
+    """What holds of any draw: every point of the sampled curve is between 0 and the entropy of as many types as were drawn."""
+    stats = _item_stats(spark, d)
+    points = entropy.rarefaction(stats, T, "sampled", 1).join(stats.select("position", "distinct_kmers"), "position")
+    fine = (F.col("h") >= 0) & (F.col("h") <= F.log2(F.least("m", "distinct_kmers").cast("double")) + 1e-9)
+    return points.groupBy("position").agg(F.bool_and(fine).alias("bounded"))
+
+
 # conserved sequences ----------------------------------------------------------------------------------------------------------
 
 _HCS = """, pick AS (SELECT position, min(sequence) AS kmer FROM v WHERE motif_short = 'I' {where} GROUP BY position),
@@ -690,13 +700,19 @@ def stored_results(spark, d):
 
 @query(
     _ctes(ORDERS, K, 1_000_000, 10)
-    + """SELECT cast(p.position AS varchar) AS position, cast(support AS varchar) AS support, coalesce(low_support, '.') AS low_support, cast(distinct_variants_count AS varchar) AS distinct_variants_count,
- coalesce(string_agg(sequence, ',' ORDER BY sequence) FILTER (motif_short = 'I'), '.') AS index_sequence, coalesce(string_agg(cast(count AS varchar), ',' ORDER BY sequence) FILTER (motif_short = 'I'), '.') AS index_count,
- coalesce(string_agg(sequence, ',' ORDER BY sequence) FILTER (motif_short = 'Ma'), '.') AS major_sequence, coalesce(cast(sum(count) FILTER (motif_short = 'Mi') AS varchar), '.') AS minor_count,
- coalesce(cast(sum(count) FILTER (motif_short = 'U') AS varchar), '.') AS unique_count FROM p LEFT JOIN v USING (position) GROUP BY ALL"""
+    + """SELECT cast(p.position AS varchar) AS position, printf('%.6f', any_value(raw_entropy)) AS entropy, cast(support AS varchar) AS support, coalesce(low_support, '.') AS low_support, cast(distinct_variants_count AS varchar) AS distinct_variants_count,
+ printf('%.2f', CASE WHEN other_reads > 0 THEN distinct_variants_count * 100.0 / other_reads ELSE 0.0 END) AS distinct_variants_incidence, printf('%.2f', CASE WHEN support > 0 THEN other_reads * 100.0 / support ELSE 0.0 END) AS total_variants_incidence,
+ coalesce(string_agg(sequence, ',' ORDER BY sequence) FILTER (motif_short = 'I'), '.') AS index_sequence, coalesce(string_agg(cast(count AS varchar), ',' ORDER BY sequence) FILTER (motif_short = 'I'), '.') AS index_count, coalesce(string_agg(printf('%.2f', incidence), ',' ORDER BY sequence) FILTER (motif_short = 'I'), '.') AS index_incidence,
+ coalesce(string_agg(sequence, ',' ORDER BY sequence) FILTER (motif_short = 'Ma'), '.') AS major_sequence, coalesce(string_agg(cast(count AS varchar), ',' ORDER BY sequence) FILTER (motif_short = 'Ma'), '.') AS major_count, coalesce(string_agg(printf('%.2f', incidence), ',' ORDER BY sequence) FILTER (motif_short = 'Ma'), '.') AS major_incidence,
+ coalesce(cast(sum(count) FILTER (motif_short = 'Mi') AS varchar), '.') AS minor_count, coalesce(printf('%.2f', sum(incidence) FILTER (motif_short = 'Mi')), '.') AS minor_incidence,
+ coalesce(cast(sum(count) FILTER (motif_short = 'U') AS varchar), '.') AS unique_count, coalesce(printf('%.2f', sum(incidence) FILTER (motif_short = 'U')), '.') AS unique_incidence
+ FROM p LEFT JOIN v USING (position) GROUP BY p.position, support, low_support, distinct_variants_count, other_reads"""
 )
 def tsv_rows(spark, d):
-    return results.tsv(_analysis(spark, d)).select("position", "support", "low_support", "distinct_variants_count", "index_sequence", "index_count", "major_sequence", "minor_count", "unique_count")
+    """All 17 columns, written and read back."""
+    at = fresh_path(spark, "tsv")
+    results.write(_analysis(spark, d), at, "tsv")
+    return spark.read.schema(", ".join(f"{c} string" for c in results.TSV_COLUMNS)).option("sep", "\t").option("header", "true").csv(at)
 
 
 @query(A + ", x AS (SELECT position, count(*) AS variants FROM v GROUP BY position) SELECT position, coalesce(variants, 0) AS variants FROM sp LEFT JOIN x USING (position)")
@@ -840,3 +856,39 @@ def fasta_errors(spark, d):
     lines = F.concat(F.array(F.concat(F.lit(">r"), "k")), F.when(F.col("comments") > 0, F.array(F.lit("; a comment"))).otherwise(F.array().cast("array<string>")), body)
     x.coalesce(1).sortWithinPartitions("k").select(F.array_join(lines, "\n").alias("value")).write.text(at)
     return pieces.errors(pieces.read_pieces(spark, at)).drop("file")
+
+
+# stored row sets, kept counts, compressed files ---------------------------------------------------------------------------------
+
+
+@query(_META + """SELECT 'and' AS how, count(*) FILTER (status = 'F' AND year = '1996') AS sequences FROM m UNION ALL SELECT 'or', count(*) FILTER (status = 'F' OR year = '1996') FROM m
+UNION ALL SELECT 'none', 0""")
+def row_set_counts(spark, d):
+    """Sizes of an intersection and a union from stored bitmaps of row sets."""
+    at = fresh_path(spark, "row-sets")
+    metadata.row_sets(_meta(spark, d), ["status", "year"]).write.parquet(at)
+    sets, wanted = spark.read.parquet(at), [("status", "F"), ("year", "1996")]
+    named = lambda how, found: metadata.cardinality(found).select(F.lit(how).alias("how"), "sequences")
+    none = metadata.intersected(sets, [("status", "F"), ("year", "1066")])
+    return named("and", metadata.intersected(sets, wanted)).unionByName(named("or", metadata.united(sets, wanted))).unionByName(named("none", none))
+
+
+@query(A + "SELECT position, kmer, count FROM c")
+def compacted_counts(spark, d):
+    """Counts kept by a stream of several batches in generations."""
+    source, at = fresh_path(spark, "arrivals"), fresh_path(spark, "generations")
+    orders(spark, d).repartition(7, "seq_id").write.parquet(source)
+    rows = spark.readStream.schema("seq_id long, header string, sequence string").option("maxFilesPerTrigger", 1).parquet(source)
+    streaming.keep_generations(rows, K, at, fresh_path(spark, "stream"), every=3).awaitTermination()
+    return streaming.kept(spark, at)
+
+
+@query(A + "SELECT ['gzip', 'bzip2', 'xz', 'zstd', 'none'][cast(seq_id % 5 + 1 AS integer)] AS codec, header, sequence, count(*) AS records FROM aligned GROUP BY ALL")
+def compressed_fasta(spark, d):
+    """FASTA files in every codec under names that say nothing, told apart by how they begin."""
+    at = fresh_path(spark, "packed")
+    ship(spark)
+    codecs = list(compressed.MAGIC.values()) + ["none"]
+    own = orders(spark, d).select((F.col("seq_id") % 5).cast("int").alias("n"), "header", "sequence")
+    own.repartition("n").groupBy("n").applyInArrow(compressed.packer(at, codecs), "n int, records long").write.format("noop").mode("overwrite").save()
+    return compressed.read_by_content(spark, at).groupBy("codec", "header", "sequence").agg(F.count(F.lit(1)).alias("records"))
