@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.operators.ranks import with_place
-from kmerloom.sources.shared import fresh_path
+from kmerloom.sources.shared import stored
 
 
 def index_picks(found: DataFrame, stats: DataFrame, threshold: float | None = None, by: str = "counts") -> DataFrame:
@@ -31,10 +31,7 @@ def regions(picks: DataFrame, low: tuple[str, ...] = ("NS", "LS"), keys: tuple[s
     pick of the next position, by a join; the n-th place where a region starts belongs to the n-th where one ends, and both are numbered
     by ``with_place``. So no window runs over the alignment. Only a region's own positions are gathered, which are its result.
     """
-    spark = picks.sparkSession
-    at = fresh_path(spark, "picks")
-    picks.write.parquet(at)
-    picks = spark.read.parquet(at)
+    picks = stored(picks, "picks")
     of = [F.col(f"`{c}`") for c in keys]
     k = F.length("kmer")
     tails = picks.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in keys], (F.col("position") + 1).alias("next"), F.col("kmer").alias("prev"))

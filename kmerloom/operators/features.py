@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kmerloom.operators.ranks import with_place
-from kmerloom.sources.shared import fresh_path
+from kmerloom.sources.shared import stored, together
 
 # Category of each feature type that is kept.
 CATEGORIES = {
@@ -100,12 +100,6 @@ def coverage(positions: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.agg(F.count("m").alias("mapped"), n.alias("positions"), F.coalesce(F.count("m") / n * 100, F.lit(0.0)).alias("coverage"))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    at = fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def emitted(side: DataFrame, levels: list[int]) -> DataFrame:
     """Rows of ``side(lo, hi, level, ...)`` in the bins that they meet at each of the levels from their own on: two a level, about."""
     wanted = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("level"))
@@ -125,25 +119,32 @@ def meeting(a: DataFrame, b: DataFrame, smallest: int = BIN, hot: int = HOT) ->
     size = F.col("hi") - F.col("lo") + 1
     level = F.greatest(F.lit(bits), F.ceil(F.log2(size.cast("double"))).cast("int"))
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, int, list[int]]:
+        """The intervals as a table, with their number and levels, which are observed while it is written."""
         own = df.where("lo <= hi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-        return _stored(own.withColumn("level", level).withColumn("id", F.monotonically_increasing_id()), f"intervals-{name}")
+        seen = Observation()
+        sums = F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, level)")).alias("levels")
+        held = stored(own.withColumn("level", level).withColumn("id", F.monotonically_increasing_id()).observe(seen, *sums), f"intervals-{name}")
+        # an input found empty while it is planned leaves nothing to observe
+        found = seen.get or held.agg(*sums).first().asDict()
+        levels = found["levels"] or 0
+        return held, found["n"], [x for x in range(64) if levels >> x & 1]
 
-    left, right = side(a, "a"), side(b, "b")
-    about = {name: df.agg(F.count(F.lit(1)).alias("n"), F.collect_set("level").alias("levels")).first() for name, df in (("a", left), ("b", right))}
+    (left, n_left, at_left), (right, n_right, at_right) = together(a.sparkSession, lambda: side(a, "a"), lambda: side(b, "b"))
+    about = {"a": (n_left, at_left), "b": (n_right, at_right)}
 
     def joined(wide: DataFrame, narrow: DataFrame, wide_name: str, narrow_name: str, strict: bool) -> DataFrame:
         """Pairs of wide intervals, in their own level, with narrower ones (or as wide, unless strict)."""
-        at = sorted(about[wide_name]["levels"]) or [bits]
+        at = about[wide_name][1] or [bits]
         few = emitted(narrow, at)
         own = wide.select(F.col(wide_name), F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.col("level").alias("at"), F.explode(F.expr("sequence(shiftright(lo, level), shiftright(hi, level))")).alias("bin"))
         few = few.where(F.col("level") < F.col("at")) if strict else few
         near = "wlo <= hi AND lo <= whi AND bin = shiftright(greatest(wlo, lo), at)"
-        if about[narrow_name]["n"] <= hot:
+        if about[narrow_name][0] <= hot:
             # an interval is in a bin once: none can hold more
             return own.join(few, ["at", "bin"]).where(near).select("a", "b")
         crowded = few.groupBy("at", "bin").count().where(F.col("count") > hot).select("at", "bin", F.ceil(F.col("count") / hot).cast("int").alias("salts"))
-        crowded = _stored(crowded, "crowded")
+        crowded = stored(crowded, "crowded")
         own = own.join(crowded, ["at", "bin"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
         few = few.join(crowded, ["at", "bin"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
         return own.join(few, ["at", "bin", "salt"]).where(near).select("a", "b")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.sources.shared import fresh_path
+from kmerloom.sources.shared import stored
 
 #: Bits that Spark's rising ids leave to the number of a row within its partition.
 _ROW_BITS = 33
@@ -21,11 +21,8 @@ def with_place(rows: DataFrame, keys: list[str], order: list[str | Column], name
     all rows is spread over all partitions. ``order`` should tell rows apart: equal ones get places in any order. With ``count`` a column of that name
     says how many rows the key has. ``path`` is where the sorted rows are kept, for ``page``.
     """
-    spark = rows.sparkSession
     by = [*[F.col(f"`{k}`") for k in keys], *order]
-    at = path or fresh_path(spark, "sorted")
-    rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).write.parquet(at)
-    held = spark.read.parquet(at)
+    held = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "sorted", path)
     part = F.shiftright("__at", _ROW_BITS)
     own = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
     names = [f"__k{i}" for i in range(len(keys))]
@@ -35,9 +32,7 @@ def with_place(rows: DataFrame, keys: list[str], order: list[str | Column], name
     starts = segments.withColumn("__before", before)
     if count:
         starts = starts.withColumn("__all", F.sum("__n").over(Window.partitionBy(*names)))
-    kept = fresh_path(spark, "segments")
-    starts.write.parquet(kept)
-    starts = spark.read.parquet(kept).drop("__n")
+    starts = stored(starts, "segments").drop("__n")
     same = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
     joined = held.join(starts, reduce(Column.__and__, same, part == F.col("__part")))
     extra = [F.col("__all").alias(count)] if count else []

@@ -13,7 +13,7 @@ from kmerloom.functions.alphabet import Alphabet, alphabet
 from kmerloom.functions.kmers import check_alignment, check_k, count_kmers
 from kmerloom.operators import diversity
 from kmerloom.operators.entropy import with_entropy
-from kmerloom.sources.shared import fresh_path
+from kmerloom.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -55,11 +55,11 @@ def analyze(
         warnings.warn("metadata fields are named without a header format: none is counted", stacklevel=2)
     sequences = check_alignment(rows, k, threshold) if check else rows.count()
     counts = count_kmers(rows, k, a, collapse, gaps=True)
-    counts = _stored(counts, "counts") if store else counts
+    counts = stored(counts, "counts") if store else counts
     own = diversity.position_stats(counts, threshold)
     found = diversity.variants(counts, own)
     stats = with_entropy(own, threshold, mode, seed)
-    stats = _stored(stats, "positions") if store else stats
+    stats = stored(stats, "positions") if store else stats
     if header_format:
         fields = headers.check_format(header_format)
         if check:
@@ -68,9 +68,3 @@ def analyze(
         table = headers.with_fields(rows, fields, fill, only)
         found = diversity.with_metadata(found, diversity.metadata_counts(table, only, k, a)) if only else found
     return Analysis(diversity.summary(stats, sequences, threshold, k, name), stats, found)
-
-
-def _stored(table: DataFrame, name: str) -> DataFrame:
-    at = fresh_path(table.sparkSession, name)
-    table.write.parquet(at)
-    return table.sparkSession.read.parquet(at)

@@ -18,7 +18,7 @@ from kmerloom.operators import conserved, diversity, entropy, explore, features,
 from kmerloom.plans.analyze import analyze
 from kmerloom.ship import ship
 from kmerloom.sources import compressed, fasta, pieces, results
-from kmerloom.sources.shared import fresh_path
+from kmerloom.sources.shared import fresh_path, stored, together
 from kmerloom.streaming import counts as streaming
 
 K, T = 3, 100
@@ -131,9 +131,7 @@ def _variants(spark, d):
 
 def _both(spark, d, source=orders, k=K, threshold=T):
     """Positions and variants from one table of counts, which is written once."""
-    at = fresh_path(spark, "counts")
-    kmers.count_kmers(source(spark, d), k, gaps=True).write.parquet(at)
-    counts = spark.read.parquet(at)
+    counts = stored(kmers.count_kmers(source(spark, d), k, gaps=True), "counts")
     stats = diversity.position_stats(counts, threshold)
     return stats, diversity.variants(counts, stats)
 
@@ -440,8 +438,8 @@ def feature_mapping(spark, d):
 
 @query(B + _HCS.format(where="AND incidence >= 40", k=2) + ", " + _CLEAN + _MAP + "SELECT region_id, feature_id FROM hcs JOIN mp ON start_position <= msa_end AND msa_begin <= end_position + 1")
 def region_feature_overlaps(spark, d):
-    own = conserved.regions(_picks(spark, d, 40.0, "incidence", **ITEM_SOURCE))
-    return features.overlaps(own, _mapped(spark, d), KB).select("region_id", "feature_id")
+    own, mapped = together(spark, lambda: conserved.regions(_picks(spark, d, 40.0, "incidence", **ITEM_SOURCE)), lambda: _mapped(spark, d))
+    return features.overlaps(own, mapped, KB).select("region_id", "feature_id")
 
 
 @query(A + "SELECT position AS msa_position, position + 3 AS residue FROM sp WHERE (position + 3) % 2 = 0")
@@ -470,7 +468,8 @@ def header_diagnostics(spark, d):
     return headers.diagnostics(orders(spark, d).withColumn("header", bad), FIELDS).select("records", "header_parse_failures", r6("failure_rate"))
 
 
-@query("SELECT '|' AS delimiter, 3 AS field_count, 'field1|field2|field3' AS format FROM orders LIMIT 1")
+@query(_META + """, n AS (SELECT min(len(string_split(header, '|'))) AS lo, max(len(string_split(header, '|'))) AS hi FROM t)
+SELECT CASE WHEN lo = hi AND lo > 1 THEN '|' END AS delimiter, cast(lo AS integer) AS field_count, array_to_string(list_transform(range(1, lo + 1), lambda i: concat('field', i)), '|') AS format FROM n""")
 def header_format(spark, d):
     return headers.detect_format(orders(spark, d))
 
@@ -672,7 +671,8 @@ def detected_alphabet(spark, d):
     return validate.detect_alphabet(orders(spark, d), None)
 
 
-@query(A + "SELECT true AS is_valid, count(*) AS sequence_count, 10 AS sequence_length, 0 AS empty_sequences, 0 AS length_mismatches FROM aligned")
+@query(A + """, e AS (SELECT arg_min(length(sequence), seq_id) FILTER (sequence <> '') AS n FROM aligned)
+SELECT count(*) > 0 AND count_if(sequence = '' OR length(sequence) <> n) = 0 AS is_valid, count(*) AS sequence_count, any_value(n) AS sequence_length, count_if(sequence = '') AS empty_sequences, count_if(sequence <> '' AND length(sequence) <> n) AS length_mismatches FROM aligned, e""")
 def validation_report(spark, d):
     return validate.report(orders(spark, d)).select("is_valid", "sequence_count", "sequence_length", "empty_sequences", "length_mismatches")
 
@@ -858,6 +858,46 @@ def fasta_errors(spark, d):
     return pieces.errors(pieces.read_pieces(spark, at)).drop("file")
 
 
+_FILES = """SELECT o_orderkey AS k, o_orderkey % 5 AS f, CASE WHEN o_orderkey % 5 = 4 OR o_orderkey % 50 = 2 THEN 0 WHEN o_orderkey % 85 = 1 THEN 7 ELSE 10 END AS n, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS comments FROM orders"""
+
+
+@query(f"""WITH x AS ({_FILES}),
+l AS (SELECT *, 1 + coalesce(sum(1 + comments + CASE WHEN n > 0 THEN 2 ELSE 0 END) OVER (PARTITION BY f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY f ORDER BY k) AS number FROM x),
+s AS (SELECT f, count_if(n > 0) AS full_ones, arg_min(n, k) FILTER (n > 0) AS expected, array_to_string(list(concat('r', k) ORDER BY k)[1:3], ',') AS heads FROM x GROUP BY f),
+w AS (SELECT f, 'empty_sequence' AS kind, concat('Empty sequence for the header at line ', line) AS said, line FROM l WHERE n = 0 AND f < 3
+  UNION ALL SELECT f, 'length_mismatch', concat('Sequence ', number, ' has length ', n, ', expected ', expected, ': sequences of an alignment have one length'), line FROM l JOIN s USING (f) WHERE n > 0 AND n <> expected AND f < 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY f, kind ORDER BY line) AS r, count(*) OVER (PARTITION BY f, kind) AS all_of FROM w),
+e AS (SELECT f, kind, said, line FROM r WHERE r <= 5
+  UNION ALL SELECT DISTINCT f, kind, concat('... and ', all_of - 5, ' more ', CASE kind WHEN 'empty_sequence' THEN 'empty sequences' ELSE 'length mismatches' END), NULL FROM r WHERE all_of > 5
+  UNION ALL SELECT 3, 'no_headers', 'No header lines, which start with ''>''', NULL UNION ALL SELECT 4, 'no_sequences', 'No sequences', NULL)
+SELECT cast(f AS integer) AS f, e.kind IS NULL AS is_valid, CASE WHEN f < 3 THEN full_ones ELSE 0 END AS sequence_count, CASE WHEN f < 3 THEN expected END AS sequence_length, CASE WHEN f < 3 THEN heads ELSE '' END AS sample_headers,
+ CASE WHEN f = 0 THEN 'nucleotide' WHEN f < 3 THEN 'protein' ELSE 'unknown' END AS alphabet, e.kind AS error_type, e.said AS message, e.line AS line_number FROM s LEFT JOIN e USING (f)""")
+def fasta_report(spark, d):
+    """Five files: sound, with sequences of another length, with empty records, without headers, without sequences; comments and wrapped lines in all."""
+    at = fresh_path(spark, "report")
+    x = _sql(spark, d, _FILES, "orders")
+    head = F.concat(F.when(F.col("f") == 3, "MKV").otherwise(">r"), "k")
+    body = F.when(F.col("n") == 7, F.array(F.lit("MKVLQE"), F.lit("F"))).when(F.col("f") == 0, F.array(F.lit("ACGTAC"), F.lit("GTAC"))).otherwise(F.array(F.lit("MKVLQE"), F.lit("FPIW")))
+    none = F.array().cast("array<string>")
+    lines = F.concat(F.array(head), F.when(F.col("comments") > 0, F.array(F.lit("; a comment"))).otherwise(none), F.when(F.col("n") > 0, body).otherwise(none))
+    x.repartition("f").sortWithinPartitions("f", "k").select("f", F.array_join(lines, "\n").alias("value")).write.partitionBy("f").text(at)
+    own = validate.report_files(spark, at).withColumn("f", F.regexp_extract("file", r"/f=(\d)/", 1).cast("int")).select("*", F.explode_outer("errors").alias("e"))
+    return own.select("f", "is_valid", "sequence_count", "sequence_length", F.array_join("sample_headers", ",").alias("sample_headers"), "alphabet", "e.error_type", "e.message", "e.line_number")
+
+
+@query(_ctes(ORDERS, K, 1_000_000, 10) + """SELECT (SELECT count(*) FROM aligned) AS sequence_count, 3 AS kmer_length, p.position, round(raw_entropy, 6) AS entropy, support, low_support, distinct_variants_count, row_number() OVER (PARTITION BY p.position ORDER BY count DESC, sequence) AS place,
+ sequence, count, round(incidence, 6) AS incidence, motif_short FROM p JOIN v USING (position)""")
+def pretty_json(spark, d):
+    """The indented JSON document, all its positions and variants in their order."""
+    at = fresh_path(spark, "pretty")
+    results.write(_analysis(spark, d), at, "json", pretty=True)
+    motif = "struct<sequence string, count long, incidence double, motif_short string>"
+    schema = f"sequence_count long, kmer_length int, results array<struct<position int, entropy double, support long, low_support string, distinct_variants_count long, diversity_motifs array<{motif}>>>"
+    own = spark.read.schema(schema).option("multiLine", "true").json(at).select("sequence_count", "kmer_length", F.explode("results").alias("r")).select("sequence_count", "kmer_length", "r.*")
+    each = own.select("*", F.posexplode("diversity_motifs").alias("p", "m")).drop("diversity_motifs")
+    return each.select("sequence_count", "kmer_length", "position", r6("entropy"), "support", "low_support", "distinct_variants_count", (F.col("p") + 1).alias("place"), "m.sequence", "m.count", r6("m.incidence", "incidence"), "m.motif_short")
+
+
 # stored row sets, kept counts, compressed files ---------------------------------------------------------------------------------
 
 

@@ -21,19 +21,13 @@ from kmerloom.functions.alphabet import PROTEIN, Alphabet
 from kmerloom.functions.kmers import windows
 from kmerloom.operators.ranks import with_place
 from kmerloom.ship import ship
-from kmerloom.sources.shared import fresh_path
+from kmerloom.sources.shared import stored
 
 #: Characters of a chunk at which windows start.
 CHUNK = 1 << 20
 _PIECE = "file string, at long, number int, header string, line long, lines long, start long, length long, binary boolean, text string"
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    at = fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of records: what a batch holds of each. ``number`` counts the headers of the split so far, 0 for what goes on from before it."""
     split, number, start, line = None, 0, 0, 0
@@ -99,14 +93,14 @@ def read_pieces(spark: SparkSession, path: str | list[str]) -> Pieces:
     file, its split's start, and its number there, in the order of the file."""
     ship(spark)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    held = _stored(lines.mapInArrow(_cut, _PIECE), "pieces")
+    held = stored(lines.mapInArrow(_cut, _PIECE), "pieces")
     each = held.groupBy("file", "at", "number").agg(F.sum("length").alias("n"), F.sum("lines").alias("lines"))
     splits = each.groupBy("file", "at").agg(F.max("number").alias("headers"), F.max_by("n", "number").alias("tail"), F.sum("lines").alias("lines"))
     # a row for each split: sums along a file run over its splits alone
     past = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     sums = splits.withColumn("chars", F.coalesce(F.sum("tail").over(past), F.lit(0))).withColumn("above", F.coalesce(F.sum("lines").over(past), F.lit(0)))
     owner = F.last(F.when(F.col("headers") > 0, F.struct("at", "headers", "chars")), True).over(past)
-    sums = _stored(sums.withColumn("owner", owner).select("file", "at", "above", "owner", (F.col("chars") - F.col("owner.chars")).alias("base")), "splits")
+    sums = stored(sums.withColumn("owner", owner).select("file", "at", "above", "owner", (F.col("chars") - F.col("owner.chars")).alias("base")), "splits")
     goes_on = F.col("number") == 0
     record = F.when(goes_on, F.when(F.col("owner").isNotNull(), F.struct("file", F.col("owner.at").alias("at"), F.col("owner.headers").alias("number")))).otherwise(F.struct("file", "at", "number"))
     start = F.col("start") + F.when(goes_on, F.coalesce("base", F.lit(0))).otherwise(0)
@@ -150,9 +144,9 @@ def errors(own: Pieces) -> DataFrame:
     """
     none = lambda t: F.lit(None).cast(t)
     row = lambda kind, number=None, length=None, expected=None: (F.lit(kind).alias("error_type"), F.col("line").alias("line_number"), (number if number is not None else none("long")).alias("sequence_number"), (length if length is not None else none("long")).alias("length"), (expected if expected is not None else none("long")).alias("expected"))
-    records = _stored(own.records().select(F.col("record.file").alias("file"), "record.at", "record.number", "line", "length"), "records")
+    records = stored(own.records().select(F.col("record.file").alias("file"), "record.at", "record.number", "line", "length"), "records")
     full = with_place(records.where("length > 0"), ["file"], [F.col("at"), F.col("number")])
-    full = _stored(full, "numbered")
+    full = stored(full, "numbered")
     expected = full.where("place = 1").select(F.col("file").alias("of"), F.col("length").alias("expected"))
     wrong = full.join(expected, (F.col("file") == F.col("of")) & (F.col("length") != F.col("expected")))
     stray = own.pieces.where("record IS NULL AND length > 0").groupBy("file").agg(F.min("line").alias("line"))

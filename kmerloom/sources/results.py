@@ -72,14 +72,14 @@ def documents(result) -> DataFrame:
     return nested(result.positions.select(*POSITION), result.variants)
 
 
-def envelope(result) -> DataFrame:
-    """One row, ``value``: the whole result as a JSON document, keys of maps sorted.
+def envelope(result, pretty: bool = False) -> DataFrame:
+    """One row, ``value``: the whole result as a JSON document, keys of maps sorted; with line breaks and indents if ``pretty``.
 
     It is one document by definition, as long as the alignment; for more use JSON Lines or the tables.
     """
     rows = documents(result).agg(F.array_sort(F.collect_list(F.struct(*POSITION, "diversity_motifs")), lambda a, b: a["position"] - b["position"]).alias("results"))
     whole = F.struct(*result.summary.columns, "results")
-    return result.summary.crossJoin(F.broadcast(rows)).select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
+    return result.summary.crossJoin(F.broadcast(rows)).select(F.to_json(whole, {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("value"))
 
 
 def tsv(result) -> DataFrame:
@@ -102,15 +102,15 @@ def tsv(result) -> DataFrame:
     return own.select(*[c.alias(n) for c, n in zip(cells, TSV_COLUMNS, strict=True)])
 
 
-def write(result, path: str, explicit: str | None = None, header: bool = True, compression: str = "zstd") -> None:
-    """Write in the format asked for or that of the extension; text forms are ordered by position."""
+def write(result, path: str, explicit: str | None = None, header: bool = True, compression: str = "zstd", pretty: bool = False) -> None:
+    """Write in the format asked for or that of the extension; text forms are ordered by position. ``pretty`` is for the JSON document."""
     form = output_format(path, explicit)
     if form == "compact":
         save(result, path, compression)
         return
     check_finite(result.positions)
     if form == "json":
-        envelope(result).write.text(path)
+        envelope(result, pretty).write.text(path)
     elif form == "jsonl":
         documents(result).orderBy("position").write.option("ignoreNullFields", "false").json(path)
     else:
@@ -123,6 +123,6 @@ def hcs_json(found: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.transform("x", lambda x: x["sequence"])).alias("value"))
 
 
-def convert(spark: SparkSession, source: str, path: str, explicit: str | None = None, header: bool = True) -> None:
+def convert(spark: SparkSession, source: str, path: str, explicit: str | None = None, header: bool = True, pretty: bool = False) -> None:
     """Stored results to another form."""
-    write(load(spark, source), path, explicit, header)
+    write(load(spark, source), path, explicit, header, pretty=pretty)

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers
-from kmerloom.operators import features
+from kmerloom.operators import features, validate
 from kmerloom.sources import fasta, pieces
+from kmerloom.sources.shared import together
 
 
 def plan(df):
@@ -140,3 +141,54 @@ def test_compressed_names_are_plain(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">a\nACD\nEF\n>b\nGH\n")
     rows = {(x.header, len(x.sequence)) for x in fasta.read_fasta(spark, str(tmp_path)).collect()}
     assert rows == {(x.header, x.length) for x in pieces.read_pieces(spark, str(tmp_path)).records().collect()}
+
+
+def test_report_of_files(spark, tmp_path):
+    """One row a file: what is wrong, where, and how much more of it there is."""
+    texts = {
+        "sound": "﻿>a\nACGT\n;note\n>b\nAC\nGT\n",
+        "uneven": ">a\nMKVF\n" + "".join(f">r{i}\nMKV\n" for i in range(7)) + ">last\n",
+        "stray": "MKV\n>a\nMKVF\n",
+        "binary": ">a\nMK\0V\n",
+        "plain": "no header\nat all\n",
+        "hollow": ">a\n>b\n\n",
+        "nothing": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    lost = str(tmp_path / "lost")
+    own = {r["file"].rsplit("/", 1)[-1]: r for r in validate.report_files(spark, [str(tmp_path), lost]).collect()}
+    kinds = {n: [(e["error_type"], e["line_number"]) for e in r["errors"]] for n, r in own.items()}
+    assert kinds == {
+        "sound": [],
+        "uneven": [("length_mismatch", 3 + 2 * i) for i in range(5)] + [("empty_sequence", 17), ("length_mismatch", None)],
+        "stray": [("text_before_header", 1)],
+        "binary": [("binary_file", 1)],
+        "plain": [("no_headers", None)],
+        "hollow": [("no_sequences", None)],
+        "nothing": [("no_headers", None)],
+        "lost": [("file_not_found", None)],
+    }
+    assert [n for n, r in own.items() if r["is_valid"]] == ["sound"]
+    assert own["uneven"]["errors"][-1]["message"] == "... and 2 more length mismatches"
+    assert (own["uneven"]["sequence_count"], own["uneven"]["sequence_length"], own["uneven"]["sample_headers"]) == (8, 4, ["a", "r0", "r1"])
+    assert (own["sound"]["alphabet"], own["uneven"]["alphabet"], own["plain"]["alphabet"]) == ("nucleotide", "protein", "unknown")
+    assert own["sound"]["file_size_bytes"] == len(texts["sound"].encode()) and own["lost"]["file_modified_at"] is None
+    assert [r["errors"][0]["error_type"] for r in validate.report_files(spark, lost).collect()] == ["file_not_found"]
+
+
+def test_together(spark):
+    """Results come in the order of the jobs, and an error of any is raised."""
+    assert together(spark, lambda: spark.range(3).count(), lambda: spark.range(5).count()) == [3, 5]
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: 1, lambda: 1 // 0)
+
+
+def test_meeting_of_nothing(spark):
+    """A side without intervals, or with none that is sound, gives no pairs."""
+    some = spark.createDataFrame([(1, 5), (7, 9)], "lo int, hi int")
+    none = spark.createDataFrame([], "lo int, hi int")
+    wrong = spark.createDataFrame([(9, 2)], "lo int, hi int")
+    for a, b in ((some, none), (none, some), (none, none), (some, wrong)):
+        assert features.meeting(a, b).count() == 0
+    assert features.meeting(some, some).count() == 2
