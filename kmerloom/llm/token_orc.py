@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import fresh_path, ship, table, written
 
 END = 2
 CACHE_CHUNKS = 400_000
+#: Bytes of texts for which a range is made; no input has fewer ranges than shuffle partitions.
+RANGE_BYTES = 128 << 20
 #: Rows of a row group of the index, bytes of a stripe.
 INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
 SCHEMA = "doc_id long, part int, place long, ids array<int>"
@@ -130,31 +134,52 @@ def _encoder(path: str, end: int):
     return encode
 
 
-def _ranged(docs: DataFrame) -> DataFrame:
-    """docs dealt by ranges of doc_id of about equal number. The bounds come from the ids alone: a sort by range would read all texts to
-    sample them. A row's range is found by halving, so many ranges cost little."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    steps = len(bounds).bit_length()
-    padded = F.lit(bounds + [(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))).cast("array<bigint>") if bounds else None
-    if padded is None:
+def _ranges(docs: DataFrame) -> int:
+    """Ranges for docs: as many as the bytes of their texts, which one aggregate sums, ask for."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-size // RANGE_BYTES))
+
+
+def _fixed(values: list, kind: str) -> Column:
+    """A constant array, made of one string: many values need no expression each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _ranged(docs: DataFrame, n: int) -> DataFrame:
+    """docs dealt by n ranges of doc_id of about equal number, a null being the smallest. The bounds come from the ids alone: a sort by range would
+    read all texts to sample them. A row's range is found by halving, so many ranges cost little. An id at which several ranges end
+    has that many for itself, over which its rows are dealt by a hash of the text, so no id is bound to one task."""
+    low = -(1 << 63)
+    key = F.coalesce("doc_id", F.lit(low))
+    cuts = docs.agg(F.percentile_approx(key, _fixed([i / n for i in range(1, n)], "double"), max(10_000, 4 * n))).first()[0] if n > 1 else None
+    ends = sorted(Counter(cuts or []).items())
+    if not ends:
         return docs.repartition(1)
+    steps = len(ends).bit_length()
+    spare = (1 << steps) - 1 - len(ends)
+    bounds = _fixed([v for v, _ in ends] + [(1 << 63) - 1] * spare, "bigint")
+    shares = _fixed([c for _, c in ends] + [1] * (spare + 1), "int")
+    firsts = _fixed([0, *accumulate(c for _, c in ends)] + [0] * spare, "int")
     halves = F.array(*[F.lit(1 << i) for i in range(steps - 1, -1, -1)])
-    part = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.element_at(padded, at + h) < F.col("doc_id"), at + h).otherwise(at))
-    return docs.repartitionById(len(bounds) + 1, part)
+    # how many bounds are below the id
+    below = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.element_at(bounds, at + h) < key, at + h).otherwise(at))
+    own = docs.withColumn("__below", below)
+    at = F.col("__below") + 1
+    hot = (F.element_at(shares, at) > 1) & (at <= len(ends)) & (F.get(bounds, F.col("__below")) == key)
+    part = F.element_at(firsts, at) + F.when(hot, F.pmod(F.xxhash64("text"), F.element_at(shares, at)).cast("int")).otherwise(0)
+    return own.repartitionById(sum(c for _, c in ends) + 1, part).drop("__below")
 
 
 def write_tokens(docs: DataFrame, at: str, path: str | None = None, end: int = END) -> None:
     """Write the ids of ``docs(doc_id, text)`` with ``end`` after each document to ORC files under ``at``.
 
-    Rows are (doc_id, part, place, ids), ascending by doc_id over parts and within them; rows of one doc_id are ordered by text, null ids
-    come first; null and empty texts have the end id only; other columns are ignored. The tokenizer's path must hold on executors.
+    Rows are (doc_id, part, place, ids), ascending by doc_id over parts and within them; rows of one doc_id are ordered by text within a part, null
+    ids come first; null and empty texts have the end id only; other columns are ignored. The tokenizer's path must hold on executors.
     """
     ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = _ranged(own).sortWithinPartitions("doc_id", "text").mapInArrow(_encoder(path or _file(), end), SCHEMA)
+    coded = _ranged(own, _ranges(own)).sortWithinPartitions("doc_id", "text").mapInArrow(_encoder(path or _file(), end), SCHEMA)
     (
         coded.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
