@@ -51,11 +51,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: what follows does not depend on executors that may be lost."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df as a table in the shared folder: what follows does not depend on executors that may be lost. ``by`` names a column,
+    of few values, that each have a folder of their own."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,11 +9,13 @@ equal root frequency, as many as make the two softmaxes of about equal cost, ``C
 classes by their last two bytes. A token's probability is that of its class given the state, times that of the word within the class: a
 second softmax for the modelled words, the add-one frequency within the class for others, so unseen words have one too.
 
-Training. Every training text is read once. A hash of its id and words deals it to a round and to a learner, a sub-corpus of about
-``LEARN_TOKENS`` tokens, in an order by that hash: what is learnt does not depend on how the input is cut into partitions, and there are
-more learners, not longer ones, the more texts there are. In a round each learner starts from the same parameters, with the state
-carried from window to window of a text, and their parameters are averaged, weighted by tokens, in two steps of bounded size. Output
-biases start at the counted frequencies.
+Training. Every training text is read once. A hash of its id and words deals it to a round and to a learner, a sub-corpus of
+``PER_PARAMETER`` tokens for each parameter, ``LEARN_TOKENS`` at least, in an order by that hash: what is learnt does not depend on how the
+input is cut into partitions, and there are more learners, not longer ones, the more texts there are. Coded texts are written by round, so
+that a round reads its own alone. In a round each learner starts from the same parameters, with the state carried from window to window of
+a text, and their parameters are averaged, weighted by tokens, in two steps of bounded size. A learner sends eight bytes a parameter and
+reads four a token, so averaging shuffles at most half as much as the round reads, whatever the vocabulary. Output biases start at the
+counted frequencies.
 
 Scoring carries the state through each whole text, however long.
 """
@@ -40,8 +42,8 @@ MODEL, CLASSES, REST = 2048, 32, 64
 DIM = HIDDEN = 16
 WINDOW, LANES, SCORE_LANES = 32, 256, 256
 ROUNDS = 4
-#: Tokens that a learner sees in a round, about.
-LEARN_TOKENS = 500_000
+#: Tokens that a learner sees in a round, about: so many for each parameter, and the least.
+PER_PARAMETER, LEARN_TOKENS = 4, 500_000
 RATE = 0.08
 BLOCK = 4096
 CHUNK_TOKENS = 1 << 22
@@ -385,10 +387,18 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 #: A text as ranks (little-endian 32-bit integers), with the words that are not among the commonest and how often they occur.
 CODED = "row long, doc_id long, learn boolean, ranks binary, rare array<struct<word:binary,n:int>>"
+#: The round of texts that nothing is learnt from.
+NO_ROUND = -1
 
 
-def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Each row of ``docs(doc_id, learn, text)`` as CODED, with a number of its own."""
+def learners_of(v: Vocabulary, rounds: int = ROUNDS) -> int:
+    """How many learners a round has."""
+    return max(1, -(-v.total // (rounds * max(LEARN_TOKENS, PER_PARAMETER * Network.size(v.rows, v.classes)))))
+
+
+def coded(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> DataFrame:
+    """Each row of ``docs(doc_id, learn, text)`` as CODED, with a number of its own, its round (NO_ROUND where nothing is learnt from it), its
+    learner and a hash, written by round. Rows that repeat both id and words share a round and a learner."""
     held = docs.sparkSession.sparkContext.broadcast(v)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +421,13 @@ def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(1), pa.array(ranks, pa.binary()), lists], names=["row", "doc_id", "learn", "ranks", "rare"])
                 row += b.num_rows
 
-    return docs.select("doc_id", "learn", F.col("text").cast("binary").alias("text")).mapInArrow(code, CODED)
+    rows = docs.select("doc_id", "learn", F.col("text").cast("binary").alias("text")).mapInArrow(code, CODED)
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "ranks", F.lit(7)))
+    rows = rows.withColumn("learner", F.pmod(F.shiftright("h", 20), F.lit(learners_of(v, rounds))).cast("int"))
+    rows = rows.withColumn("turn", F.when(F.col("learn"), F.pmod("h", F.lit(rounds))).otherwise(NO_ROUND).cast("int")).drop("learn")
+    found = written(rows, "coded", by="turn")
+    held.destroy()
+    return found
 
 
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
@@ -454,16 +470,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters learnt from all ``rows(doc_id, ranks)``. Rows that repeat both id and words go to one learner."""
+    """Parameters learnt from all ``rows(ranks, h, learner, turn)`` with a round, as ``coded`` gives them for as many rounds."""
     spark = rows.sparkSession
     flat = Network.fresh(v)
     size, lanes = len(flat), LANES
     state = np.concatenate([flat, np.full(size, 1.0, np.float32)])
-    learners = max(1, -(-v.total // (rounds * LEARN_TOKENS)))
+    learners = learners_of(v, rounds)
     held = spark.sparkContext.broadcast(v)
     schema = "block int, learner int, weight double, values binary"
-    h = F.xxhash64("doc_id", "ranks", F.lit(7))
-    dealt = rows.select("ranks", h.alias("h")).select("ranks", "h", F.pmod("h", F.lit(rounds)).alias("turn"), F.pmod(F.shiftright("h", 20), F.lit(learners)).cast("int").alias("learner"))
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(state)
         rate = RATE * (1 - 0.7 * turn / rounds)
@@ -482,7 +496,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([learner] * n, pa.int32()), pa.array([float(seen)] * n), pa.array(blocks, pa.binary())], names=["block", "learner", "weight", "values"])
 
         # a partition for each learner, in a fixed order
-        part = dealt.where(F.col("turn") == turn).repartitionById(int(learners), F.col("learner")).sortWithinPartitions("h").select("ranks", "learner")
+        part = rows.where(F.col("turn") == turn).select("ranks", "h", "learner").repartitionById(int(learners), F.col("learner")).sortWithinPartitions("h").select("ranks", "learner")
         got = part.mapInArrow(learn, schema)
         got = got.repartition("block", F.col("learner") % 16).sortWithinPartitions(F.col("learner") % 16, "block", "learner").mapInArrow(_merge, schema)
         got = got.repartition("block").sortWithinPartitions("block", "learner").mapInArrow(_merge, schema)
@@ -490,6 +504,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
             values = np.frombuffer(bytes(r["values"]), "<f4")
             state[r["block"] * BLOCK : r["block"] * BLOCK + len(values)] = values
         now.destroy()
+    held.destroy()
     return state[:size].copy()
 
 
@@ -531,10 +546,11 @@ def score(docs: DataFrame, train_on: Column, rounds: int = ROUNDS) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train_on.alias("learn"), F.coalesce("text", F.lit("")).alias("text"))
     counts = written(counted(own.where("learn")), "counts")
     v = vocabulary(counts)
-    rows = written(coded(own, v), "coded")
-    params = train(rows.where("learn"), v, rounds)
-    sc = spark.sparkContext
-    scored = rows.select("row", "doc_id", "ranks").mapInArrow(_scorer(sc.broadcast(v), sc.broadcast(params)), SCORED)
+    rows = coded(own, v, rounds)
+    held = [spark.sparkContext.broadcast(x) for x in (v, train(rows, v, rounds))]
+    scored = written(rows.select("row", "doc_id", "ranks").mapInArrow(_scorer(*held), SCORED), "scored")
+    for x in held:
+        x.destroy()
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("seen"))
     both = scored.join(found, "row", "left")

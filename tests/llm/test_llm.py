@@ -652,6 +652,7 @@ def test_lm_vocabulary_grows(spark):
 def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
     """Fixed sub-corpora: however the input is cut and ordered, the scores are the same."""
     monkeypatch.setattr(lm, "LEARN_TOKENS", 400)
+    monkeypatch.setattr(lm, "PER_PARAMETER", 0)
     docs = docs_of(spark, [text(i, 60) for i in range(80)])
     got = []
     for own in (docs.repartition(1), docs.repartition(6, "text"), docs.orderBy(F.col("doc_id").desc())):
@@ -659,6 +660,29 @@ def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert all(abs(got[0][i] - other[i]) < 1e-6 * abs(got[0][i]) for other in got[1:] for i in got[0])
 
 
+def test_lm_averaging_is_less_than_its_input():
+    """What the learners of a round send is at most half of the ranks that they read, with as many words as a vocabulary may hold."""
+    counts = [max(1, 10**9 // (i + 10)) for i in range(lm.HEAD)]
+    total = 2 * sum(counts)  # so that all of them are modelled
+    v = lm.Vocabulary([b"%d" % i for i in range(lm.HEAD)], counts, total, 10**7, [(1, 1)] * lm.REST)
+    assert v.model == lm.HEAD
+    sent = lm.learners_of(v) * 8 * lm.Network.size(v.rows, v.classes)
+    assert lm.learners_of(v) > 10 and sent <= 0.55 * 4 * total / lm.ROUNDS
+
+
+def test_lm_rounds_have_folders(spark, tmp_path):
+    """Coded texts are written by round, all rows once; a round's scan reads its own folder."""
+    texts = [None, "", *[text(i, 30) for i in range(60)]]
+    docs = docs_of(spark, texts).select("doc_id", (F.col("doc_id") < 50).alias("learn"), F.coalesce("text", F.lit("")).alias("text"))
+    v = lm.vocabulary(lm.counted(docs.where("learn")))
+    rows = lm.coded(docs, v)
+    assert sorted(r.doc_id for r in rows.collect()) == list(range(62))
+    assert {r.turn for r in rows.where("doc_id >= 50").collect()} == {lm.NO_ROUND}
+    assert {r.turn for r in rows.where("doc_id < 50").collect()} == set(range(lm.ROUNDS))
+    plan = rows.where("turn = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(turn" in plan
+
+
 def test_lm_is_its_definition(spark):
     """Packed lanes and windows against one text after the other, token by token in double precision."""
     v = lm.Vocabulary([bytes([65 + i]) for i in range(50)] + [b"ed%d" % i for i in range(2048)], list(range(2998, 900, -1)), 4_000_000, 2098, [(7, 3)] * lm.REST)
