@@ -40,7 +40,7 @@ HEAD = 200_000
 SHARE = 0.7
 MODEL, CLASSES, REST = 2048, 32, 64
 DIM = HIDDEN = 16
-WINDOW, LANES, SCORE_LANES = 32, 256, 256
+WINDOW, LANES, SCORE_LANES = 32, 256, 512
 ROUNDS = 4
 #: Tokens that a learner sees in a round, about: so many for each parameter, and the least.
 PER_PARAMETER, LEARN_TOKENS = 4, 500_000
@@ -337,8 +337,13 @@ class Runner:
         """Each weight moves by its gradient over the root of the sum of its squares so far."""
         w, s = getattr(self.net, name), getattr(self.squares, name)
         np.minimum(np.maximum(g, -50, out=g), 50, out=g)
-        s[at] += g * g
-        w[at] -= rate * g / np.sqrt(s[at])
+        own = np.multiply(g, g, out=self.buffer("own", *g.shape))
+        own += s[at]
+        s[at] = own
+        np.sqrt(own, out=own)
+        g *= np.float32(rate)
+        g /= own
+        w[at] -= g
 
 
 def counted(docs: DataFrame) -> DataFrame:
