@@ -6,6 +6,7 @@ low diversity); see FIXTURES.md.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -564,6 +565,33 @@ def result_filter(spark, d):
     return explore.filter_positions(stats, found, wanted).select("position")
 
 
+FILTER_STATES = {
+    "default": explore.Filters(),
+    "inverted": explore.Filters(positions=(6, 2)),
+    "not a number": explore.Filters(entropy=(float("nan"), 1)),
+    "all motifs": explore.Filters(motifs=("U", "Mi", "Ma", "I"), positions=(3, 8)),
+    "minor": explore.Filters(motifs=("Mi",)),
+    "supported": explore.Filters(include_low_support=False, entropy=(5, 99)),
+    "sequence": explore.Filters(sequence=" ackd "),
+}
+
+
+@query(A + """, f AS (
+SELECT 'default' AS state, 0 AS active, position FROM p UNION ALL
+SELECT 'not a number', 1, position FROM p UNION ALL
+SELECT 'all motifs', 1, position FROM p WHERE position BETWEEN 3 AND 8 UNION ALL
+SELECT 'minor', 1, position FROM p WHERE position IN (SELECT position FROM v WHERE motif_short = 'Mi') UNION ALL
+SELECT 'supported', 2, position FROM p WHERE raw_entropy BETWEEN 5 AND 99 AND coalesce(low_support NOT IN ('NS', 'LS'), true) UNION ALL
+SELECT 'sequence', 1, position FROM p WHERE position IN (SELECT position FROM v WHERE contains(sequence, 'ACKD')))
+SELECT * FROM f""")
+def filter_states(spark, d):
+    """What each state of the filters keeps, and how many of its parts are active; an inverted range keeps nothing."""
+    stats, found = _both(spark, d)
+    stats = stats.withColumn("entropy", F.col("raw_entropy"))
+    kept = [explore.filter_positions(stats, found, f).select(F.lit(name).alias("state"), F.lit(f.active).alias("active"), "position") for name, f in FILTER_STATES.items()]
+    return functools.reduce(DataFrame.unionByName, kept)
+
+
 @query(A + "SELECT position, support FROM p WHERE position = 4")
 def position_lookup(spark, d):
     return explore.lookup(_stats(spark, d), 4).select("position", "support")
@@ -932,3 +960,28 @@ def compressed_fasta(spark, d):
     own = orders(spark, d).select((F.col("seq_id") % 5).cast("int").alias("n"), "header", "sequence")
     own.repartition("n").groupBy("n").applyInArrow(compressed.packer(at, codecs), "n int, records long").write.format("noop").mode("overwrite").save()
     return compressed.read_by_content(spark, at).groupBy("codec", "header", "sequence").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(f"WITH aligned AS ({ORDERS.format(s='varchar')}) SELECT seq_id + 1 AS seq_id, header, sequence FROM aligned")
+def table_source(spark, d):
+    """A table whose columns have other names and types, and one column more."""
+    own = orders(spark, d).select(F.col("sequence").alias("residues"), F.lit(1).alias("header"), F.col("header").alias("a name"), (F.col("seq_id") + 1).cast("decimal(20,0)").alias("number"))
+    return fasta.from_table(own, "a name", "residues", "number")
+
+
+@query(f"WITH aligned AS ({ORDERS.format(s='varchar')}) SELECT count(*) AS records, max(strlen(header)) AS header_bytes, max(strlen(sequence)) AS sequence_bytes FROM aligned")
+def record_sizes(spark, d):
+    """What the limits on records are held to."""
+    rows = orders(spark, d)
+    fasta.check_records(rows)
+    return fasta.record_sizes(rows)
+
+
+@query(f"""WITH aligned AS ({ORDERS.format(s='varchar')}), ks AS (SELECT unnest([1, 2, 5, 10]) AS k),
+w AS (SELECT k, i AS position, substr(sequence, i, k) AS kmer FROM aligned, ks, range(1, 11) r(i) WHERE i + k <= 11 AND regexp_full_match(substr(sequence, i, k), '[ACDEFGHIKLMNPQRSTVWY]+'))
+SELECT k, position, count(*) AS windows, count(DISTINCT kmer) AS kmers FROM w GROUP BY ALL""")
+def window_lengths(spark, d):
+    """Windows of the shortest and the longest k that the alignment takes, and of some between."""
+    rows = orders(spark, d)
+    counts = [kmers.count_kmers(rows, kmers.check_k(k, PROTEIN)).select(F.lit(k).alias("k"), "position", "count") for k in (1, 2, 5, 10)]
+    return functools.reduce(DataFrame.unionByName, counts).groupBy("k", "position").agg(F.sum("count").alias("windows"), F.count(F.lit(1)).alias("kmers"))

@@ -72,8 +72,14 @@ def from_table(rows: DataFrame, header: str = "header", sequence: str = "sequenc
     return rows.select(own.cast("long").alias("seq_id"), F.col(header).cast("string").alias("header"), F.col(sequence).cast("string").alias("sequence"))
 
 
+def record_sizes(rows: DataFrame) -> DataFrame:
+    """One row: records, and the bytes of the longest header and sequence (0 where there are none)."""
+    longest = lambda c: F.coalesce(F.max(F.octet_length(c)), F.lit(0)).cast("long").alias(f"{c}_bytes")
+    return rows.agg(F.count(F.lit(1)).alias("records"), longest("header"), longest("sequence"))
+
+
 def check_records(rows: DataFrame, most_records: int | None = None) -> None:
     """Stop on oversized headers or sequences, and on more records than allowed, by one aggregate."""
-    r = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("header")).alias("h"), F.max(F.octet_length("sequence")).alias("s")).first()
-    if (r["h"] or 0) > MOST_HEADER_BYTES or (r["s"] or 0) > MOST_SEQUENCE_BYTES or most_records is not None and r["n"] > most_records:
-        raise ValueError(f"{r['n']} records, headers to {r['h']} and sequences to {r['s']} bytes: beyond the limits")
+    n, h, s = record_sizes(rows).first()
+    if h > MOST_HEADER_BYTES or s > MOST_SEQUENCE_BYTES or most_records is not None and n > most_records:
+        raise ValueError(f"{n} records, headers to {h} and sequences to {s} bytes: beyond the limits")

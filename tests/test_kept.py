@@ -5,11 +5,12 @@ import gzip
 import lzma
 import random
 
+import pytest
 import zstandard
 
 from kmerloom.functions import kmers
 from kmerloom.operators import metadata
-from kmerloom.sources import compressed
+from kmerloom.sources import compressed, fasta
 from kmerloom.streaming import counts as streaming
 
 SCHEMA = "seq_id long, header string, sequence string"
@@ -78,3 +79,16 @@ def test_files_by_content(spark, tmp_path):
     assert got == {k: want for k in (("gz.txt", "gzip"), ("noname", "bzip2"), ("x.gz", "xz"), ("z", "zstd"), ("plain.xz", "none"))}
     assert found.select("seq_id").distinct().count() == found.count() == 15
     assert compressed.read_by_content(spark, str(tmp_path / "x.gz")).count() == 3
+
+
+def test_record_sizes_and_limits(spark, monkeypatch):
+    none = spark.createDataFrame([], "seq_id long, header string, sequence string")
+    assert tuple(fasta.record_sizes(none).first()) == (0, 0, 0)
+    fasta.check_records(none, 0)
+    rows = spark.createDataFrame([(1, "h\u00e9", None), (2, None, "ACD")], "seq_id long, header string, sequence string")
+    assert tuple(fasta.record_sizes(rows).first()) == (2, 3, 3)
+    with pytest.raises(ValueError, match="2 records"):
+        fasta.check_records(rows, 1)
+    monkeypatch.setattr(fasta, "MOST_SEQUENCE_BYTES", 2)
+    with pytest.raises(ValueError, match="beyond the limits"):
+        fasta.check_records(rows)
