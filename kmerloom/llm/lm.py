@@ -14,8 +14,8 @@ Training. Every training text is read once. A hash of its id and words deals it
 input is cut into partitions, and there are more learners, not longer ones, the more texts there are. Coded texts are written by round, so
 that a round reads its own alone. In a round each learner starts from the same parameters, with the state carried from window to window of
 a text, and their parameters are averaged, weighted by tokens, in two steps of bounded size. A learner sends eight bytes a parameter and
-reads four a token, so averaging shuffles at most half as much as the round reads, whatever the vocabulary. Output biases start at the
-counted frequencies.
+reads four a token, so the first step of averaging sends at most half of the bytes that the round reads, before compression and whatever the
+vocabulary, and the second step no more than the first. Output biases start at the counted frequencies.
 
 Scoring carries the state through each whole text, however long.
 """
