@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ CATEGORIES = {
 }
 #: Columns that the smallest bins of the overlap join cover, and rows of a bin from which it is dealt to several tasks.
 BIN, HOT = 64, 1 << 17
+#: Levels of a tree of sums, from its top, whose nodes are sent to all tasks: some 2^SENT nodes.
+SENT = 12
 
 
 def category(feature_type: Column) -> Column:
@@ -100,6 +104,60 @@ def coverage(positions: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.agg(F.count("m").alias("mapped"), n.alias("positions"), F.coalesce(F.count("m") / n * 100, F.lit(0.0)).alias("coverage"))
 
 
+def _merged(rows: DataFrame, keys: list[str], how: dict[str, Callable]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[f(c).alias(c) for c, f in how.items()])
+
+
+def _nodes(ranges: DataFrame) -> DataFrame:
+    """Rows of ``ranges(lo, hi, ...)``, ends included, for each of the nodes (level, bin) that they are made up of: bin * 2^level and the 2^level - 1
+    places after it. A range has two nodes a level at most; those with lo above hi have none."""
+    each = ranges.where("lo <= hi").select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int"))).alias("level"))
+    # what is left of a range at a level, once smaller nodes have made its ends even
+    first, after = F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(hi + 1, level)")
+    each = each.withColumn("first", first).withColumn("after", after).where("first < after")
+    odd = lambda x: F.col(x).bitwiseAND(1) == 1
+    return each.withColumn("bin", F.explode(F.array(F.when(odd("first"), F.col("first")), F.when(odd("after"), F.col("after") - 1)))).where("bin IS NOT NULL").drop("lo", "hi", "first", "after")
+
+
+def _above(points: DataFrame, top: int) -> DataFrame:
+    """Rows of ``points(at, ...)`` for each of the nodes, up to level ``top``, that hold them."""
+    return points.select("*", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")).withColumn("bin", F.expr("shiftright(at, level)"))
+
+
+def _clipped(ranges: DataFrame, points: DataFrame) -> tuple[DataFrame, int]:
+    """ranges(lo, hi, ...) cut to the extent of the points(at), and the highest level of a node of any."""
+    low, high = points.agg(F.min("at"), F.max("at")).first()
+    if low is None:
+        return ranges.limit(0), 0
+    return ranges.withColumn("lo", F.greatest("lo", F.lit(low))).withColumn("hi", F.least("hi", F.lit(high))), (high - low + 1).bit_length()
+
+
+def _met(asked: DataFrame, sums: DataFrame, top: int) -> DataFrame:
+    """asked(level, bin, ...) with the one row of sums(level, bin, ...) for its node. The highest levels have few nodes, each asked for by many: those are sent."""
+    few = F.col("level") > top - SENT
+    return asked.where(few).join(F.broadcast(sums.where(few)), ["level", "bin"]).unionByName(asked.where(~few).join(sums.where(~few), ["level", "bin"]))
+
+
+def sums_within(ranges: DataFrame, points: DataFrame, how: dict[str, Callable]) -> DataFrame:
+    """(lo, hi, ...): for each of ``ranges(lo, hi)``, all different, that holds any of ``points(at, ...)``, the columns of ``how`` over all that it holds, summed up
+    by F.sum, F.min or F.max.
+
+    Points are summed up by node of a binary tree over their places, and a range is made up of some two nodes a level: rows grow with the sides and
+    the logarithm of the extent, not with pairs.
+    """
+    cut, top = _clipped(ranges.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "lo", "hi"), points)
+    sums = _merged(_above(_merged(points, ["at"], how), top), ["level", "bin"], how)
+    return _merged(_met(_nodes(cut), sums, top).select(F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), *how), ["lo", "hi"], how)
+
+
+def sums_over(points: DataFrame, ranges: DataFrame, how: dict[str, Callable]) -> DataFrame:
+    """(at, ...): for each of ``points(at)``, all different, that lies in any of ``ranges(lo, hi, ...)``, the columns of ``how`` over all that hold it; the other way
+    round of ``sums_within``, with the same tree."""
+    cut, top = _clipped(_merged(ranges, ["lo", "hi"], how), points)
+    sums = _merged(_nodes(cut), ["level", "bin"], how)
+    return _merged(_met(_above(points, top), sums, top).select("at", *how), ["at"], how)
+
+
 def emitted(side: DataFrame, levels: list[int]) -> DataFrame:
     """Rows of ``side(lo, hi, level, ...)`` in the bins that they meet at each of the levels from their own on: two a level, about."""
     wanted = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("level"))
@@ -162,6 +220,23 @@ def overlaps(regions: DataFrame, features: DataFrame, k: int = 1, width: int = B
     return meeting(a, b, width).select("a.region_id", "a.start_position", "a.end_position", "b.feature_id", "b.msa_begin", "b.msa_end")
 
 
+def overlap_sums(regions: DataFrame, features: DataFrame, k: int = 1) -> DataFrame:
+    """(feature_id, regions, first_region, last_region): for each feature_id with overlaps, how many pairs ``overlaps`` gives, and the least and the
+    greatest region_id of them. Pairs may be as many as regions times features; none of them is built.
+
+    A region shares a column with a feature if it begins in it, or begins before it and goes on to its begin.
+    """
+    how = {"regions": F.sum, "first_region": F.min, "last_region": F.max}
+    own = regions.select(F.col("start_position").cast("long").alias("lo"), (F.col("end_position").cast("long") + max(0, k - 1)).alias("hi"), "region_id").where("lo <= hi")
+    own = stored(own.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("regions"), F.min("region_id").alias("first_region"), F.max("region_id").alias("last_region")), "regions")
+    wanted = features.select("feature_id", F.col("msa_begin").cast("long").alias("lo"), F.col("msa_end").cast("long").alias("hi")).where("lo <= hi")
+    ranges = stored(wanted.select("lo", "hi").distinct(), "ranges")
+    begin = sums_within(ranges, own.withColumnRenamed("lo", "at").drop("hi"), how)
+    go_on = sums_over(ranges.select(F.col("lo").alias("at")).distinct(), own.withColumn("lo", F.col("lo") + 1), how)
+    both = begin.unionByName(ranges.join(go_on.withColumnRenamed("at", "lo"), "lo").select(begin.columns))
+    return _merged(wanted.join(_merged(both, ["lo", "hi"], how), ["lo", "hi"]), ["feature_id"], how)
+
+
 def annotated(positions: DataFrame, annotations: DataFrame) -> DataFrame:
     """Annotations (position_number, label, note, ...) with the values of their position; those without one go."""
     return annotations.join(positions, F.col("position_number") == F.col("position")).drop("position_number")

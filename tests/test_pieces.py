@@ -192,3 +192,32 @@ def test_meeting_of_nothing(spark):
     for a, b in ((some, none), (none, some), (none, none), (some, wrong)):
         assert features.meeting(a, b).count() == 0
     assert features.meeting(some, some).count() == 2
+
+
+def test_tree_sums_are_brute_force(spark, monkeypatch):
+    """Sums over what a range holds, and over what holds a point, below zero too, with joined and with sent levels."""
+    r = random.Random(8)
+    monkeypatch.setattr(features, "SENT", 3)
+    ranges = {(lo, lo + r.choice([-1, 0, 1, 7, 8, 9, 500, 10**9])) for lo in (r.randrange(-900, 900) for _ in range(150))}
+    points = [(r.randrange(-1000, 1000), i) for i in range(300)]
+    how = {"n": F.sum, "low": F.min, "high": F.max}
+    held = spark.createDataFrame(points, "at long, low long").selectExpr("at", "1L AS n", "low", "low AS high")
+    got = {(x.lo, x.hi): (x.n, x.low, x.high) for x in features.sums_within(spark.createDataFrame(list(ranges), "lo long, hi long"), held, how).collect()}
+    inside = {(lo, hi): [i for at, i in points if lo <= at <= hi] for lo, hi in ranges}
+    assert got == {k: (len(v), min(v), max(v)) for k, v in inside.items() if v}
+    spans = [(lo, hi, i) for i, (lo, hi) in enumerate(sorted(ranges)) for _ in range(2)]
+    over = spark.createDataFrame(spans, "lo long, hi long, low long").selectExpr("lo", "hi", "1L AS n", "low", "low AS high")
+    got = {x.at: (x.n, x.low, x.high) for x in features.sums_over(held.select("at").distinct(), over, how).collect()}
+    around = {at: [i for lo, hi, i in spans if lo <= at <= hi] for at, _ in points}
+    assert got == {k: (len(v), min(v), max(v)) for k, v in around.items() if v}
+    assert features.sums_within(spark.createDataFrame(list(ranges), "lo long, hi long"), held.limit(0), how).count() == 0
+
+
+def test_overlap_sums_build_no_pairs(spark, monkeypatch):
+    """200 million pairs are counted without the join that gives them; features without overlaps have none, repeated ids one."""
+    n = 20_000
+    regions = spark.range(n).selectExpr("id AS region_id", "cast(id AS int) AS start_position", "cast(id AS int) AS end_position")
+    long = spark.range(n // 2).selectExpr("id AS feature_id", "cast(-id AS int) AS msa_begin", "cast(id + 1000000 AS int) AS msa_end")
+    more = spark.createDataFrame([(-1, 10, 12), (-1, 14, 14), (-2, 30_000, 30_001), (-3, 12, 10), (-4, 20_001, 20_001)], "feature_id long, msa_begin int, msa_end int")
+    got = {x.feature_id: (x.regions, x.first_region, x.last_region) for x in features.overlap_sums(regions, long.unionByName(more), 3).collect()}
+    assert got == {i: (n, 0, n - 1) for i in range(n // 2)} | {-1: (5 + 3, 8, 14), -4: (1, n - 1, n - 1)}
