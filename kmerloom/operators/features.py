@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -79,16 +80,27 @@ def mapping_runs(to_structure: DataFrame, msa: DataFrame) -> DataFrame:
 def map_features(features: DataFrame, to_structure: DataFrame, msa: DataFrame) -> DataFrame:
     """features(feature_id, feature_type, begin, end) with msa_begin and msa_end, the extent over all their residues; null if none maps.
 
-    ``to_structure(residue, structure_residue)`` and ``msa(msa_position, structure_residue)``; types without a category go. Features meet the
-    mapping's runs as intervals; no feature has a row for each residue.
+    ``to_structure(residue, structure_residue)`` and ``msa(msa_position, structure_residue)``; types without a category go. A feature's extent comes
+    from the runs that begin or end in it, and from those that it cuts at its begin or its end; it has no row for each residue or run.
     """
     own = features.withColumn("category_key", category(F.col("feature_type"))).where("category_key IS NOT NULL")
-    runs = mapping_runs(to_structure, msa)
-    both = meeting(own.select("feature_id", F.col("begin").alias("lo"), F.col("end").alias("hi")), runs.select(F.col("first").alias("lo"), F.col("last").alias("hi"), "low", "high"))
-    at = lambda base, x: F.col(base) + x - F.col("b.lo")
-    low, high = at("b.low", F.greatest("a.lo", "b.lo")), at("b.high", F.least("a.hi", "b.hi"))
-    found = both.groupBy(F.col("a.feature_id").alias("feature_id")).agg(F.min(low).cast("int").alias("msa_begin"), F.max(high).cast("int").alias("msa_end"))
-    return own.join(found, "feature_id", "left")
+    wanted = own.select("feature_id", F.col("begin").cast("long").alias("lo"), F.col("end").cast("long").alias("hi")).where("lo <= hi")
+    ranges = stored(wanted.select("lo", "hi").distinct(), "ranges")
+    runs = stored(mapping_runs(to_structure, msa), "runs")
+    low, high = {"msa_begin": F.min}, {"msa_end": F.max}
+    none, top = F.lit(None).cast("long"), F.col("high") + F.col("last") - F.col("first")
+    edges = runs.select(F.col("first").alias("at"), F.col("low").alias("msa_begin"), none.alias("msa_end")).unionByName(runs.select(F.col("last").alias("at"), none.alias("msa_begin"), top.alias("msa_end")))
+    found = [sums_within(ranges, edges, low | high)]
+    # what is cut is on the run's diagonal: its value less its place holds along the run
+    left = runs.select((F.col("first") + 1).alias("lo"), F.col("last").alias("hi"), (F.col("low") - F.col("first")).alias("msa_begin"))
+    right = runs.select(F.col("first").alias("lo"), (F.col("last") - 1).alias("hi"), (F.col("high") - F.col("first")).alias("msa_end"))
+    for side, cut, how in (("lo", left, low), ("hi", right, high)):
+        (name,) = how
+        at = sums_over(ranges.select(F.col(side).alias("at")).distinct(), cut, how).withColumnRenamed("at", side)
+        found.append(ranges.join(at, side).select("lo", "hi", *[F.col(c) + F.col(side) if c == name else none.alias(c) for c in ("msa_begin", "msa_end")]).toDF("lo", "hi", "msa_begin", "msa_end"))
+    extents = _merged(reduce(DataFrame.unionByName, found), ["lo", "hi"], low | high)
+    mapped = wanted.join(extents, ["lo", "hi"]).groupBy("feature_id").agg(*[how(c).cast("int").alias(c) for c, how in (low | high).items()])
+    return own.join(mapped, "feature_id", "left")
 
 
 def direct_mapping(positions: DataFrame, residues: DataFrame, offset: int = 0) -> DataFrame:

@@ -221,3 +221,14 @@ def test_overlap_sums_build_no_pairs(spark, monkeypatch):
     more = spark.createDataFrame([(-1, 10, 12), (-1, 14, 14), (-2, 30_000, 30_001), (-3, 12, 10), (-4, 20_001, 20_001)], "feature_id long, msa_begin int, msa_end int")
     got = {x.feature_id: (x.regions, x.first_region, x.last_region) for x in features.overlap_sums(regions, long.unionByName(more), 3).collect()}
     assert got == {i: (n, 0, n - 1) for i in range(n // 2)} | {-1: (5 + 3, 8, 14), -4: (1, n - 1, n - 1)}
+
+
+def test_mapping_meets_no_pairs(spark, monkeypatch):
+    """Features over all of a mapping whose runs are single residues: as many pairs as features times residues."""
+    monkeypatch.setattr(features, "meeting", None)
+    n = 20_000
+    to = spark.range(1, n + 1).selectExpr("cast(id AS int) AS residue", "cast(id + 5 AS int) AS structure_residue")
+    msa = spark.range(1, n + 1).selectExpr("cast(3 * id AS int) AS msa_position", "cast(id + 5 AS int) AS structure_residue")
+    own = spark.range(n // 2).selectExpr("id AS feature_id", "'DOMAIN' AS feature_type", "cast(id + 1 AS int) AS begin", "cast(id + 1000000 AS int) AS `end`")
+    got = {x.feature_id: (x.msa_begin, x.msa_end) for x in features.map_features(own, to, msa).collect()}
+    assert got == {i: (3 * i + 3, 3 * n) for i in range(n // 2)}
