@@ -11,18 +11,27 @@ from kmerloom.sources.shared import stored
 
 #: Bits that Spark's rising ids leave to the number of a row within its partition.
 _ROW_BITS = 33
+#: Rows that a task sorts, about, where their number is known.
+SORTED = 1 << 18
 
 
-def with_place(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "place", path: str | None = None, count: str | None = None) -> DataFrame:
+def in_order(rows: DataFrame, by: list[str | Column], n: int | None = None) -> DataFrame:
+    """rows range-partitioned and sorted by ``by``. With ``n``, their number, a partition has about SORTED of them at any size; else there are as many
+    partitions as the session shuffles to."""
+    parts = [] if n is None else [max(1, -(-n // SORTED))]
+    return rows.repartitionByRange(*parts, *by).sortWithinPartitions(*by)
+
+
+def with_place(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "place", path: str | None = None, count: str | None = None, n: int | None = None) -> DataFrame:
     """rows with their place, from 1, in ``order`` among the rows of the same ``keys``; null keys are a key.
 
     A segmented scan: the rows are range-partitioned and sorted by keys and order, and written once. A segment is what one partition holds of
     a key; segments are counted, and only their counts, at most partitions plus keys, are summed in order. So a key with
     all rows is spread over all partitions. ``order`` should tell rows apart: equal ones get places in any order. With ``count`` a column of that name
-    says how many rows the key has. ``path`` is where the sorted rows are kept, for ``page``.
+    says how many rows the key has. ``path`` is where the sorted rows are kept, for ``page``; ``n`` is the number of rows, where it is known (``in_order``).
     """
     by = [*[F.col(f"`{k}`") for k in keys], *order]
-    held = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "sorted", path)
+    held = stored(in_order(rows, by, n).withColumn("__at", F.monotonically_increasing_id()), "sorted", path)
     part = F.shiftright("__at", _ROW_BITS)
     own = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
     names = [f"__k{i}" for i in range(len(keys))]

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.alphabet import PROTEIN, Alphabet
@@ -25,7 +25,7 @@ from kmerloom.sources.shared import stored
 
 #: Characters of a chunk at which windows start.
 CHUNK = 1 << 20
-_PIECE = "file string, at long, number int, header string, line long, lines long, start long, length long, binary boolean, text string"
+_PIECE = "file string, at long, number int, header string, line long, lines long, start long, length long, binary boolean, cut boolean, text string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +67,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(starts),
                 pa.array(length),
                 pa.array(nul),
+                # records between others of a batch are whole: what is next to its ends may go on
+                pa.array((np.arange(n) == 0) | (np.arange(n) == n - 1)),
                 text,
             ]
             out = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PIECE.split(", ")])
@@ -77,35 +79,49 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Pieces:
-    """``pieces(file, record, header, line, start, length, binary, text)``: header only where the record begins, ``line`` the number in the file of the
-    piece's first line, ``start`` its place in the record from 0. A null record is text before the first header of a file."""
+    """``pieces(file, record, header, line, start, length, binary, cut, text)``: header only where the record begins, ``line`` the number in the file of the
+    piece's first line, ``start`` its place in the record from 0, ``cut`` false where the piece is known to be a whole record. A null record is text before the
+    first header of a file."""
 
     pieces: DataFrame
 
     def records(self) -> DataFrame:
-        """(record, header, line, length), a row each; the texts are not read."""
-        own = self.pieces.where("record IS NOT NULL").groupBy("record")
-        return own.agg(F.max("header").alias("header"), F.min("line").alias("line"), F.sum("length").alias("length"))
+        """(record, header, line, length), a row each; the texts are not read, and only records that may be cut are gathered."""
+        own = self.pieces.where("record IS NOT NULL")
+        gathered = own.where("cut").groupBy("record").agg(F.max("header").alias("header"), F.min("line").alias("line"), F.sum("length").alias("length"))
+        return own.where("NOT cut").select("record", "header", "line", "length").unionByName(gathered)
 
 
-def read_pieces(spark: SparkSession, path: str | list[str]) -> Pieces:
+def folder(file: str) -> Column:
+    return F.regexp_replace(file, "/[^/]*$", "")
+
+
+def read_pieces(spark: SparkSession, path: str | list[str], parts: bool = False) -> Pieces:
     """The records of FASTA files in pieces, written. Blank and ";" lines, blanks around lines and byte-order marks go. A record is told by its
-    file, its split's start, and its number there, in the order of the file."""
+    file, its split's start, and its number there, in the order of the file.
+
+    With ``parts`` the files of a folder, in the order of their names, are one file that many tasks wrote: it has the folder's name, records and line
+    numbers go on from part to part, and splits are told by their number. Parts end with a line break, as Spark's own do.
+    """
     ship(spark)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     held = stored(lines.mapInArrow(_cut, _PIECE), "pieces")
-    each = held.groupBy("file", "at", "number").agg(F.sum("length").alias("n"), F.sum("lines").alias("lines"))
-    splits = each.groupBy("file", "at").agg(F.max("number").alias("headers"), F.max_by("n", "number").alias("tail"), F.sum("lines").alias("lines"))
+    # a split's last record is cut, so whole ones need no group of their own
+    each = held.groupBy("file", "at", F.when(F.col("cut"), F.col("number")).alias("number")).agg(F.max("number").alias("headers"), F.sum("length").alias("n"), F.sum("lines").alias("lines"))
+    splits = each.groupBy("file", "at").agg(F.max("headers").alias("headers"), F.max_by("n", "number").alias("tail"), F.sum("lines").alias("lines"))
     # a row for each split: sums along a file run over its splits alone
-    past = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("of").orderBy("file", "at")
+    splits = splits.withColumn("of", folder("file") if parts else F.col("file")).withColumn("split", F.row_number().over(line).cast("long") if parts else F.col("at"))
+    past = line.rowsBetween(Window.unboundedPreceding, -1)
     sums = splits.withColumn("chars", F.coalesce(F.sum("tail").over(past), F.lit(0))).withColumn("above", F.coalesce(F.sum("lines").over(past), F.lit(0)))
-    owner = F.last(F.when(F.col("headers") > 0, F.struct("at", "headers", "chars")), True).over(past)
-    sums = stored(sums.withColumn("owner", owner).select("file", "at", "above", "owner", (F.col("chars") - F.col("owner.chars")).alias("base")), "splits")
+    owner = F.last(F.when(F.col("headers") > 0, F.struct(F.col("split").alias("at"), "headers", "chars")), True).over(past)
+    sums = stored(sums.withColumn("owner", owner).select("file", "at", "of", "split", "above", "owner", (F.col("chars") - F.col("owner.chars")).alias("base")), "splits")
     goes_on = F.col("number") == 0
-    record = F.when(goes_on, F.when(F.col("owner").isNotNull(), F.struct("file", F.col("owner.at").alias("at"), F.col("owner.headers").alias("number")))).otherwise(F.struct("file", "at", "number"))
+    record = F.when(goes_on, F.when(F.col("owner").isNotNull(), F.struct(F.col("of").alias("file"), F.col("owner.at").alias("at"), F.col("owner.headers").alias("number")))).otherwise(F.struct(F.col("of").alias("file"), F.col("split").alias("at"), "number"))
     start = F.col("start") + F.when(goes_on, F.coalesce("base", F.lit(0))).otherwise(0)
-    joined = held.join(sums, ["file", "at"])
-    return Pieces(joined.select("file", record.alias("record"), "header", (F.col("above") + F.col("line")).alias("line"), start.alias("start"), "length", "binary", "text"))
+    # the driver, which plans the splits, has as many rows
+    joined = held.join(F.broadcast(sums), ["file", "at"])
+    return Pieces(joined.select(F.col("of").alias("file"), record.alias("record"), "header", (F.col("above") + F.col("line")).alias("line"), start.alias("start"), "length", "binary", "cut", "text"))
 
 
 def chunks(own: Pieces, k: int, size: int = CHUNK) -> DataFrame:
@@ -145,10 +161,12 @@ def errors(own: Pieces) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     row = lambda kind, number=None, length=None, expected=None: (F.lit(kind).alias("error_type"), F.col("line").alias("line_number"), (number if number is not None else none("long")).alias("sequence_number"), (length if length is not None else none("long")).alias("length"), (expected if expected is not None else none("long")).alias("expected"))
     records = stored(own.records().select(F.col("record.file").alias("file"), "record.at", "record.number", "line", "length"), "records")
-    full = with_place(records.where("length > 0"), ["file"], [F.col("at"), F.col("number")])
+    full = records.where("length > 0")
+    full = with_place(full, ["file"], [F.col("at"), F.col("number")], n=full.count())
     full = stored(full, "numbered")
     expected = full.where("place = 1").select(F.col("file").alias("of"), F.col("length").alias("expected"))
-    wrong = full.join(expected, (F.col("file") == F.col("of")) & (F.col("length") != F.col("expected")))
+    # a row for each file, which the driver lists: the records of a file stay in many tasks
+    wrong = full.join(F.broadcast(expected), (F.col("file") == F.col("of")) & (F.col("length") != F.col("expected")))
     stray = own.pieces.where("record IS NULL AND length > 0").groupBy("file").agg(F.min("line").alias("line"))
     binary = own.pieces.where("binary").select("file", "line")
     out = records.where("length = 0").select("file", *row("empty_sequence"))

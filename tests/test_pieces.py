@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers
-from kmerloom.operators import features, validate
+from kmerloom.operators import features, ranks, validate
 from kmerloom.sources import fasta, pieces
 from kmerloom.sources.shared import together
 
@@ -232,3 +232,19 @@ def test_mapping_meets_no_pairs(spark, monkeypatch):
     own = spark.range(n // 2).selectExpr("id AS feature_id", "'DOMAIN' AS feature_type", "cast(id + 1 AS int) AS begin", "cast(id + 1000000 AS int) AS `end`")
     got = {x.feature_id: (x.msa_begin, x.msa_end) for x in features.map_features(own, to, msa).collect()}
     assert got == {i: (3 * i + 3, 3 * n) for i in range(n // 2)}
+
+
+def test_files_stay_in_many_tasks(spark, tmp_path, monkeypatch):
+    """The records of one file are neither joined nor sorted in one task, and whole ones are not gathered."""
+    (tmp_path / "x.fasta").write_text("".join(f">r{i}\nACD{'EF' * (i % 2)}\n" for i in range(1000)))
+    monkeypatch.setattr(ranks, "SORTED", 100)
+    assert ranks.in_order(spark.range(1000), ["id"], 1000).rdd.getNumPartitions() == 10
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = pieces.read_pieces(spark, str(tmp_path))
+        found = pieces.errors(own)
+        assert "hashpartitioning(file" not in plan(found.where("error_type = 'length_mismatch'").select("line_number", "expected"))
+        assert own.pieces.where("cut").count() == 1
+        assert found.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
