@@ -68,7 +68,7 @@ _ERROR = "struct<error_type string, message string, line_number bigint>"
 _REPORT = f"file string, is_valid boolean, sequence_count bigint, sequence_length bigint, sample_headers array<string>, alphabet string, errors array<{_ERROR}>, file_size_bytes bigint, file_modified_at timestamp"
 
 
-def report_files(spark: SparkSession, path: str | list[str], offenders: int = 5, samples: int = 3, texts: int = 10) -> DataFrame:
+def report_files(spark: SparkSession, path: str | list[str], offenders: int = 5, samples: int = 3, texts: int = 10, parts: bool = False) -> DataFrame:
     """A row for each FASTA file: file, is_valid, sequence_count, sequence_length, sample_headers, alphabet, errors(error_type, message, line_number),
     file_size_bytes, file_modified_at.
 
@@ -76,8 +76,8 @@ def report_files(spark: SparkSession, path: str | list[str], offenders: int = 5,
     files is ``file_not_found``; a file with null bytes is ``binary_file`` (at the first line of a piece that holds one), one without header lines, or
     without anything, ``no_headers``, one whose records are all empty ``no_sequences``: these have that one error, and neither
     sequences nor headers. Else come, by line, ``text_before_header``, the first ``offenders`` of ``empty_sequence`` (at the header's line; a file's last record too) and of
-    ``length_mismatch``; how many more there are of either stands last. Files are read once, line by line, and long ones by many tasks; errors are
-    cut to the first ones within tasks before they are gathered.
+    ``length_mismatch``; how many more there are of either stands last. Files are read once, line by line, and long ones by many tasks; records and
+    errors get places in order, of which the first are kept. With ``parts`` the files of a folder are the parts of one (``pieces.read_pieces``).
     """
     paths = [path] if isinstance(path, str) else list(path)
     lost = [p for p in paths if not _exists(spark, p)]
@@ -93,23 +93,29 @@ def report_files(spark: SparkSession, path: str | list[str], offenders: int = 5,
     every = spark.createDataFrame([(f,) for f in names], "file string")
     files = listed.select(meta["file_path"].alias("file"), meta["file_size"].alias("file_size_bytes"), meta["file_modification_time"].alias("file_modified_at"))
     files = every.join(files, "file", "left").withColumn("file_size_bytes", F.coalesce("file_size_bytes", F.lit(0).cast("long")))
-    own = pieces.read_pieces(spark, paths)
+    if parts:
+        files = files.groupBy(pieces.folder("file").alias("file")).agg(F.sum("file_size_bytes").alias("file_size_bytes"), F.max("file_modified_at").alias("file_modified_at"))
+    own = pieces.read_pieces(spark, paths, parts)
     order = [F.col("record.at"), F.col("record.number")]
     each = stored(own.records().select(F.col("record.file").alias("file"), "record", "header", "line", "length", (F.col("length") > 0).alias("full")), "records")
     # places among a file's full records and among its empty ones; headers have places of their own
-    placed = stored(with_place(each, ["file", "full"], order), "placed")
-    heads = stored(each.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(*order))).where(F.col("r") <= samples), "heads")
+    placed = stored(with_place(each, ["file", "full"], order, n=each.count()), "placed")
+    # the first of all are among the first of either
+    early = placed.where(F.col("place") <= samples)
+    heads = early.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(*order))).where(F.col("r") <= samples)
     sampled = heads.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "header"))), lambda x: x["header"]).alias("sample_headers"))
     first = placed.where("full AND place = 1").select("file", F.col("length").alias("sequence_length"))
     counts = placed.groupBy("file").agg(F.count_if("full").alias("sequence_count"), F.count(F.lit(1)).alias("records"))
     some = placed.where(F.col("full") & (F.col("place") <= texts)).select("record")
     letters = own.pieces.join(F.broadcast(some) if texts * len(names) <= 100_000 else some, "record").groupBy("file").agg(*_letters("text"))
-    wrong = placed.where("full").join(first, "file").where("length <> sequence_length")
-    said = F.format_string("Sequence %d has length %d, expected %d: sequences of an alignment have one length", "place", "length", "sequence_length")
+    # one row a file is sent: the records of a file stay in many tasks
+    wrong = placed.where("full").join(F.broadcast(first), "file").where("length <> sequence_length").select("file", "line", F.col("place").alias("number"), "length", "sequence_length")
+    wrong = stored(with_place(wrong, ["file"], [F.col("line")], n=wrong.count()), "wrong")
+    said = F.format_string("Sequence %d has length %d, expected %d: sequences of an alignment have one length", "number", "length", "sequence_length")
     nothing = F.format_string("Empty sequence for the header at line %d", "line")
     kinds = [
-        _first_of(wrong.select("file", "line", said.alias("message")), "length_mismatch", "length mismatches", offenders),
-        _first_of(placed.where("NOT full").select("file", "line", nothing.alias("message")), "empty_sequence", "empty sequences", offenders),
+        _first_of(wrong.select("file", "line", "place", said.alias("message")), "length_mismatch", "length mismatches", offenders),
+        _first_of(placed.where("NOT full").select("file", "line", "place", nothing.alias("message")), "empty_sequence", "empty sequences", offenders),
         own.pieces.where("record IS NULL AND length > 0").groupBy("file").agg(F.min("line").alias("line")).select("file", F.lit("text_before_header").alias("error_type"), F.lit("Text before the first header").alias("message"), "line"),
     ]
     rank = F.when(F.col("line").isNull(), 1).otherwise(0)
@@ -138,8 +144,8 @@ def report_files(spark: SparkSession, path: str | list[str], offenders: int = 5,
 
 
 def _first_of(found: DataFrame, kind: str, name: str, n: int) -> DataFrame:
-    """(file, error_type, message, line) of the first n rows(file, line, message) of each file, and one without a line that says how many more there are."""
-    first = found.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("line"))).where(F.col("r") <= n)
+    """(file, error_type, message, line) of the first n rows(file, line, place, message) of each file, and one without a line that says how many more there are."""
+    first = found.where(F.col("place") <= n)
     more = found.groupBy("file").agg((F.count(F.lit(1)) - n).alias("more")).where("more > 0")
     rest = more.select("file", F.lit(kind).alias("error_type"), F.format_string(f"... and %d more {name}", "more").alias("message"), F.lit(None).cast("long").alias("line"))
     return first.select("file", F.lit(kind).alias("error_type"), "message", "line").unionByName(rest)

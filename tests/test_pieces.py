@@ -234,6 +234,24 @@ def test_mapping_meets_no_pairs(spark, monkeypatch):
     assert got == {i: (3 * i + 3, 3 * n) for i in range(n // 2)}
 
 
+def test_parts_are_one_file(spark, tmp_path, small_splits):
+    """Errors and reports of a file that many tasks wrote are those of the file in one piece, records over the ends of parts too."""
+    r = random.Random(12)
+    lines = ["lost text"] + [x for i in range(600) for x in (f">r{i}", *(["; note"] if i % 7 == 0 else []), *([] if i % 50 == 3 else ["MKVLQE", "F"] if i % 40 == 9 else ["MKVLQEFP", "IW"]))]
+    whole, cut = tmp_path / "whole" / "f=0", tmp_path / "cut" / "f=0"
+    for at in (whole, cut):
+        at.mkdir(parents=True)
+    (whole / "part-00000").write_text("\n".join(lines) + "\n")
+    ends = [0, *sorted(r.sample(range(1, len(lines)), 12)), len(lines)]
+    for i in reversed(range(13)):
+        (cut / f"part-{i:05d}").write_text("".join(x + "\n" for x in lines[ends[i] : ends[i + 1]]))
+    found = [sorted(map(repr, pieces.errors(pieces.read_pieces(spark, str(at.parent), parts=True)).drop("file").collect())) for at in (whole, cut)]
+    assert found[0] == found[1] and len(found[0]) == 12 + 15 + 1
+    one, many = (validate.report_files(spark, str(at.parent), parts=True).drop("file_modified_at").collect() for at in (whole, cut))
+    assert [x.asDict() | {"file": ""} for x in one] == [x.asDict() | {"file": ""} for x in many]
+    assert len(many) == 1 and many[0]["file"].endswith("/cut/f=0") and many[0]["sample_headers"] == ["r0", "r1", "r2"] and many[0]["file_size_bytes"] == (whole / "part-00000").stat().st_size
+
+
 def test_files_stay_in_many_tasks(spark, tmp_path, monkeypatch):
     """The records of one file are neither joined nor sorted in one task, and whole ones are not gathered."""
     (tmp_path / "x.fasta").write_text("".join(f">r{i}\nACD{'EF' * (i % 2)}\n" for i in range(1000)))
