@@ -199,6 +199,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, halves: bool = True,
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``number`` is among ``wanted(number)``. What is sent is a bit for each number, in blocks of 32,768, so no row is shuffled:
+    some 1.6 MB for 13 million rows."""
+    at = F.bitmap_bit_position("number")
+    bits = wanted.groupBy(F.bitmap_bucket_number("number").alias("__block")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    return rows.withColumn("__block", F.bitmap_bucket_number("number")).join(F.broadcast(bits), "__block").where(has).select(*rows.columns)
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with exactly one row of each near-duplicate class: that with the smallest doc_id, nulls last, and of several such rows that
     with the smallest text. Rows are told apart by a number of their own, so repeated and null ids join no classes; null and blank texts
@@ -212,10 +222,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     ends = written(ids.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number", "n")).alias("x")).select("class", "x.*"), "ends")
     # only where ids tie are texts compared
     tied = written(ends.where("n > 1").select("class", F.col("id").alias("least")), "ties")
-    ties = each.join(tied, "class").where("id <=> least").select("class", "number").join(own.select("number", "row.text"), "number")
+    ties = written(each.join(tied, "class").where("id <=> least").select("class", "number"), "tied")
+    ties = ties.join(among(own.select("number", "row.text"), ties), "number")
     least = ties.groupBy("class").agg(F.min(F.struct("text", "number")).alias("x")).select("x.number")
     best = written(ends.where("n = 1").select("number").unionByName(least), "kept")
-    return own.join(best, "number", "left_semi").select("row.*")
+    return among(own, best).select("row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

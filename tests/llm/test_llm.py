@@ -770,3 +770,19 @@ def test_pipeline(spark, tmp_path):
     assert {i: r.text for i, r in masked.items() if i != 183} == {i: r.text for i, r in clean.items() if i != 183}
     assert {i: r.decoded_sha256 for i, r in coded.items()} == {i: byte_bpe.sha((r.text or "").encode()) for i, r in masked.items()}
     assert corpus_pipeline.run(spark, d).count() == len(coded)
+
+
+def test_kept_texts_are_not_shuffled(spark):
+    """Rows are picked by bits of their numbers: the same as a join, over blocks and partitions, and no text moves."""
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 65537, (1 << 33), (1 << 33) + 1, (1 << 33) + 32768, (5 << 33) + 3]
+    rows = spark.createDataFrame([(n, f"t{n}") for n in numbers], "number long, text string")
+    for some in (numbers[::2], numbers[1::2], [], numbers):
+        wanted = spark.createDataFrame([(n,) for n in [*some, 99, 4 << 33]], "number long")
+        assert sorted(r.number for r in simhash.among(rows, wanted).collect()) == some
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(docs_of(spark, ["a b c d e f", "a b c d e f", "other words of some length", None]))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
