@@ -16,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import ship, table
+from kmerloom.llm.common import kept, ship, table
 
 CACHE_WORDS = 200_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 _LONG = 256
 #: A pattern of which no match crosses a single space before other text, nor a single line end.
 _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CODECS: dict[tuple[str, str], Codec] = {}
 
 
 class Codec:
@@ -221,9 +220,7 @@ class Codec:
 
 
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return kept(("byte_bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def _files() -> tuple[str, str]:

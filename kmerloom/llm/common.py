@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +16,32 @@ from pyspark.sql import functions as F
 
 from kmerloom.ship import ship  # noqa: F401
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What this Python worker keeps from task to task: one thing at most, as workers are used again by other operators' tasks.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept by the worker for the next task that asks for the same key; anything else goes."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Frees what earlier tasks, of whichever operator, have left in this worker."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
 #: Rows that Python handles at once: batches of the session's size, ten thousand texts by default, are taken in slices of it.
 BATCH_ROWS = 1000
 

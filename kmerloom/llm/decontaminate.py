@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.llm.common import ship, sliced, table, written
+from kmerloom.llm.common import let_go, ship, sliced, table, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -141,6 +141,11 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+def _raw(b: pa.RecordBatch) -> pa.Array:
+    """The texts as UTF-8, in the memory of the batch."""
+    return b.column(b.schema.names.index("text")).cast(pa.binary())
+
+
 #: What the matcher adds to a row.
 FOUND = "__words long, __spans array<struct<start:int,end:int>>, __items array<string>"
 _OURS = ("__words", "__spans", "__items")
@@ -152,10 +157,11 @@ def _matcher(held: list, cut: bool):
     so a short one is a whole short item."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         autos: list[Automaton] = [pickle.loads(h.value) for h in held]
         for b in sliced(batches):
             n_words, spans, items = [], [], []
-            for text in b.column(b.schema.names.index("__bytes")):
+            for text in _raw(b):
                 seq = words(text.as_py())
                 own: list[tuple[int, int]] = []
                 found: set[str] = set()
@@ -185,7 +191,7 @@ def _finisher(cut: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             spans = [[{"start": x, "end": y} for x, y in _merged([(s["start"], s["end"]) for s in own or ()], [])] for own in b.column("__spans").to_pylist()]
-            yield _with(b, cut, [len(words(t)) for t in b.column("__bytes").to_pylist()], spans, [x or [] for x in b.column("__items").to_pylist()])
+            yield _with(b, cut, [len(words(t.as_py())) for t in _raw(b)], spans, [x or [] for x in b.column("__items").to_pylist()])
 
     return finish
 
@@ -220,17 +226,17 @@ def _matched(docs: DataFrame, benchmark: DataFrame, window: int, block_words: in
     n = built.count()
     found = T._parse_datatype_string(FOUND).fields
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(True).alias("none")]
-    own = docs.select(F.struct(*others).alias("__row"), "text", F.col("text").cast("binary").alias("__bytes"))
+    own = docs.select(F.struct(*others).alias("__row"), "text")
     send = spark.sparkContext.broadcast
     if n <= at_once:
         held = [send(a) for a in _one_by_one(built)] or [send(pickle.dumps(Automaton([], window)))]
-        return own.mapInArrow(_matcher(held, cut), T.StructType([*own.schema.fields, *found])).drop("__bytes")
+        return own.mapInArrow(_matcher(held, cut), T.StructType([*own.schema.fields, *found]))
     # more than a task can hold: every pass writes the spans it found, by number of row, and lets its automatons go
     own = written(own.withColumn("__number", F.monotonically_increasing_id()), "documents")
     held, passes = [], []
 
     def run() -> None:
-        key = own.select("__number", "__bytes")
+        key = own.select("__number", "text")
         hits = key.mapInArrow(_matcher(held, False), T.StructType([*key.schema.fields, *found])).where(F.size("__items") > 0)
         passes.append(written(hits.select("__number", "__spans", "__items"), "pass"))
         for h in held:
@@ -246,8 +252,8 @@ def _matched(docs: DataFrame, benchmark: DataFrame, window: int, block_words: in
     each = reduce(DataFrame.unionByName, passes)
     merged = each.groupBy("__number").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
     # a table of the rows that were hit, of known size: the texts are only shuffled if it is too large to send
-    both = own.join(written(merged, "hits"), "__number", "left").select("__row", "text", "__bytes", F.lit(None).cast("long").alias("__words"), "__spans", "__items")
-    return both.mapInArrow(_finisher(cut), both.schema).drop("__bytes")
+    both = own.join(written(merged, "hits"), "__number", "left").select("__row", "text", F.lit(None).cast("long").alias("__words"), "__spans", "__items")
+    return both.mapInArrow(_finisher(cut), both.schema)
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False, at_once: int = AT_ONCE) -> DataFrame:

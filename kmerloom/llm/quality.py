@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.llm.common import ship, sliced, table
+from kmerloom.llm.common import let_go, ship, sliced, table
 
 #: At most so many labelled rows, and so many bytes of their texts, train the model: those with the smallest hash of their id and text.
 #: The bounds of the one training task.
@@ -174,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_
     rows = own.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"), F.first("y").alias("y")).select("id", "text", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         got = sorted((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)), key=lambda r: (r[0], r[1]))
         vectors, out = train([r[1] for r in got], [r[2] for r in got])
         yield pa.RecordBatch.from_arrays([pa.array([vectors.tobytes()]), pa.array([out.tobytes()])], names=["vectors", "out"])
@@ -189,18 +190,21 @@ def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         vectors, out = held.value
         words = Words(vectors)
         for b in sliced(batches):
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            # the text is taken from the row: a column beside it would send it twice
+            texts = [t or "" for t in b.column(0).flatten()[at].to_pylist()]
             hidden = np.concatenate([np.zeros((0, DIM))] + [words.means([t.split() for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)])
             logits = hidden @ out[:DIM] + out[DIM]
             p = 1 / (1 + np.exp(logits[:, 0] - logits[:, 1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["row", "score"])
 
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return own.mapInArrow(scored, T.StructType([own.schema["row"], T.StructField("score", T.DoubleType())]))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import fresh_path, ship, table, written
+from kmerloom.llm.common import fresh_path, kept, ship, table, written
 
 END = 2
 CACHE_CHUNKS = 400_000
@@ -32,7 +32,6 @@ _MARK = "0"
 _TAIL = ".,;:!?*&%$#"
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
-_CODERS: dict[str, Coder] = {}
 
 
 class Coder:
@@ -101,9 +100,7 @@ class Coder:
 
 
 def coder(path: str) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    return kept(("token_orc", path), lambda: Coder(path))
 
 
 def _file() -> str:
