@@ -30,6 +30,8 @@ SCHEMA = "doc_id long, part int, place long, ids array<int>"
 _MARK = "0"
 #: Punctuation that may follow a word; special tokens end in none of it.
 _TAIL = ".,;:!?*&%$#"
+#: Letters that the tokenizer's normalizer leaves alone but for their case, one for one, and such a tail: one word of its split, then one of punctuation.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?*&%$#]*)").fullmatch
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
@@ -48,24 +50,53 @@ class Coder:
         self.pieces: dict[str, bytes] = {"": b""}
         only = self._ids(_MARK)
         self.mark = only[0] if len(only) == 1 else None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool) if suffix else None
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, new: list[str]) -> None:
-        """Put the ids of new chunks into the cache. A chunk that ends in ASCII punctuation after an ASCII letter is cut there, as the
-        tokenizer cuts it; plain ASCII words go in lower case, as it makes them; so fewer are new to it."""
-        bodies = [c.rstrip(_TAIL) for c in new]
-        bodies = [b if b and b[-1].isalpha() and b[-1].isascii() else c for b, c in zip(bodies, new, strict=True)]
-        tails = [c[len(b) :] for b, c in zip(bodies, new, strict=True)]
-        bodies = [b.lower() if b.isascii() and b.isalpha() else b for b in bodies]
+        """Put the ids of new chunks into the cache. A chunk that ends in ASCII punctuation after a letter is cut there, as the
+        tokenizer cuts it; plain words go in lower case, as it makes them; so fewer are new to it."""
+        cut = [m.groups() if m else None for m in map(_PLAIN, new)]
+        odd = [i for i, x in enumerate(cut) if x is None]
+        for i in odd:
+            c = new[i]
+            b = c.rstrip(_TAIL)
+            cut[i] = (b, c[len(b) :]) if b and b[-1].isalpha() and b[-1].isascii() else (c, "")
+        bodies, tails = [b for b, _ in cut], [t for _, t in cut]
+        rest = [bodies[i] for i in odd]
+        for i in odd:
+            bodies[i] = ""
+        bodies = list(map(str.lower, bodies))
         pieces = self.pieces
-        fresh = list(set(bodies).union(tails).difference(pieces))
-        self.ask(fresh)
+        plain = list(set(bodies).difference(pieces))
+        other = list(set(rest).union(tails).difference(pieces, plain))
+        self.ask_words(plain)
+        self.ask(other)
+        for i, b in zip(odd, rest, strict=True):
+            bodies[i] = b
         self.cache.update(zip(new, [pieces[b] + pieces[t] for b, t in zip(bodies, tails, strict=True)], strict=True))
-        for c in fresh if len(pieces) > CACHE_CHUNKS else [c for c in fresh if len(c) > 1000]:
+        full = len(pieces) > CACHE_CHUNKS
+        for c in (c for x in (plain, other) for c in x if full or len(c) > 1000):
             del pieces[c]
 
+    def ask_words(self, new: list[str]) -> None:
+        """Put the tokenizer's ids of new plain words among the pieces. Many go as one text; as each is one word of its split, it ends with the one id
+        that marks the end of a word. Where the numbers of both differ, they are asked with marks between."""
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            ids = np.array(self._ids(" ".join(part)), "<i4") if self.last is not None else np.empty(0, "<i4")
+            ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else ids
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self.ask(part)
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            self.pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+
     def ask(self, new: list[str]) -> None:
         """Put the tokenizer's ids of new pieces among the pieces. Many go as one text with marks between, a word that none of them holds and that has an id
         to itself, as a call for each costs more than its ids."""
