@@ -24,12 +24,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,26 +40,81 @@ SHARE = 0.7
 MODEL, CLASSES, REST = 2048, 32, 64
 DIM = HIDDEN = 16
 WINDOW, LANES, SCORE_LANES = 32, 256, 256
+#: Scoring carries the state on from window to window, so its windows are as long as suits the machine.
+SCORE_WINDOW = 64
 ROUNDS = 4
 #: Tokens that a learner sees in a round, about: so many for each parameter, and the least.
 PER_PARAMETER, LEARN_TOKENS = 4, 500_000
 RATE = 0.08
 BLOCK = 4096
+#: Numbers that a core's cache holds, about: larger arrays are gone through in blocks of so many.
+CACHED = 1 << 16
 CHUNK_TOKENS = 1 << 22
 #: The end of a text among the words, none of which is empty.
 END = b""
 LOG10 = math.log(10)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words in lower case (A-Z only), without the end."""
-    return (text or b"").lower().split()
+#: Bytes of text that are cut into words at once; a longer text is handled by itself.
+TEXT_BYTES = 1 << 21
+SPACES = b" \t\n\v\f\r"
+#: A-Z to lower case, and any space to a blank.
+LOWER = bytes.maketrans(SPACES, b" " * len(SPACES)).lower()
+
+
+def give_back() -> None:
+    """Returns memory that Arrow holds for later to the machine: workers are used again, by tasks that need theirs elsewhere."""
+    pa.default_memory_pool().release_unused()
+
+
+def sized(texts: pa.BinaryArray, most: int = TEXT_BYTES) -> Iterator[slice]:
+    """Cuts of the texts, none empty, of at most so many bytes or of one text."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def tokens(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of the texts one after the other, in lower case (A-Z only) and without ends, and how many each text has."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    first, last = int(offsets[0]), int(offsets[-1])
+    if first == last:
+        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+    raw = texts.buffers()[2].slice(first, last - first).to_pybytes()
+    word = np.frombuffer(raw.translate(LOWER), np.uint8) != 32
+    # a word starts at a byte of it after a space or at the start of a text
+    start = word.copy()
+    np.greater(word[1:], word[:-1], out=start[1:])
+    edges = offsets - first
+    heads = edges[:-1][edges[:-1] < last - first]
+    start[heads] = word[heads]
+    per_text = np.diff(np.searchsorted(np.flatnonzero(start), edges))
+    own = raw.translate(LOWER, SPACES)
+    at = np.append(np.flatnonzero(start[word]), len(own)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(own)]), per_text
 
 
 def rest_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % REST
 
 
+#: The rest classes of words that end in two given bytes, and of words of one byte.
+REST_OF_TWO = np.array([rest_class(bytes([a, b])) for a in range(256) for b in range(256)], np.int32).reshape(256, 256)
+REST_OF_ONE = np.array([rest_class(bytes([a])) for a in range(256)], np.int32)
+
+
+def rest_classes(words: pa.BinaryArray) -> np.ndarray:
+    """``rest_class`` of each of the words, none of which is empty."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    data, last = np.frombuffer(words.buffers()[2], np.uint8), offsets[1:] - 1
+    return np.where(last > offsets[:-1], REST_OF_TWO[data[last - 1], data[last]], REST_OF_ONE[data[last]])
+
+
 def modelled(counts: np.ndarray, total: int) -> int:
     """How many of the commonest words, given by falling count, the network knows: all up to SHARE of the tokens, MODEL at least."""
     return min(len(counts), max(MODEL, int(np.searchsorted(np.cumsum(counts), SHARE * total)) + 1))
@@ -70,7 +124,7 @@ class Vocabulary:
     """The commonest words with counts, ordered by falling count, and the totals that scores need."""
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, rest: list[tuple[int, int]]):
-        self.rank = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.count = np.array(counts, np.int64)
         self.total, self.distinct = total, distinct
         self.model = modelled(self.count, total)
@@ -82,19 +136,29 @@ class Vocabulary:
         at = np.minimum((np.cumsum(mass) - mass) / max(mass.sum(), 1e-9) * self.classes, self.classes - 1).astype(np.int64)
         self.class_of = np.concatenate([at, np.array([self.classes + rest_class(w) for w in words[self.model :]], np.int64)])
         self.start = np.searchsorted(at, np.arange(self.classes + 1))
-        self.end = self.rank.get(END, -1)
-
-    def code(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
-        """For each token its rank, or -1 - rest class where it is not among the commonest words, and those other words."""
-        words = tokens(text)
-        words.append(END)
-        get = self.rank.get
-        ranks = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-        other = np.flatnonzero(ranks < 0).tolist()
-        rare = [words[i] for i in other]
-        if rare:
-            ranks[other] = [-1 - rest_class(w) for w in rare]
-        return ranks, rare
+
+    def code(self, texts: pa.BinaryArray) -> tuple[pa.BinaryArray, pa.ListArray]:
+        """For each text the ranks of its tokens (little-endian 32-bit integers), -1 - rest class where one is not among the commonest words,
+        and those other words with how often they occur. Each distinct word is looked up once."""
+        words, per_text = tokens(texts)
+        coded = words.dictionary_encode()
+        # the end is the last of the distinct words
+        distinct = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+        ranks = pc.fill_null(pc.index_in(distinct, self.words), -1).to_numpy()
+        ranks = np.where(ranks < 0, -1 - np.append(rest_classes(coded.dictionary), np.int32(rest_class(END))), ranks)
+        ends = np.concatenate(([0], np.cumsum(per_text + 1)))
+        text = np.repeat(np.arange(len(texts)), per_text + 1)
+        each = np.full(ends[-1], len(distinct) - 1, np.int32)
+        is_word = np.ones(len(each), bool)
+        is_word[ends[1:] - 1] = False
+        each[is_word] = coded.indices.to_numpy()
+        own = ranks[each].astype("<i4", copy=False)
+        rare = np.flatnonzero(own < 0)
+        pairs, n = np.unique(text[rare] * len(distinct) + each[rare], return_counts=True)
+        found = distinct.take(pa.array(pairs % len(distinct)))
+        counts = pa.StructArray.from_arrays([found, pa.array(n, pa.int32())], names=["word", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1) * len(distinct)), pa.int32()), counts)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(own)]), lists
 
     def inputs(self, ranks: np.ndarray) -> np.ndarray:
         """Input rows: a word's own if it is in the model, else its class's."""
@@ -124,7 +188,8 @@ class Network:
 
     def bound(self) -> float:
         """What no logit exceeds, as states are within -1 and 1."""
-        return float(max(np.abs(self.cw).sum(0).max(), np.abs(self.ow).sum(1).max()))
+        most, one, size = float(np.abs(self.cw).sum(0).max()), np.ones(HIDDEN + 1, np.float32), CACHED // (HIDDEN + 1)
+        return max(most, *(float((np.abs(self.ow[a : a + size]) @ one).max()) for a in range(0, len(self.ow), size)))
 
     @classmethod
     def fresh(cls, v: Vocabulary, seed: int = 5) -> np.ndarray:
@@ -144,24 +209,34 @@ class Network:
 Network.SIZE = Network.size()
 
 
+#: What the gates' weights are multiplied by before use: ``_sigmoid`` takes half of its argument.
+HALF = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)) as a tanh, which needs no bounds, in place."""
-    x *= np.float32(0.5)
+    """1 / (1 + exp(-2x)) as a tanh, which needs no bounds, in place."""
     np.tanh(x, out=x)
     x += np.float32(1)
     x *= np.float32(0.5)
     return x
 
 
-def _softmax(x: np.ndarray, rows: np.ndarray, to: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
-    """log softmax of each row at ``to``; x becomes exp(x), of which the row sums are given. With ``shift``, where exp might leave the range
-    of floats, rows are first moved to a maximum of 0."""
+def _softmax(x: np.ndarray, at: np.ndarray, shift: bool, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logit of each row at its place among all of x, and the row sums of exp(x), which x becomes: the log softmax is the former less the
+    log of the latter. With ``shift``, where exp might leave the range of floats, rows are first moved to a maximum of 0."""
     if shift:
         x -= x.max(1, keepdims=True)
-    own = x[rows, to]
+    own = x.reshape(-1).take(at)
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], np.float32)
-    return own - np.log(total), total
+    return own, x @ ones
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order of whole numbers from 0 on, sorted by 16 bits at a time, as numpy sorts those by counting."""
+    low = np.argsort(x.astype(np.uint16), kind="stable")
+    if not len(x) or x.max() < 1 << 16:
+        return low
+    return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")]
 
 
 def pack(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,11 +297,16 @@ class Runner:
         del place, ins, cls, flat
         h = np.zeros((HIDDEN, number.shape[1]), np.float32)
         logs = np.zeros(number.shape, np.float32)
-        for at in range(0, len(number), WINDOW):
+        most, steps = math.inf, WINDOW if rate else SCORE_WINDOW
+        for at in range(0, len(number), steps):
             n = int(live[at].sum())
-            s = (slice(at, at + WINDOW), slice(0, n))
+            s = (slice(at, at + steps), slice(0, n))
+            if most > 60:
+                most = self.net.bound()
+            self.shift = most > 60
             h, logp = self.window(x[s], y[s], c[s], keep[s].astype(np.float32), live[s], h[:, :n], rate)
             logs[s] = logp.reshape(-1, n)
+            most += (HIDDEN + 1) * rate  # a step moves no weight by more than the rate
         return np.bincount(number[live], logs[live].astype(np.float64), len(texts))
 
     def window(self, x, y, c, keep, live, h, rate):
@@ -235,15 +315,19 @@ class Runner:
         total_rows = steps * lanes
         emb = np.take(net.emb, x.ravel(), 0, out=buffer("emb", total_rows, DIM), mode="clip")
         # within the recurrence, features come before lanes: each gate is then one piece of memory
-        gates = np.matmul(net.wx.T, emb.reshape(steps, lanes, DIM).transpose(0, 2, 1), out=buffer("gates", steps, 3 * HIDDEN, lanes))
-        gates += net.b[:, None]
-        hs, kept, inner, part = buffer("hs", steps + 1, HIDDEN, lanes), buffer("kept", steps, HIDDEN, lanes), buffer("inner", steps, 3 * HIDDEN, lanes), buffer("part", HIDDEN, lanes)
-        wh = np.ascontiguousarray(net.wh.T)
+        gates = np.matmul((net.wx * HALF).T, emb.reshape(steps, lanes, DIM).transpose(0, 2, 1), out=buffer("gates", steps, 3 * HIDDEN, lanes))
+        bias = (net.b * HALF)[:, None]
+        hs, part = buffer("hs", steps + 1, HIDDEN, lanes), buffer("part", HIDDEN, lanes)
+        # what learning goes back over is kept for each step
+        stored = steps if rate else 1
+        kept, inner = buffer("kept", stored, HIDDEN, lanes), buffer("inner", stored, 3 * HIDDEN, lanes)
+        wh = np.ascontiguousarray((net.wh * HALF).T)
         hs[0] = h
         for t in range(steps):
-            p, u, g, out = kept[t], inner[t], gates[t], hs[t + 1]
+            p, u, g, out = kept[t % stored], inner[t % stored], gates[t], hs[t + 1]
             np.multiply(hs[t], keep[t], out=p)
             np.matmul(wh, p, out=u)
+            g += bias
             zr = g[: 2 * HIDDEN]
             zr += u[: 2 * HIDDEN]
             _sigmoid(zr)
@@ -258,42 +342,62 @@ class Runner:
         top[:, :, HIDDEN] = 1
         top = top.reshape(-1, HIDDEN + 1)
         live, y, c = live.ravel(), y.ravel(), c.ravel()
-        rows = np.arange(total_rows)
-        shift = net.bound() > 60
-        logits = np.matmul(top, net.cw, out=buffer("logits", total_rows, self.v.classes + REST))
-        logp, total = _softmax(logits, rows, c, shift)
-        # words within their class, class by class
+        rows, shift = np.arange(total_rows), self.shift
+        # softmaxes are differentiated without going over all of them once more: what is divided by their sums are narrower factors
+        # classes, in blocks of rows that stay in a core's cache from step to step
         classes, ow = self.v.classes, net.ow
+        logp, back, dcw = np.empty(total_rows, np.float32), buffer("back", total_rows, HIDDEN), np.zeros((classes + REST, HIDDEN + 1), np.float32)
+        across = np.ascontiguousarray(net.cw[:HIDDEN].T)
+        size, ones = max(64, CACHED // (classes + REST)), np.ones(classes + REST, np.float32)
+        for a in range(0, total_rows, size):
+            s = slice(a, min(a + size, total_rows))
+            at = rows[: s.stop - a] * (classes + REST) + c[s]
+            logits = np.matmul(top[s], net.cw, out=buffer("logits", len(at), classes + REST))
+            own, total = _softmax(logits, at, shift, ones)
+            logp[s] = own - np.log(total)
+            if rate:
+                logits.reshape(-1)[at] -= total
+                share = (live[s] / total)[:, None]
+                np.matmul(logits, across, out=back[s])
+                back[s] *= share
+                dcw += logits.T @ (top[s] * share)
+        # words within their class, class by class
         known = np.flatnonzero(live & (c < classes))
-        known = known[np.argsort(c[known], kind="stable")]
+        known = known[_order(c[known])]
         edges = np.searchsorted(c[known], np.arange(classes + 1)).tolist()
         start = self.v.start.tolist()
         states = np.take(top, known, 0, out=buffer("states", len(known), HIDDEN + 1), mode="clip")
-        words, within, inner_back = y[known], np.zeros(len(known), np.float32), buffer("inner_back", len(known), HIDDEN)
+        inner_back, own, totals = buffer("inner_back", len(known), HIDDEN), np.zeros(len(known), np.float32), np.ones(len(known), np.float32)
+        width, ones = np.diff(self.v.start), np.ones(max(len(ow), 1), np.float32)
+        ck = c[known]
+        places = (rows[: len(known)] - np.array(edges)[ck]) * width[ck] + (y[known] - self.v.start[ck])
+        met: list[list[int]] = []
         if rate:
             inner_back[:], grad = 0, buffer("grad", *ow.shape)
-            grad[:] = 0
         for k in range(classes):
             a, b = edges[k], edges[k + 1]
             lo, hi = start[k], start[k + 1]
             if a == b or hi - lo == 1:
                 continue
             q = np.matmul(states[a:b], ow[lo:hi].T, out=buffer("q", b - a, hi - lo))
-            to, i = words[a:b] - lo, rows[: b - a]
-            within[a:b], total_k = _softmax(q, i, to, shift)
+            at = places[a:b]
+            own[a:b], total = _softmax(q, at, shift, ones[: hi - lo])
+            totals[a:b] = total
             if rate:
-                q /= total_k[:, None]
-                q[i, to] -= 1
+                q.reshape(-1)[at] -= total
                 np.matmul(q, ow[lo:hi, :HIDDEN], out=inner_back[a:b])
-                np.matmul(q.T, states[a:b], out=grad[lo:hi])
-        logp[known] += within
+                np.matmul(q.T, states[a:b] / total[:, None], out=grad[lo:hi])
+                if met and met[-1][1] == lo:
+                    met[-1][1] = hi
+                else:
+                    met.append([lo, hi])
+        logp[known] += own - np.log(totals)
         if rate:
-            logits *= (live / total)[:, None]
-            logits[rows, c] -= live
-            back = np.matmul(logits, net.cw[:HIDDEN].T, out=buffer("back", total_rows, HIDDEN))
+            inner_back /= totals[:, None]
             back[known] += inner_back
-            self._step("cw", top.T @ logits, rate)
-            self._step("ow", grad, rate)
+            self._step("cw", np.ascontiguousarray(dcw.T), rate)
+            for lo, hi in met:  # words of other classes have no gradient
+                self._step("ow", grad[lo:hi], rate, slice(lo, hi))
             self._back(x, keep, back.reshape(steps, lanes, HIDDEN), emb, kept, gates, inner, rate)
         return hs[-1].copy(), logp
 
@@ -328,42 +432,54 @@ class Runner:
         self._step("b", np.ones(len(flat), np.float32) @ flat, rate)
         self._step("wh", dwh, rate)
         ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = _order(ids)
         edge = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))
         moved = np.take(demb, order, 0, out=buffer("moved", steps * lanes, DIM), mode="clip")
         self._step("emb", np.add.reduceat(moved, edge), rate, ids[order][edge])
 
     def _step(self, name, g, rate, at=slice(None)):
         """Each weight moves by its gradient over the root of the sum of its squares so far."""
-        w, s = getattr(self.net, name), getattr(self.squares, name)
-        np.minimum(np.maximum(g, -50, out=g), 50, out=g)
-        own = np.multiply(g, g, out=self.buffer("own", *g.shape))
-        own += s[at]
-        s[at] = own
-        np.sqrt(own, out=own)
-        g *= np.float32(rate)
-        g /= own
-        w[at] -= g
+        w, s = getattr(self.net, name)[at], getattr(self.squares, name)[at]
+        size = max(1, CACHED // math.prod(g.shape[1:]))
+        for a in range(0, len(g), size):
+            d, root = g[a : a + size], s[a : a + size]
+            np.clip(d, -50, 50, out=d)
+            own = np.multiply(d, d, out=self.buffer("own", *d.shape))
+            root += own
+            np.sqrt(root, out=own)
+            d *= np.float32(rate)
+            d /= own
+            w[a : a + size] -= d
+        if not isinstance(at, slice):
+            getattr(self.net, name)[at], getattr(self.squares, name)[at] = w, s
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts of ``docs(text)``, with the end of each text as the empty word. Tasks count before rows are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        def summed():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
+        rows = 0
         for b in batches:
-            for t in b.column(0):
-                held.update(tokens(t.as_py()))
-            held[END] += b.num_rows
-            if len(held) > 400_000:
-                yield rows()
-                held.clear()
+            held.append(pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([b.num_rows], pa.int64())}))
+            for s in sized(b.column(0)):
+                words, c = tokens(b.column(0)[s])[0].value_counts().flatten()
+                held.append(pa.table({"word": words, "c": c}))
+                rows += len(words)
+                if rows > 600_000:
+                    held = [summed()]
+                    rows = held[0].num_rows
+                    if rows > 400_000:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
         if held:
-            yield rows()
+            yield from summed().to_batches()
+        held.clear()
+        give_back()
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
@@ -411,20 +527,11 @@ def coded(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                ranks, words, counts, ends = [], [], [], [0]
-                for t in b.column(2):
-                    own, rare = held.value.code(t.as_py())
-                    ranks.append(own.astype("<i4", copy=False).tobytes())
-                    found = Counter(rare)
-                    words.extend(found.keys())
-                    counts.extend(found.values())
-                    ends.append(len(words))
-                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int32())], names=["word", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(1), pa.array(ranks, pa.binary()), lists], names=["row", "doc_id", "learn", "ranks", "rare"])
+            for s in sized(whole.column(2)):
+                b = whole.slice(s.start, s.stop - s.start)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(1), *held.value.code(b.column(2))], names=["row", "doc_id", "learn", "ranks", "rare"])
                 row += b.num_rows
+            give_back()
 
     rows = docs.select("doc_id", "learn", F.col("text").cast("binary").alias("text")).mapInArrow(code, CODED)
     rows = rows.withColumn("h", F.xxhash64("doc_id", "ranks", F.lit(7)))
@@ -488,6 +595,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
         rate = RATE * (1 - 0.7 * turn / rounds)
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
+            give_back()
             own, seen, learner = None, 0, 0
             for rows, texts in _batched(batches):
                 if own is None:
@@ -519,6 +627,7 @@ SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, model
 
 def _scorer(held, params):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         v = held.value
         runner = Runner(v, params.value)
         # for each rank, then each rest class from the end: what base and model add within a class
